@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import secrets, sharding
+from quire.llm import packing, secrets, sharding, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_token_files": token_files.op2,
+        "op3_packing": packing.op3,
         "op9_secrets": secrets.op9,
         "op10_sharding": sharding.op10,
     }

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import packing, secrets, sharding, token_files
+from quire.llm import counting, html_text, packing, quality, secrets, sharding, token_files, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_urls": urls.op1,
         "op2_token_files": token_files.op2,
         "op3_packing": packing.op3,
+        "op4_html": html_text.op4,
+        "op5_quality": quality.op5,
+        "op8_token_counts": counting.op8,
         "op9_secrets": secrets.op9,
         "op10_sharding": sharding.op10,
     }
@@ -20,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality": quality.OP5_SQL,
         "op9_secrets": secrets.OP9_SQL,
         "op10_sharding": sharding.OP10_SQL,
     }

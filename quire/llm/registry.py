@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import counting, html_text, packing, quality, secrets, sharding, token_files, urls
+from quire.llm import counting, decontamination, html_text, jaccard, packing, quality, secrets, sharding, token_files, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": packing.op3,
         "op4_html": html_text.op4,
         "op5_quality": quality.op5,
+        "op6_decontamination": decontamination.op6,
+        "op7_jaccard": jaccard.op7,
         "op8_token_counts": counting.op8,
         "op9_secrets": secrets.op9,
         "op10_sharding": sharding.op10,
@@ -25,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality": quality.OP5_SQL,
+        "op7_jaccard": jaccard.OP7_SQL,
         "op9_secrets": secrets.OP9_SQL,
         "op10_sharding": sharding.OP10_SQL,
     }

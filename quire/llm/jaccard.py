@@ -6,9 +6,11 @@ through other links, whatever the groups are. Only work depends on them.
 1. Texts become sets of 64-bit shingle hashes. Equal sets are one class, found by a
    128-bit hash of the set; from here on there is a row a class.
 2. Shingles are ordered from rare to common. A set needs only its first
-   n - ceil(t * n) + 1 in that order: two sets at similarity t share one of them.
+   n - ceil(t * n) + m in that order: two sets at similarity t share m of them, for the
+   lesser m of both. m grows with n, so that a shared passage is no candidate.
 3. Classes that look alike (equal minhash bands) form groups of bounded size. The
-   matrix of these leading shingles and groups gives the pairs of groups that share one.
+   matrix of these leading shingles and groups gives the pairs of groups that share
+   as many as the least m in them.
 4. For each such pair, each set's overlap with the other group's union of shingles
    bounds its overlap with any member; only where the bound reaches ceil(t * n) are the
    members compared. A pair of groups returns a forest of links, not all of them.
@@ -30,10 +32,12 @@ from quire.llm.components import components
 
 #: Members of a group, and shingles of a group, at most (a single larger set is a group of its own).
 GROUP, WEIGHT = 64, 200_000
-#: Hash buckets in which common shingles are counted, and counts from which a task and the whole table name a bucket.
-BUCKETS, LOCAL, COMMON = 1 << 20, 4, 32
-#: Minhash bands of two values each.
-BANDS = 4
+#: Hash buckets in which common shingles are counted, and how far above a task's mean a bucket must be to be named.
+BUCKETS, LOCAL = 1 << 22, 8
+#: A set must share 1 + n // SHARED of its leading shingles.
+SHARED = 25
+#: Minhash bands, and the values that one is made of.
+BANDS, VALUES = 4, 3
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[np.ndarray]:
@@ -53,16 +57,16 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int32)
         for b in batches:
             for s in _sets(b, 0, k):
                 np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total >= LOCAL)
+        at = np.flatnonzero(total >= LOCAL + LOCAL * (total.sum() / BUCKETS))
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    counted = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(BUCKETS, np.int32)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
 
@@ -72,11 +76,16 @@ def least_size(percent: int) -> int:
     return next(n for n in range(1, 1 << 20) if 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
 
 
+def shared(n: int) -> int:
+    """How many leading shingles a set of n must share with a similar one."""
+    return 1 + n // SHARED
+
+
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, print, bands, lead): lead holds the leading shingles, for sets that can be similar to others."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))  # BUCKETS numbers
     least = least_size(percent)
-    seeds = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)) for i in range(2 * BANDS)]
+    seeds = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)) for i in range(VALUES * BANDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,8 +98,11 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     lead.append([])
                     continue
                 low = np.array([mix(s ^ x).min() for x in seeds], np.uint64)
-                bands.append((mix(low[0::2] + np.arange(BANDS, dtype=np.uint64)) ^ low[1::2]).view(np.int64))
-                take = len(s) - -(-percent * len(s) // 100) + 1
+                band = np.arange(BANDS, dtype=np.uint64)
+                for j in range(VALUES):
+                    band = mix(band + low[j::VALUES])
+                bands.append(band.view(np.int64))
+                take = min(len(s), len(s) - -(-percent * len(s) // 100) + shared(len(s)))
                 often = common.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 lead.append(s[np.lexsort((s, often))[:take]].view(np.int64))
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lead, pa.list_(pa.int64()))], names=["doc_id", "n", "print", "bands", "lead"])
@@ -195,8 +207,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     members = able.join(grouped, "cid", "left").select("cid", "n", "print", "lead", F.coalesce("gid", F.xxhash64(F.lit(2), "cid")).alias("gid"))
     members = s.keep(members, "members")
 
-    matrix = members.select(F.explode("lead").alias("shingle"), "gid").distinct()
-    pairs = matrix.alias("x").join(matrix.alias("y"), F.expr("x.shingle = y.shingle AND x.gid < y.gid")).select(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).distinct()
+    least = F.expr(f"1 + n DIV {SHARED}").cast("int")
+    matrix = members.select(F.explode("lead").alias("shingle"), "gid", least.alias("m"))
+    matrix = matrix.repartition("shingle").groupBy("shingle", "gid").agg(F.min("m").alias("m"))  # dealt once, for this and the join
+    pairs = matrix.alias("x").join(matrix.alias("y"), F.expr("x.shingle = y.shingle AND x.gid < y.gid")).groupBy(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"))
+    pairs = pairs.agg(F.count("*").alias("c"), F.min(F.least("x.m", "y.m")).alias("m")).where("c >= m").select("g1", "g2")
     pairs = s.keep(pairs, "pairs")
     several = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
     wanted = pairs.select(F.col("g1").alias("gid")).unionByName(pairs.select(F.col("g2").alias("gid"))).unionByName(several).distinct()

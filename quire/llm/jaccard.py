@@ -32,10 +32,12 @@ from quire.llm.components import components
 
 #: Members of a group, and shingles of a group, at most (a single larger set is a group of its own).
 GROUP, WEIGHT = 64, 200_000
-#: Hash buckets in which common shingles are counted, and how far above a task's mean a bucket must be to be named.
-BUCKETS, LOCAL = 1 << 22, 8
-#: A set must share 1 + n // SHARED of its leading shingles.
-SHARED = 25
+#: Hash buckets in which a task counts its shingles, and how many of them are known to all tasks at most.
+BUCKETS, NAMED = 1 << 26, 1 << 21
+#: A set must share 2 + n // SHARED of its leading shingles.
+SHARED = 40
+#: Bits that say which documents' sets are wanted; a false one costs work only.
+BITS = 1 << 22
 #: Minhash bands, and the values that one is made of.
 BANDS, VALUES = 4, 3
 
@@ -49,26 +51,30 @@ def _print(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents have a shingle in each hash bucket, where that is many; else 0.
+def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of shingles that many documents have, in order, and about how many do.
 
-    Only an order is made of it, the same for all sets, so counts may be rough. The array
-    has BUCKETS numbers at any size of the table; rare buckets never leave their task.
+    Only an order is made of it, the same for all sets, so counts may be rough: a task
+    names the buckets that it met twice or more (more often if its input is so large
+    that chance fills them), and of their sums over all tasks the NAMED largest are used,
+    at any size of the table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int32)
+        total, met = np.zeros(BUCKETS, np.uint8), 0
         for b in batches:
             for s in _sets(b, 0, k):
-                np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(total >= LOCAL + LOCAL * (total.sum() / BUCKETS))
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+                at = (s & np.uint64(BUCKETS - 1)).astype(np.int64)
+                total[at] += total[at] < 255
+                met += len(s)
+        at = np.flatnonzero(total >= 2 + int(6 * met / BUCKETS))
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()
-    out = np.zeros(BUCKETS, np.int32)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+    counted = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n >= 6")
+    got = counted.orderBy(F.desc("n"), "bucket").limit(NAMED).toArrow().sort_by("bucket")
+    return got["bucket"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int32)
 
 
 def least_size(percent: int) -> int:
@@ -78,16 +84,18 @@ def least_size(percent: int) -> int:
 
 def shared(n: int) -> int:
     """How many leading shingles a set of n must share with a similar one."""
-    return 1 + n // SHARED
+    return 2 + n // SHARED
 
 
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n, print, bands, lead): lead holds the leading shingles, for sets that can be similar to others."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))  # BUCKETS numbers
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k))  # NAMED pairs at most
     least = least_size(percent)
     seeds = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)) for i in range(VALUES * BANDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, times = common.value
+        names, times = np.append(names, 1 << 62), np.append(times, 0)
         for b in batches:
             n, prints, bands, lead = [], [], [], []
             for s in _sets(b, 1, k):
@@ -103,11 +111,14 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     band = mix(band + low[j::VALUES])
                 bands.append(band.view(np.int64))
                 take = min(len(s), len(s) - -(-percent * len(s) // 100) + shared(len(s)))
-                often = common.value[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                lead.append(s[np.lexsort((s, often))[:take]].view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lead, pa.list_(pa.int64()))], names=["doc_id", "n", "print", "bands", "lead"])
+                bucket = (s & np.uint64(BUCKETS - 1)).astype(np.int64)
+                at = np.searchsorted(names, bucket)
+                often = np.where(names[at] == bucket, times[at], 0)
+                # for candidates half a hash does
+                lead.append((s[np.lexsort((s, often))[:take]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lead, pa.list_(pa.int32()))], names=["doc_id", "n", "print", "bands", "lead"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, bands array<long>, lead array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, bands array<long>, lead array<int>")
 
 
 class _Forest:
@@ -187,16 +198,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     An empty table gives an empty result.
 
     What is shuffled for each set: its leading shingles, and the whole set only of
-    members of groups that share one with another. Groups are bounded, so one family of
+    members of groups that share enough with another; texts never are. Groups are bounded, so one family of
     copies, however large, is many small groups; a class of equal texts is one row.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     s = Scratch(spark, "jaccard")
-    profiles = s.keep(_profiles(docs, k, percent), "profiles")
+    whole = s.keep(_profiles(docs, k, percent), "whole")
+    profiles = s.keep(whole.select("doc_id", "n", "print"), "profiles")
 
-    classes = profiles.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("lead").alias("lead"))
+    classes = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("lead").alias("lead"))
     classes = s.keep(classes, "classes")
+    s.drop("whole")
     able = classes.where(F.size("lead") > 0)
 
     bands = able.select("cid", "n", F.explode("bands").alias("band"))
@@ -207,7 +220,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     members = able.join(grouped, "cid", "left").select("cid", "n", "print", "lead", F.coalesce("gid", F.xxhash64(F.lit(2), "cid")).alias("gid"))
     members = s.keep(members, "members")
 
-    least = F.expr(f"1 + n DIV {SHARED}").cast("int")
+    least = F.expr(f"2 + n DIV {SHARED}").cast("int")
     matrix = members.select(F.explode("lead").alias("shingle"), "gid", least.alias("m"))
     matrix = matrix.repartition("shingle").groupBy("shingle", "gid").agg(F.min("m").alias("m"))  # dealt once, for this and the join
     pairs = matrix.alias("x").join(matrix.alias("y"), F.expr("x.shingle = y.shingle AND x.gid < y.gid")).groupBy(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"))
@@ -217,13 +230,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     wanted = pairs.select(F.col("g1").alias("gid")).unionByName(pairs.select(F.col("g2").alias("gid"))).unionByName(several).distinct()
     wanted = s.keep(members.join(wanted, "gid", "left_semi").select(F.col("cid").alias("doc_id"), "gid", F.col("print").alias("want")), "wanted")
 
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
+    bits = np.zeros(BITS, bool)
+    bits[wanted.select(bit.alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # BITS at most
+    bits = spark.sparkContext.broadcast(np.packbits(bits))
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.unpackbits(bits.value).astype(bool)
         for b in batches:
-            rows = [(c, g, x.tobytes()) for c, g, w, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), _sets(b, 1, k), strict=True) if _print(x) == w]
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["cid", "gid", "shingles"])
+            b = b.filter(pa.array(asked[b.column(2).to_numpy(zero_copy_only=False)], pa.bool_()))
+            sets = list(_sets(b, 1, k))
+            yield pa.record_batch([b.column(0), pa.array([_print(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "want", "shingles"])
 
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "gid", "want").mapInArrow(load, "cid long, gid long, shingles binary")
+    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(load, "doc_id long, want binary, shingles binary")
+    sets = sets.join(wanted, ["doc_id", "want"]).select(F.col("doc_id").alias("cid"), "gid", "shingles")
     groups = s.keep(sets.groupBy("gid").agg(F.collect_list(F.struct("cid", "shingles")).alias("members")), "groups")  # bounded by GROUP and WEIGHT
 
     inside = groups.where(F.size("members") > 1).select("members").mapInArrow(_links(["members"], percent), "a long, b long")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quire.plans import relations, scalars, text
+
 
 def queries() -> dict:
-    return {}
+    return text.QUERIES | relations.QUERIES | scalars.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return text.SQL | relations.SQL | scalars.SQL

@@ -44,6 +44,8 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        # the job's shuffle files go once the driver notices that nothing refers to them; it may as well do so now
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

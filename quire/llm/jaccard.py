@@ -208,17 +208,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     profiles = s.keep(whole.select("doc_id", "n", "print"), "profiles")
 
     classes = whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("lead").alias("lead"))
-    classes = s.keep(classes, "classes")
+    wide = s.keep(classes, "wide")
+    classes = s.keep(wide.select("print", "cid", "n"), "classes")
     s.drop("whole")
-    able = classes.where(F.size("lead") > 0)
+    able = wide.where(F.size("lead") > 0)
 
     bands = able.select("cid", "n", F.explode("bands").alias("band"))
     alike = bands.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
     best = bands.join(alike, "band").groupBy("cid").agg(F.max(F.struct("c", "w", "band")).alias("b"))
     parts = F.greatest(F.ceil(F.col("b.c") / GROUP), F.ceil(F.col("b.w") / WEIGHT))
-    grouped = best.select("cid", F.xxhash64(F.lit(1), "b.band", F.pmod(F.xxhash64("cid"), parts)).alias("gid"))
-    members = able.join(grouped, "cid", "left").select("cid", "n", "print", "lead", F.coalesce("gid", F.xxhash64(F.lit(2), "cid")).alias("gid"))
-    members = s.keep(members, "members")
+    grouped = best.select("cid", "b.band", F.pmod(F.xxhash64("cid"), parts).alias("part"))
+    # a group is named by its least member, a class that is like no other by itself
+    named = grouped.groupBy("band", "part").agg(F.min("cid").alias("gid"))
+    grouped = s.keep(grouped.join(named, ["band", "part"]).where("cid <> gid").select("cid", "gid"), "grouped")
+    members = able.join(grouped, "cid", "left").select("cid", "n", "lead", F.coalesce("gid", "cid").alias("gid"))
 
     least = F.expr(f"2 + n DIV {SHARED}").cast("int")
     matrix = members.select(F.explode("lead").alias("shingle"), "gid", least.alias("m"))
@@ -226,9 +229,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     pairs = matrix.alias("x").join(matrix.alias("y"), F.expr("x.shingle = y.shingle AND x.gid < y.gid")).groupBy(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"))
     pairs = pairs.agg(F.count("*").alias("c"), F.min(F.least("x.m", "y.m")).alias("m")).where("c >= m").select("g1", "g2")
     pairs = s.keep(pairs, "pairs")
-    several = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
-    wanted = pairs.select(F.col("g1").alias("gid")).unionByName(pairs.select(F.col("g2").alias("gid"))).unionByName(several).distinct()
-    wanted = s.keep(members.join(wanted, "gid", "left_semi").select(F.col("cid").alias("doc_id"), "gid", F.col("print").alias("want")), "wanted")
+    s.drop("wide")
+    gids = pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).unionByName(grouped.select("gid")).distinct()
+    all_members = gids.select(F.col("gid").alias("cid"), "gid").unionByName(grouped.join(gids, "gid", "left_semi").select("cid", "gid"))
+    wanted = s.keep(all_members.join(classes, "cid").select(F.col("cid").alias("doc_id"), "gid", F.col("print").alias("want")), "wanted")
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
     bits = np.zeros(BITS, bool)
@@ -250,7 +254,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     left, right = (groups.select(F.col("gid").alias(g), F.col("members").alias(m)) for g, m in (("g1", "m1"), ("g2", "m2")))
     across = pairs.join(left, "g1").join(right, "g2").select("m1", "m2").mapInArrow(_links(["m1", "m2"], percent), "a long, b long")
     links = s.keep(inside.unionByName(across), "links")
-    s.drop("members", "wanted", "groups", "pairs")
+    s.drop("wanted", "groups", "pairs")
     roots = components(links, s)
 
     of_class = classes.join(roots, F.col("cid") == F.col("node"), "left").select("print", F.coalesce("root", "cid").alias("component_id"))

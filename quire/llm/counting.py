@@ -13,7 +13,7 @@ from quire.llm import tokens
 from quire.llm.common import table
 
 #: Words whose counts a worker remembers before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: The word mark of the vocabulary files, and the penalty of an unknown character below the least score (fixed values).
 MARK, UNKNOWN = "▁", 10.0
 

@@ -33,7 +33,7 @@ from quire.llm.components import components
 #: Members of a group, and shingles of a group, at most (a single larger set is a group of its own).
 GROUP, WEIGHT = 64, 200_000
 #: Hash buckets in which a task counts its shingles, and how many of them are known to all tasks at most.
-BUCKETS, NAMED = 1 << 26, 1 << 21
+BUCKETS, NAMED = 1 << 25, 1 << 21
 #: A set must share 2 + n // SHARED of its leading shingles.
 SHARED = 40
 #: Bits that say which documents' sets are wanted; a false one costs work only.
@@ -43,8 +43,9 @@ BANDS, VALUES = 4, 3
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> Iterator[np.ndarray]:
-    for t in batch.column(column).to_pylist():
-        yield shingle_hashes((t or "").encode("utf-8", "surrogatepass"), k)
+    for at in range(0, batch.num_rows, 256):
+        for t in batch.column(column).slice(at, 256).to_pylist():
+            yield shingle_hashes((t or "").encode("utf-8", "surrogatepass"), k)
 
 
 def _print(s: np.ndarray) -> bytes:

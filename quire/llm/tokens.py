@@ -9,28 +9,25 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words that a worker remembers before it starts afresh; about 130 MB.
-CACHE_WORDS = 600_000
-
-# A text is cut before each space that a non-space follows. Byte-level pre-tokenizers with
-# the usual pattern never join across that point, so the parts can be encoded one by one.
+#: Words that a worker remembers; about 80 MB.
+CACHE_WORDS = 400_000
+
+# The usual byte-level pre-tokenizer (fixed pattern), for texts of Latin letters and common signs.
+_L = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_N = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^ \t\r\n{_L}{_N}]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]+")
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u017f]")
+# Any other text is cut before each space that a non-space follows, where that pre-tokenizer never joins.
 _CUT = re.compile(r"(?=[ ]\S)")
 
 
-# What most parts are: a word, punctuation, perhaps a line's end and the next line's first word.
-# These borders are borders of the pre-tokenizer too, so such a part's ids are its pieces' ids.
-_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_SHAPE = re.compile(f"( ?[{_L}]+)([.,;:!?]*)(?:(\\n)([{_L}]+)([.,;:!?]*))?")
-
-
 class Encoder:
     """Encodes with a byte-level BPE file of the tokenizers library.
 
     ``ids`` gives exactly what ``Tokenizer.encode(text, add_special_tokens=False)``
-    gives, as little-endian unsigned integers of ``width`` bytes. Each distinct part
-    of the texts goes to the library once while it is remembered. A text that spells
-    one of the file's added tokens, or that is not cut at single spaces, is encoded
-    as a whole or in other parts, so the result is the same for every text.
+    gives, as little-endian unsigned integers of ``width`` bytes. Texts are cut where the
+    pre-tokenizer cuts them, and each distinct part goes to the library once while it is
+    remembered. A text that spells one of the file's added tokens is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -46,51 +43,54 @@ class Encoder:
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         words = self.words
-        new = parts.difference(words)
         if len(words) + len(new) > CACHE_WORDS:
             # what was met first is mostly what is met often: keep that half
             for part in list(words)[CACHE_WORDS // 2 :]:
-                if part not in parts:
-                    del words[part]
-        whole, joined = set(), {}
-        for part in new:
-            m = _SHAPE.fullmatch(part)
-            if m and (m.end(1) < len(part)):
-                joined[part] = pieces = [x for x in m.groups() if x]
-                whole.update(pieces)
-            else:
-                whole.add(part)
-        whole = list(whole.difference(words))
-        found = self.tok.encode_batch_fast(whole, add_special_tokens=False)
+                del words[part]
+        new = list(new)
+        found = self.tok.encode_batch_fast(new, add_special_tokens=False)
         flat = self._pack([i for e in found for i in e.ids])
         at = 0
-        for part, e in zip(whole, found, strict=True):
+        for part, e in zip(new, found, strict=True):
             end = at + self.width * len(e)
             words[part] = flat[at:end]
             at = end
-        for part, pieces in joined.items():
-            words[part] = b"".join([words[x] for x in pieces])
 
     def many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; the words that are new in all of them are learnt in one call."""
+        """The ids of each text; the words that are new in many of them are learnt in one call."""
         out: list[bytes] = [b""] * len(texts)
-        at = 0
+        at, get = 0, self.words.get
         while at < len(texts):
-            cut, size = {}, 0
+            cut, new, size = {}, set(), 0
             while at < len(texts) and size < 1 << 21:
                 text = texts[at]
                 if text and any(a in text for a in self.added):
                     out[at] = self._pack(self.tok.encode(text, add_special_tokens=False).ids)
                 elif text:
-                    cut[at] = _CUT.split(text)
+                    parts = _CUT.split(text) if _OTHER.search(text) else _WORDS.findall(text)
+                    ids = list(map(get, parts))
+                    i, missing = -1, []
+                    try:
+                        while True:
+                            i = ids.index(None, i + 1)
+                            missing.append(i)
+                            new.add(parts[i])
+                    except ValueError:
+                        pass
+                    if missing:
+                        cut[at] = parts, ids, missing
+                    else:
+                        out[at] = b"".join(ids)
                     size += len(text)
                 at += 1
-            self._learn(set().union(*cut.values()))
-            get = self.words.__getitem__
-            for i, parts in cut.items():
-                out[i] = b"".join(map(get, parts))
+            if new:
+                self._learn(new)
+            for at_text, (parts, ids, missing) in cut.items():
+                for i in missing:
+                    ids[i] = self.words[parts[i]]
+                out[at_text] = b"".join(ids)
         return out
 
     def ids(self, text: str | None) -> bytes:

@@ -9,8 +9,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words that a worker remembers; about 80 MB.
-CACHE_WORDS = 400_000
+#: Words that a worker remembers; about 100 MB.
+CACHE_WORDS = 500_000
 
 # The usual byte-level pre-tokenizer (fixed pattern), for texts of Latin letters and common signs.
 _L = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"

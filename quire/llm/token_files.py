@@ -1,7 +1,7 @@
 """Operator 2, token output: Arrow files of fixed-size sequences and masks.
 
 A shard is an Arrow IPC file whose record batches hold ``BATCH`` rows each: a
-fixed-size list of token ids and one of mask bytes, so sequence i of a memory-mapped
+fixed-size list of token ids and one of mask bits, so sequence i of a memory-mapped
 shard is row i % BATCH of batch i // BATCH, found and read without a copy. Beside it
 lies an index file with the documents of the shard in order. Documents follow one
 another without regard to sequence ends; the last sequence is filled with zeros whose
@@ -42,7 +42,7 @@ class ShardWriter:
         self.fs.create_dir(self.root, recursive=True)
         self.length, self.dtype, self.held, self.held_n = length, dtype, [], 0
         item = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([pa.field("ids", pa.list_(item, length), False), pa.field("mask", pa.list_(pa.uint8(), length), False)], metadata={"length": str(length), "batch": str(BATCH)})
+        self.schema = pa.schema([pa.field("ids", pa.list_(item, length), False), pa.field("mask", pa.list_(pa.bool_(), length), False)], metadata={"length": str(length), "batch": str(BATCH)})
         self.index_schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
         self.out = self.fs.open_output_stream(f"{self.name}.{self.tag}")
         self.index_out = self.fs.open_output_stream(f"{self.name}.{self.tag}.index")
@@ -66,9 +66,9 @@ class ShardWriter:
         while len(flat) - at >= step or (last and at < len(flat)):
             part = flat[at : at + step]
             at += len(part)
-            mask = np.ones(len(part), np.uint8)
+            mask = np.ones(len(part), bool)
             if short := -len(part) % self.length:
-                part, mask = np.concatenate((part, np.zeros(short, self.dtype))), np.concatenate((mask, np.zeros(short, np.uint8)))
+                part, mask = np.concatenate((part, np.zeros(short, self.dtype))), np.concatenate((mask, np.zeros(short, bool)))
             self.data.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)], schema=self.schema))
         self.held, self.held_n = [flat[at:]], len(flat) - at
 
@@ -93,9 +93,10 @@ class ShardReader:
         self.length, self.batch = (int(self.file.schema.metadata[k]) for k in (b"length", b"batch"))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of sequence i."""
+        """The ids (a view) and the mask (unpacked from a view of its bits) of sequence i."""
         b, k = self.file.get_batch(i // self.batch), (i % self.batch) * self.length
-        return tuple(c.flatten().to_numpy(zero_copy_only=True)[k : k + self.length] for c in b.columns)
+        ids, mask = (c.flatten().slice(k, self.length) for c in b.columns)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(document, its start in this shard, its ids), one batch in memory at a time."""

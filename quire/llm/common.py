@@ -4,14 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that separate words, fixed by the contracts: space and \x09-\x0D.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of an Arrow batch between the JVM and Python, about. Rows alone don't bound it: a text may be megabytes long.
+BATCH_BYTES = 8 << 20
+#: Spark's default for it, which with two tasks an executor and a copy on either side is hundreds of MB.
+USUAL = "67108864b"
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` over batches that are bounded by their bytes, too (a setting that the session gives wins)."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == USUAL:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

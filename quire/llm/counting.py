@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import tokens
-from quire.llm.common import table
+from quire.llm.common import in_batches, table
 
 #: Words whose counts a worker remembers before it starts afresh.
 CACHE_WORDS = 300_000
@@ -126,7 +126,7 @@ def count(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array(_COUNTERS[path].many(b.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_batches, run, "doc_id long, n_tokens long")
 
 
 def op8(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

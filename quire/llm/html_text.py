@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import urls
-from quire.llm.common import Scratch, table
+from quire.llm.common import Scratch, in_batches, table
 
 #: A subtree is the site's template in more than LEAST pages and more than a SHARE of its host's.
 LEAST, SHARE = 5, 0.5
@@ -223,7 +223,7 @@ def extract_pages(df: DataFrame, url_col: str, html_col: str, carry: list[str],
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(map(subtrees, b.column(2).to_pylist()), pa.list_(pa.int64()))], names=["_host", "_print", "keys"])
 
-    pages = base.select("_host", "_print", "_html").mapInArrow(hashes, "_host string, _print string, keys array<long>")
+    pages = base.select("_host", "_print", "_html").transform(in_batches, hashes, "_host string, _print string, keys array<long>")
     pages = pages.groupBy("_host", "_print").agg(F.first("keys").alias("keys"))
     size = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
     trees = pages.select("_host", "_print", F.explode("keys").alias("_key"))
@@ -242,7 +242,7 @@ def extract_pages(df: DataFrame, url_col: str, html_col: str, carry: list[str],
             got = [extract(h, frozenset(c or ())) for h, c in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True)]
             yield pa.record_batch([*b.columns[:at], pa.array(got, pa.string())], names=[*carry, "text"])
 
-    return base.join(cuts, ["_host", "_print"], "left").select(*carry, "_html", "_cuts").mapInArrow(texts, schema)
+    return base.join(cuts, ["_host", "_print"], "left").select(*carry, "_html", "_cuts").transform(in_batches, texts, schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

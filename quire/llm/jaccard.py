@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, mix, shingle_hashes, table
+from quire.llm.common import Scratch, in_batches, mix, shingle_hashes, table
 from quire.llm.components import components
 
 #: Members of a group, and shingles of a group, at most (a single larger set is a group of its own).
@@ -73,7 +73,7 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             part = at[i : i + (1 << 16)]
             yield pa.record_batch([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n >= 6")
+    counted = docs.select("text").transform(in_batches, run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n >= 6")
     got = counted.orderBy(F.desc("n"), "bucket").limit(NAMED).toArrow().sort_by("bucket")
     return got["bucket"].to_numpy().astype(np.int64), got["n"].to_numpy().astype(np.int32)
 
@@ -119,7 +119,7 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 lead.append((s[np.lexsort((s, often))[:take]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lead, pa.list_(pa.int32()))], names=["doc_id", "n", "print", "bands", "lead"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, bands array<long>, lead array<int>")
+    return docs.select("doc_id", "text").transform(in_batches, run, "doc_id long, n long, print binary, bands array<long>, lead array<int>")
 
 
 class _Forest:
@@ -247,13 +247,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             sets = list(_sets(b, 1, k))
             yield pa.record_batch([b.column(0), pa.array([_print(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "want", "shingles"])
 
-    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).mapInArrow(load, "doc_id long, want binary, shingles binary")
+    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).transform(in_batches, load, "doc_id long, want binary, shingles binary")
     sets = sets.join(wanted, ["doc_id", "want"]).select(F.col("doc_id").alias("cid"), "gid", "shingles")
     groups = s.keep(sets.groupBy("gid").agg(F.collect_list(F.struct("cid", "shingles")).alias("members")), "groups")  # bounded by GROUP and WEIGHT
 
-    inside = groups.where(F.size("members") > 1).select("members").mapInArrow(_links(["members"], percent), "a long, b long")
+    inside = groups.where(F.size("members") > 1).select("members").transform(in_batches, _links(["members"], percent), "a long, b long")
     left, right = (groups.select(F.col("gid").alias(g), F.col("members").alias(m)) for g, m in (("g1", "m1"), ("g2", "m2")))
-    across = pairs.join(left, "g1").join(right, "g2").select("m1", "m2").mapInArrow(_links(["m1", "m2"], percent), "a long, b long")
+    across = pairs.join(left, "g1").join(right, "g2").select("m1", "m2").transform(in_batches, _links(["m1", "m2"], percent), "a long, b long")
     links = s.keep(inside.unionByName(across), "links")
     s.drop("wanted", "groups", "pairs")
     roots = components(links, s)

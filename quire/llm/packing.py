@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import tokens
-from quire.llm.common import table
+from quire.llm.common import in_batches, table
 
 CAPACITY, END = 1024, 0
 #: Documents that are packed together by one task.
@@ -98,7 +98,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: i
         return pa.table([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(cols)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     dealt = df.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    encoded = dealt.mapInArrow(encode, "block long, doc_id long, ids binary, width int")
+    encoded = dealt.transform(in_batches, encode, "block long, doc_id long, ids binary, width int")
     return encoded.groupBy("block").applyInArrow(place, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import WORD_BREAKS, Scratch, table
+from quire.llm.common import WORD_BREAKS, Scratch, in_batches, table
 
 #: A line is above the limit in more than LEAST documents and more than a SHARE of its host's.
 LEAST, SHARE = 10, 0.25
@@ -78,7 +78,7 @@ def _count_all(df: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
             cols = list(zip(*map(counts, b.column(at).to_pylist()), strict=True)) or [()] * len(kinds)
             yield pa.record_batch([*b.columns[:at], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
-    return df.select(*carry, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return df.select(*carry, F.col(text_col).cast("string").alias("_text")).transform(in_batches, run, schema)
 
 
 def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least: int = LEAST, share: float = SHARE, loss: float = LOSS) -> DataFrame:

@@ -11,6 +11,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words that a worker remembers; about 100 MB.
 CACHE_WORDS = 500_000
+#: Words that go to the library in one call.
+LEARN = 8192
 
 # The usual byte-level pre-tokenizer (fixed pattern), for texts of Latin letters and common signs.
 _L = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
@@ -50,13 +52,15 @@ class Encoder:
             for part in list(words)[CACHE_WORDS // 2 :]:
                 del words[part]
         new = list(new)
-        found = self.tok.encode_batch_fast(new, add_special_tokens=False)
-        flat = self._pack([i for e in found for i in e.ids])
-        at = 0
-        for part, e in zip(new, found, strict=True):
-            end = at + self.width * len(e)
-            words[part] = flat[at:end]
-            at = end
+        for i in range(0, len(new), LEARN):  # the library's own objects take many times a word's size
+            some = new[i : i + LEARN]
+            found = self.tok.encode_batch_fast(some, add_special_tokens=False)
+            flat = self._pack([i for e in found for i in e.ids])
+            at = 0
+            for part, e in zip(some, found, strict=True):
+                end = at + self.width * len(e)
+                words[part] = flat[at:end]
+                at = end
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; the words that are new in many of them are learnt in one call."""

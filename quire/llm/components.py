@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str = "edges") -> DataFrame:
     """(node, root) for every node of ``links`` (a, b) but the roots: the least node it reaches.
 
     Each round ties every node's larger neighbours to the least one it knows, then its
@@ -18,7 +18,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     written to the shared folder, which cuts the lineage.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges, last = scratch.keep(edges, "edges0"), None
+    edges, last = scratch.keep(edges, f"{name}0"), None
     for k in range(1, 64):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -26,9 +26,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(least, "u")
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(tied.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = scratch.keep(small, f"edges{k}")
+        edges = scratch.keep(small, f"{name}{k}")
         now = tuple(edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        scratch.drop(f"edges{k - 1}")
+        scratch.drop(f"{name}{k - 1}")
         if now == last:
             break
         last = now

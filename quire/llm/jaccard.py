@@ -8,10 +8,12 @@ through other links, whatever the groups are. Only work depends on them.
 2. Shingles are ordered from rare to common. A set needs only its first
    n - ceil(t * n) + m in that order: two sets at similarity t share m of them, for the
    lesser m of both. m grows with n, so that a shared passage is no candidate.
-3. Classes that look alike (equal minhash bands) form groups of bounded size. The
-   matrix of these leading shingles and groups gives the pairs of groups that share
-   as many as the least m in them.
-4. For each such pair, each set's overlap with the other group's union of shingles
+3. Classes that look alike (equal minhash bands) form groups of bounded size, with a
+   few guests from groups of the same band. Links inside groups join them to families.
+4. Groups are split by family. The matrix of leading shingles and families gives the
+   pairs of families that share as many as the least m in them, and within these the
+   pairs of groups; groups of one family are never paired, however many it has.
+   For each such pair, each set's overlap with the other group's union of shingles
    bounds its overlap with any member; only where the bound reaches ceil(t * n) are the
    members compared. A pair of groups returns a forest of links, not all of them.
 5. Components over the links.
@@ -34,6 +36,8 @@ from quire.llm.components import components
 GROUP, WEIGHT = 64, 200_000
 #: Hash buckets in which a task counts its shingles, and how many of them are known to all tasks at most.
 BUCKETS, NAMED = 1 << 25, 1 << 21
+#: Parts of a large family whose groups hold the same guest.
+FAN = 8
 #: A set must share 2 + n // SHARED of its leading shingles.
 SHARED = 40
 #: Bits that say which documents' sets are wanted; a false one costs work only.
@@ -188,6 +192,26 @@ def _links(groups: list[str], percent: int):
     return run
 
 
+def _load(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, s: Scratch, name: str) -> DataFrame:
+    """(gid, members) with the members' whole sets, which are made anew from the texts of those that are asked for."""
+    wanted = s.keep(members.join(classes, "cid").select(F.col("cid").alias("doc_id"), "gid", F.col("print").alias("want")), f"wanted{name}")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
+    bits = np.zeros(BITS, bool)
+    bits[wanted.select(bit.alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # BITS at most
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.unpackbits(bits.value).astype(bool)
+        for b in batches:
+            b = b.filter(pa.array(asked[b.column(2).to_numpy(zero_copy_only=False)], pa.bool_()))
+            sets = list(_sets(b, 1, k))
+            yield pa.record_batch([b.column(0), pa.array([_print(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "want", "shingles"])
+
+    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).transform(in_batches, load, "doc_id long, want binary, shingles binary")
+    sets = sets.join(wanted, ["doc_id", "want"]).select(F.col("doc_id").alias("cid"), "gid", "shingles")
+    return s.keep(sets.groupBy("gid").agg(F.collect_list(F.struct("cid", "shingles")).alias("members")), f"groups{name}")  # bounded by GROUP and WEIGHT
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -221,41 +245,47 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     grouped = best.select("cid", "b.band", F.pmod(F.xxhash64("cid"), parts).alias("part"))
     # a group is named by its least member, a class that is like no other by itself
     named = grouped.groupBy("band", "part").agg(F.min("cid").alias("gid"))
-    grouped = s.keep(grouped.join(named, ["band", "part"]).where("cid <> gid").select("cid", "gid"), "grouped")
-    members = able.join(grouped, "cid", "left").select("cid", "n", "lead", F.coalesce("gid", "cid").alias("gid"))
-
+    own = grouped.join(named, ["band", "part"]).where("cid <> gid").select("cid", "gid")
+    # a family that fills many groups: the least members of two lower parts sit in each
+    lower = named.where("part > 0").select("band", F.explode(F.array_distinct(F.array(F.expr(f"part DIV {FAN}"), F.col("part") - 1))).alias("part"), F.col("gid").alias("of"))
+    guests = lower.join(named, ["band", "part"]).select(F.col("gid").alias("cid"), F.col("of").alias("gid"))
+    own = s.keep(own, "own")
+    first = own.unionByName(guests)
+    first = first.unionByName(first.select(F.col("gid").alias("cid"), "gid")).distinct()
+    groups = _load(docs, first, classes, k, s, "1")
+    inside = groups.select("members").transform(in_batches, _links(["members"], percent), "a long, b long")
+    families = components(s.keep(inside, "inside"), s, "families")
+    s.drop("groups1", "wanted1")
+
+    # groups are split by what is linked already; only pairs of groups between families are left
+    own = own.unionByName(own.select(F.col("gid").alias("cid"), "gid").distinct()).join(families, F.col("cid") == F.col("node"), "left").select("cid", "gid", F.coalesce("root", "cid").alias("comp"))
+    split = own.groupBy("gid", "comp").agg(F.min("cid").alias("part"))
+    own = s.keep(own.join(split, ["gid", "comp"]).select("cid", F.col("part").alias("gid"), "comp").where("cid <> gid OR cid <> comp"), "split")
     least = F.expr(f"2 + n DIV {SHARED}").cast("int")
-    matrix = members.select(F.explode("lead").alias("shingle"), "gid", least.alias("m"))
-    matrix = matrix.repartition("shingle").groupBy("shingle", "gid").agg(F.min("m").alias("m"))  # dealt once, for this and the join
-    pairs = matrix.alias("x").join(matrix.alias("y"), F.expr("x.shingle = y.shingle AND x.gid < y.gid")).groupBy(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2"))
-    pairs = pairs.agg(F.count("*").alias("c"), F.min(F.least("x.m", "y.m")).alias("m")).where("c >= m").select("g1", "g2")
-    pairs = s.keep(pairs, "pairs")
+    members = able.join(own, "cid", "left").select(F.explode("lead").alias("shingle"), F.coalesce("gid", "cid").alias("gid"), F.coalesce("comp", "cid").alias("comp"), least.alias("m"))
+    of_family = members.repartition("shingle").groupBy("shingle", "comp").agg(F.min("m").alias("m"))  # dealt once, for both sides of the join
+    both = of_family.alias("x").join(of_family.alias("y"), F.expr("x.shingle = y.shingle AND x.comp < y.comp")).groupBy(F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2"))
+    both = s.keep(both.agg(F.count("*").alias("c"), F.min(F.least("x.m", "y.m")).alias("m")).where("c >= m").select("c1", "c2"), "both")
+    # a family with a group that doesn't bear its name has several
+    several = s.keep(own.where("gid <> comp").select("comp").distinct(), "several")
+    marked = both.join(several.select(F.col("comp").alias("c1"), F.lit(True).alias("s1")), "c1", "left").join(several.select(F.col("comp").alias("c2"), F.lit(True).alias("s2")), "c2", "left")
+    plain = marked.where("s1 IS NULL AND s2 IS NULL").select(F.col("c1").alias("g1"), F.col("c2").alias("g2"))
+    large = s.keep(marked.where("s1 OR s2").select("c1", "c2"), "large")
+    in_large = members.join(large.select(F.explode(F.array("c1", "c2")).alias("comp")).distinct(), "comp", "left_semi").groupBy("shingle", "comp", "gid").agg(F.min("m").alias("m"))
+    at = in_large.select("shingle", "comp").distinct()
+    at = at.alias("x").join(at.alias("y"), F.expr("x.shingle = y.shingle AND x.comp < y.comp")).select("x.shingle", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")).join(large, ["c1", "c2"])
+    for i in ("1", "2"):
+        at = at.join(in_large.select("shingle", F.col("comp").alias(f"c{i}"), F.col("gid").alias(f"g{i}"), F.col("m").alias(f"m{i}")), ["shingle", f"c{i}"])
+    apart = at.groupBy("g1", "g2").agg(F.count("*").alias("c"), F.min(F.least("m1", "m2")).alias("m")).where("c >= m").select("g1", "g2")
+    pairs = s.keep(plain.unionByName(apart), "pairs")
     s.drop("wide")
-    gids = pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).unionByName(grouped.select("gid")).distinct()
-    all_members = gids.select(F.col("gid").alias("cid"), "gid").unionByName(grouped.join(gids, "gid", "left_semi").select("cid", "gid"))
-    wanted = s.keep(all_members.join(classes, "cid").select(F.col("cid").alias("doc_id"), "gid", F.col("print").alias("want")), "wanted")
-
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).cast("int")
-    bits = np.zeros(BITS, bool)
-    bits[wanted.select(bit.alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # BITS at most
-    bits = spark.sparkContext.broadcast(np.packbits(bits))
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(bits.value).astype(bool)
-        for b in batches:
-            b = b.filter(pa.array(asked[b.column(2).to_numpy(zero_copy_only=False)], pa.bool_()))
-            sets = list(_sets(b, 1, k))
-            yield pa.record_batch([b.column(0), pa.array([_print(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "want", "shingles"])
-
-    sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text", bit.alias("bit")).transform(in_batches, load, "doc_id long, want binary, shingles binary")
-    sets = sets.join(wanted, ["doc_id", "want"]).select(F.col("doc_id").alias("cid"), "gid", "shingles")
-    groups = s.keep(sets.groupBy("gid").agg(F.collect_list(F.struct("cid", "shingles")).alias("members")), "groups")  # bounded by GROUP and WEIGHT
-
-    inside = groups.where(F.size("members") > 1).select("members").transform(in_batches, _links(["members"], percent), "a long, b long")
+    gids = pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct()
+    second = gids.select(F.col("gid").alias("cid"), "gid").unionByName(own.where("cid <> gid").join(gids, "gid", "left_semi").select("cid", "gid"))
+    groups = _load(docs, second, classes, k, s, "2")
     left, right = (groups.select(F.col("gid").alias(g), F.col("members").alias(m)) for g, m in (("g1", "m1"), ("g2", "m2")))
     across = pairs.join(left, "g1").join(right, "g2").select("m1", "m2").transform(in_batches, _links(["m1", "m2"], percent), "a long, b long")
-    links = s.keep(inside.unionByName(across), "links")
-    s.drop("wanted", "groups", "pairs")
+    links = s.keep(across.unionByName(families.select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
+    s.drop("wanted2", "groups2", "pairs")
     roots = components(links, s)
 
     of_class = classes.join(roots, F.col("cid") == F.col("node"), "left").select("print", F.coalesce("root", "cid").alias("component_id"))

@@ -10,9 +10,10 @@ through other links, whatever the groups are. Only work depends on them.
    lesser m of both. m grows with n, so that a shared passage is no candidate.
 3. Classes that look alike (equal minhash bands) form groups of bounded size, with a
    few guests from groups of the same band. Links inside groups join them to families.
-4. Groups are split by family. The matrix of leading shingles and families gives the
-   pairs of families that share as many as the least m in them, and within these the
-   pairs of groups; groups of one family are never paired, however many it has.
+4. Families of several groups are taken out of these. The matrix of leading shingles
+   and units (such families and the groups that are left) gives the pairs of units of
+   fitting sizes that share as many as the least m in them, and within these the pairs
+   of groups; groups of one such family are never paired, however many it has.
    For each such pair, each set's overlap with the other group's union of shingles
    bounds its overlap with any member; only where the bound reaches ceil(t * n) are the
    members compared. A pair of groups returns a forest of links, not all of them.
@@ -257,26 +258,34 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     families = components(s.keep(inside, "inside"), s, "families")
     s.drop("groups1", "wanted1")
 
-    # groups are split by what is linked already; only pairs of groups between families are left
+    # families of several groups are taken out of them; groups of one family need no comparison
     own = own.unionByName(own.select(F.col("gid").alias("cid"), "gid").distinct()).join(families, F.col("cid") == F.col("node"), "left").select("cid", "gid", F.coalesce("root", "cid").alias("comp"))
-    split = own.groupBy("gid", "comp").agg(F.min("cid").alias("part"))
-    own = s.keep(own.join(split, ["gid", "comp"]).select("cid", F.col("part").alias("gid"), "comp").where("cid <> gid OR cid <> comp"), "split")
-    least = F.expr(f"2 + n DIV {SHARED}").cast("int")
-    members = able.join(own, "cid", "left").select(F.explode("lead").alias("shingle"), F.coalesce("gid", "cid").alias("gid"), F.coalesce("comp", "cid").alias("comp"), least.alias("m"))
-    of_family = members.repartition("shingle").groupBy("shingle", "comp").agg(F.min("m").alias("m"))  # dealt once, for both sides of the join
-    both = of_family.alias("x").join(of_family.alias("y"), F.expr("x.shingle = y.shingle AND x.comp < y.comp")).groupBy(F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2"))
-    both = s.keep(both.agg(F.count("*").alias("c"), F.min(F.least("x.m", "y.m")).alias("m")).where("c >= m").select("c1", "c2"), "both")
+    own = s.keep(own, "placed")
+    wide_ones = own.select("gid", "comp").distinct().groupBy("comp").count().where("count > 1").select("comp", F.col("comp").alias("family"))
+    own = s.keep(own.join(wide_ones, "comp", "left").select("cid", "gid", "family"), "families")
+    split = own.groupBy("gid", "family").agg(F.min("cid").alias("part"))
+    own = own.alias("o").join(split.alias("p"), F.expr("o.gid = p.gid AND o.family <=> p.family")).select("cid", F.col("part").alias("gid"), F.coalesce("o.family", "part").alias("comp"))
+    own = s.keep(own.where("cid <> gid OR cid <> comp"), "split")
+    members = able.join(own, "cid", "left").select(F.explode("lead").alias("shingle"), F.coalesce("gid", "cid").alias("gid"), F.coalesce("comp", "cid").alias("comp"), "n")
+    # sets of too different sizes are never similar
+    sizes = [F.min("n").alias("lo"), F.max("n").alias("hi")]
+    met = F.expr(f"x.shingle = y.shingle AND x.comp < y.comp AND 100 * x.hi >= {percent} * y.lo AND 100 * y.hi >= {percent} * x.lo")
+    least = F.expr(f"2 + least(min(x.lo), min(y.lo)) DIV {SHARED}")
+    of_family = members.repartition("shingle").groupBy("shingle", "comp").agg(*sizes)  # dealt once, for both sides of the join
+    both = of_family.alias("x").join(of_family.alias("y"), met).groupBy(F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2"))
+    both = s.keep(both.agg(F.count("*").alias("c"), least.alias("m")).where("c >= m").select("c1", "c2"), "both")
     # a family with a group that doesn't bear its name has several
     several = s.keep(own.where("gid <> comp").select("comp").distinct(), "several")
     marked = both.join(several.select(F.col("comp").alias("c1"), F.lit(True).alias("s1")), "c1", "left").join(several.select(F.col("comp").alias("c2"), F.lit(True).alias("s2")), "c2", "left")
     plain = marked.where("s1 IS NULL AND s2 IS NULL").select(F.col("c1").alias("g1"), F.col("c2").alias("g2"))
     large = s.keep(marked.where("s1 OR s2").select("c1", "c2"), "large")
-    in_large = members.join(large.select(F.explode(F.array("c1", "c2")).alias("comp")).distinct(), "comp", "left_semi").groupBy("shingle", "comp", "gid").agg(F.min("m").alias("m"))
-    at = in_large.select("shingle", "comp").distinct()
-    at = at.alias("x").join(at.alias("y"), F.expr("x.shingle = y.shingle AND x.comp < y.comp")).select("x.shingle", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")).join(large, ["c1", "c2"])
+    in_large = members.join(large.select(F.explode(F.array("c1", "c2")).alias("comp")).distinct(), "comp", "left_semi").groupBy("shingle", "comp", "gid").agg(*sizes)
+    at = in_large.groupBy("shingle", "comp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    at = at.alias("x").join(at.alias("y"), met).select("x.shingle", F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")).join(large, ["c1", "c2"])
     for i in ("1", "2"):
-        at = at.join(in_large.select("shingle", F.col("comp").alias(f"c{i}"), F.col("gid").alias(f"g{i}"), F.col("m").alias(f"m{i}")), ["shingle", f"c{i}"])
-    apart = at.groupBy("g1", "g2").agg(F.count("*").alias("c"), F.min(F.least("m1", "m2")).alias("m")).where("c >= m").select("g1", "g2")
+        at = at.join(in_large.select("shingle", F.col("comp").alias(f"c{i}"), F.col("gid").alias(f"g{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")), ["shingle", f"c{i}"])
+    at = at.where(f"100 * hi1 >= {percent} * lo2 AND 100 * hi2 >= {percent} * lo1")
+    apart = at.groupBy("g1", "g2").agg(F.count("*").alias("c"), F.expr(f"2 + least(min(lo1), min(lo2)) DIV {SHARED}").alias("m")).where("c >= m").select("g1", "g2")
     pairs = s.keep(plain.unionByName(apart), "pairs")
     s.drop("wide")
     gids = pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct()

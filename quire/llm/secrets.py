@@ -6,7 +6,6 @@ at plan time, to derive what each of them must contain.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -146,6 +145,20 @@ def candidates(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...
     return met.where(F.col("n") == needed[F.col("rule")]).groupBy("_id").agg(F.collect_set("rule").alias("_rules"))
 
 
+def gate(rule: Rule) -> str:
+    """A pattern found in every text that has a long enough match of the rule, and in fewer others.
+
+    Where the whole match is measured and is a run of one class behind a part of fixed
+    width, the run must have the characters that the part leaves. Else the rule itself.
+    """
+    nodes = _p.parse(rule.pattern)
+    op, arg = nodes[-1]
+    if rule.group or not rule.pattern.endswith("]+") or op is not _c.MAX_REPEAT or tuple(arg[2].getwidth()) != (1, 1):
+        return rule.pattern
+    low, high = nodes[:-1].getwidth()
+    return f"{rule.pattern[:-1]}{{{max(1, rule.least - low)},}}" if low == high else rule.pattern
+
+
 def matches(text: Column, k: int, rule: Rule) -> Column:
     """array<struct<start, kind, end>> of a rule's leftmost non-overlapping matches.
 
@@ -188,7 +201,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RU
         df = df.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
     parts = []
     for k, rule in enumerate(rules):
-        quick = text.rlike(rule.pattern) if not rule.pattern.endswith("]+") or rule.group else text.rlike(f"{rule.pattern[:-1]}{{{max(1, rule.least - len(re.match(r'[A-Za-z_]*', rule.pattern)[0]))},}}")
+        quick = text.rlike(gate(rule))
         wanted = F.coalesce(F.array_contains("_rules", k), F.lit(False)) & quick if k in indexed else quick
         parts.append(F.when(wanted, matches(text, k, rule)).otherwise(none))
     spans = F.array_sort(reduce(lambda a, b: F.concat(a, b), parts))

@@ -52,6 +52,35 @@ def test_secret_spans(spark):
     assert secrets.scan(df.limit(0), "doc_id", "text").collect() == []
 
 
+#: For each rule a match of exactly its least characters (the password's part for ``assign``), whose last character may be taken off.
+SHORTEST = {
+    "assign": "token=abcdef",
+    "access": "AKIA" + "Z9" * 8,
+    "hex": "0123456789abcdef01234567",
+    "pem": "-----BEGIN PRIVATE KEY-----",
+    "github": "ghp_" + "a1" * 18,
+    "slack": "xoxb-" + "1234567890",
+    "google": "AIza" + "Sy-_x" * 7,
+    "jwt": "eyJhbGciOiJI.eyJzdWIiOiIxMjM.x",
+    "login": "ab://c:de@",
+}
+
+
+def test_shortest_secrets(spark):
+    assert sorted(SHORTEST) == sorted(r.kind for r in secrets.RULES)
+    long = ["eyJ" + "a" * 40 + ".eyJ" + "b" * 60 + "." + "c" * n for n in (1, 26)]
+    texts = [f"so {x} it is" for x in [*SHORTEST.values(), *(x[:-1] for x in SHORTEST.values()), *long]]
+    got = {r.text: [(s.start, s.kind, s.end) for s in r.secrets] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()}
+    for t in texts:
+        assert got[t] == naive_spans(t), t
+    for k, r in enumerate(secrets.RULES):
+        x = SHORTEST[r.kind]
+        m = re.search(r.pattern, x)
+        assert len(m[r.group]) == r.least or r.kind == "pem"
+        assert (3, k, 3 + len(x)) in got[f"so {x} it is"]
+        assert not any(s[1] == k for s in got[f"so {x[:-1]} it is"])
+
+
 def test_quality_lines(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]

@@ -8,11 +8,14 @@ from quire.llm import decontamination, jaccard, packing, quality, secrets, token
 from quire.llm.common import Scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A line recurs across a host in more than this share of its distinct texts, or in so many that the share doesn't matter.
+#: Tighter than op5_quality, whose limits its SQL sets: those take no line out of the given tables.
+RECURS, ALWAYS = 0.05, 1000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules go; the others lose the lines that recur across their host."""
-    judged = quality.judge(docs.select(*COLUMNS), "text", "source", list(COLUMNS))
+    judged = quality.judge(docs.select(*COLUMNS), "text", "source", list(COLUMNS), share=RECURS, many=ALWAYS)
     return _measured(quality.clean(judged, "text"))
 
 

@@ -81,15 +81,17 @@ def _count_all(df: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
     return df.select(*carry, F.col(text_col).cast("string").alias("_text")).transform(in_batches, run, schema)
 
 
-def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least: int = LEAST, share: float = SHARE, loss: float = LOSS) -> DataFrame:
+def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least: int = LEAST, share: float = SHARE, loss: float = LOSS, many: int | None = None) -> DataFrame:
     """``carry`` of every row, its counts, ``base_failed``, ``removed`` (hashes of the lines
     above the limits), ``lost_words`` and ``kept``.
 
     A host's documents are its distinct texts, so copies of one text neither count for
     its lines nor differ in their verdict. For each host and normalised line the
     documents that have it are counted; a line in more than ``least`` of them and in more
-    than ``share`` of the host's goes, and a document that loses more than ``loss`` of
-    its words is rejected, as is one that fails the base rules. A null host is a host.
+    than ``share`` of the host's goes, as does one in more than ``many`` of them whatever
+    their share, so that the limit doesn't rise with a host without end. A document that
+    loses more than ``loss`` of its words is rejected, as is one that fails the base rules.
+    A null host is a host.
     Null and empty texts have no words and fail. Every row of the input gives one row.
 
     Texts are reduced to numbers where they are read; only line hashes are shuffled,
@@ -103,7 +105,8 @@ def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least:
     size = texts.groupBy("_host").agg(F.count("*").alias("_docs"))
     lines = texts.select("_host", "print", F.explode(F.array_distinct(F.array_compact("lines"))).alias("_line"))
     often = lines.groupBy("_host", "_line").agg(F.count("*").alias("_in")).where(F.col("_in") > least)
-    often = often.join(size, "_host").where(F.col("_in") > share * F.col("_docs")).select("_host", "_line")
+    limit = share * F.col("_docs") if many is None else F.least(share * F.col("_docs"), F.lit(float(many)))
+    often = often.join(size, "_host").where(F.col("_in") > limit).select("_host", "_line")
     removed = lines.join(often, ["_host", "_line"]).groupBy("_host", "print").agg(F.collect_set("_line").alias("removed"))
     removed = Scratch(df.sparkSession, "lines").keep(removed, "removed")  # as a file its size is known before the join below is planned
     out = got.join(removed, ["_host", "print"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))

@@ -2,10 +2,12 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
 
+import corpus_pipeline
 from quire.llm import html_text, quality, registry, secrets, sharding, urls
 
 SF = "/root/testdata/sf0.001"
@@ -102,6 +104,35 @@ def test_quality_lines(spark):
     assert quality.judge(df.limit(0), "text", "source", ["doc_id", "source"]).collect() == []
 
 
+def test_pipeline_takes_recurring_lines_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before, texts, hosts = {r.doc_id: r for r in docs.collect()}, {}, {}
+    normed = {t: {" ".join(re.sub("[0-9]", "0", line).lower().split()) for line in t.split("\n")} - {""} for t in {r.text or "" for r in before.values()}}
+    for r in before.values():
+        texts.setdefault(r.source, set()).add(r.text or "")
+    for host, ts in texts.items():
+        n = Counter(x for t in ts for x in normed[t])
+        hosts[host] = {x for x, k in n.items() if k > 10 and k > corpus_pipeline.RECURS * len(ts)}
+    assert any(hosts.values())
+    got, lost = corpus_pipeline.quality_rules(spark, docs, None).collect(), 0
+    for r in got:
+        old = before[r.doc_id].text
+        lost += r.text != old
+        assert r.text == "\n".join(x for x in old.split("\n") if " ".join(re.sub("[0-9]", "0", x).lower().split()) not in hosts[r.source])
+    assert 0 < lost < 0.05 * len(got)
+    judged = quality.judge(docs, "text", "source", ["doc_id", "source"]).select("doc_id", "base_failed").collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in judged if not r.base_failed}  # no line is over half of a document there
+
+
+def test_lines_in_many_documents_always_go(spark):
+    own = " ".join(f"w{i}" for i in range(12))
+    rows = [(i, f"{own} u{chr(97 + i // 26)}{chr(97 + i % 26)}" + ("\nfollow us on all channels" if i < 30 else ""), "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for many, lost in ((None, 0), (30, 0), (29, 30)):
+        got = quality.judge(df, "text", "source", ["doc_id", "source"], many=many).collect()
+        assert sum(r.lost_words > 0 for r in got) == lost and all(r.kept for r in got)
+
+
 @pytest.mark.parametrize("per_bucket", [3, 20_000])
 def test_shards(spark, per_bucket):
     rows = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"s{i % 5}", "x") for i in range(500)] + [(None, "hot", "y"), (5, "s0", "x"), (5, "s0", "x")]

@@ -124,6 +124,33 @@ def test_recall_and_exactness(spark):
     assert found >= 0.95 * planted
 
 
+#: For bytes of an item and a share of edited characters, the least recall among the items that stay within EDITS.
+RECALL = {(19, 0.0): 1.0, (40, 0.0): 1.0, (50, 0.0): 1.0, (58, 0.0): 1.0, (66, 0.0): 1.0, (83, 0.0): 1.0, (50, 0.08): 0.75, (66, 0.08): 0.9, (83, 0.08): 0.93, (66, 0.12): 0.85, (83, 0.12): 0.88, (200, 0.12): 0.97, (200, 0.18): 0.92}
+
+
+@pytest.mark.parametrize(("size", "rate"), sorted(RECALL))
+def test_recall_by_length_and_edits(spark, size, rate):
+    rng = random.Random(size * 100 + int(rate * 100))
+    texts = [" ".join(r.text.split()) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect() if len(r.text) > size + 20]
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and len(r.text) > 1500]
+    items = [t[: t.index(" ", size)] for t in (rng.choice(texts) for _ in range(100)) if " " in t[size:]]
+
+    def edited(t):
+        out = []
+        for c in t:
+            x = rng.random() / rate if rate else 1
+            out.append(rng.choice("aeiourstln") if x < 1 / 3 else "" if x < 2 / 3 else c + rng.choice("aeiourstln") if x < 1 else c)
+        return "".join(out)
+
+    docs = [rng.choice(prose)[:600] + " " + edited(t) + "\n" + rng.choice(prose)[:200] for t in items]
+    known = [decontamination.distance(decontamination.normal(t).decode(), decontamination.normal(x).decode()) for t, x in zip(items, docs, strict=True)]
+    held = [i for i, (t, n) in enumerate(zip(items, known, strict=True)) if n <= decontamination.EDITS * len(t)]
+    got = [{x[0]: x[1] for x in xs} for xs in decontamination.Index(list(enumerate(items))).search(docs)]
+    found = [i for i in held if i in got[i]]
+    assert len(held) > 50 and len(found) >= RECALL[size, rate] * len(held)
+    assert all(got[i][i] >= known[i] for i in found)
+
+
 def test_decontamination_tables(spark):
     items = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog near the old river bank today"), (2, None), (3, "short one"), (4, "")], "item_id long, text string")
     long = "filler words of no note " * 4000

@@ -60,8 +60,25 @@ def base64_roundtrip(spark, sf):
     return d.select("doc_id", F.base64("b").alias("b64"), (F.unbase64(F.regexp_replace(F.base64("b"), r"\s", "")) == F.col("b")).alias("same"))
 
 
+def hex_roundtrip_whole(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    return d.select("doc_id", F.lower(F.hex("b")).alias("hex"), (S.hex_decode(F.hex("b")) == F.col("b")).alias("same"))
+
+
+def base64_roundtrip_whole(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    return d.select("doc_id", F.regexp_replace(F.base64("b"), r"\s", "").alias("b64"), (F.unbase64(F.base64("b")) == F.col("b")).alias("same"))
+
+
 def bom_decode(spark, sf):
-    t = F.substring("text", 1, 60)
+    return _marked(spark, sf, F.substring("text", 1, 60))
+
+
+def bom_decode_whole(spark, sf):
+    return _marked(spark, sf, F.col("text"))
+
+
+def _marked(spark, sf, t):
     marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FEFF")), F.encode(t, "UTF-16BE"))).when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(t, "UTF-16LE"))).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode(t, "UTF-8")))
     return table(spark, sf, "documents").select("doc_id", S.decode_by_mark(marked).alias("text"))
 
@@ -146,7 +163,7 @@ def lzw_runlength_roundtrip(spark, sf):
     return e.select("doc_id", (codecs.decode_column(F.col("e"), "RunLengthDecode", "LZWDecode") == F.col("b")).alias("same"))
 
 
-QUERIES = {f"calc_{n}": _program(n) for n in PROGRAMS} | {f.__name__: f for f in (fn_type0_sampled, fn_type2_exponential, fn_type3_stitching, hex_roundtrip, base64_roundtrip, bom_decode, date_parse, date_format, float_format, md_escape, html_escape, html_title_text, digest, roman_numerals, uri_scheme, tokenize_spaces, matrix_transform, cmyk_to_rgb, xmp_integer, rational, map_accessors, flate_ascii85_roundtrip, lzw_runlength_roundtrip)}
+QUERIES = {f"calc_{n}": _program(n) for n in PROGRAMS} | {f.__name__: f for f in (fn_type0_sampled, fn_type2_exponential, fn_type3_stitching, hex_roundtrip, base64_roundtrip, bom_decode, hex_roundtrip_whole, base64_roundtrip_whole, bom_decode_whole, date_parse, date_format, float_format, md_escape, html_escape, html_title_text, digest, roman_numerals, uri_scheme, tokenize_spaces, matrix_transform, cmyk_to_rgb, xmp_integer, rational, map_accessors, flate_ascii85_roundtrip, lzw_runlength_roundtrip)}
 
 _ROMAN = "p_partkey // 1000"
 SQL = {f"calc_{n}": f"SELECT l_orderkey, l_linenumber, round(CAST({e} AS DOUBLE), 6) AS value FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice / 1000 AS p FROM lineitem)" for n, (_, e) in PROGRAMS.items()} | {
@@ -156,6 +173,9 @@ SQL = {f"calc_{n}": f"SELECT l_orderkey, l_linenumber, round(CAST({e} AS DOUBLE)
     "hex_roundtrip": "SELECT doc_id, lower(hex(encode(substr(text, 1, 200)))) AS hex, true AS same FROM documents",
     "base64_roundtrip": "SELECT doc_id, base64(encode(substr(text, 1, 40))) AS b64, true AS same FROM documents",
     "bom_decode": "SELECT doc_id, substr(text, 1, 60) AS text FROM documents",
+    "hex_roundtrip_whole": "SELECT doc_id, lower(hex(encode(text))) AS hex, true AS same FROM documents",
+    "base64_roundtrip_whole": "SELECT doc_id, base64(encode(text)) AS b64, true AS same FROM documents",
+    "bom_decode_whole": "SELECT doc_id, text FROM documents",
     "date_parse": "SELECT event_id, strftime(date_trunc('second', ts) - CASE WHEN event_id % 2 = 0 THEN INTERVAL 150 MINUTE ELSE INTERVAL 0 MINUTE END, '%Y-%m-%d %H:%M:%S') AS at FROM events",
     "date_format": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM events",
     "float_format": "WITH s AS (SELECT o_orderkey, CAST(floor(o_totalprice * 10 + 0.5) AS BIGINT) AS s FROM orders) SELECT o_orderkey, CAST(s // 10 AS VARCHAR) || CASE WHEN s % 10 = 0 THEN '' ELSE '.' || (s % 10) END AS text FROM s",

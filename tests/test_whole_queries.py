@@ -20,3 +20,11 @@ def test_codes_of_whole_texts(spark, name):
             assert (got[d].text or "") == t
         else:
             assert len(got[d][1]) == (2 * len(t.encode()) if name[0] == "h" else -(-len(t.encode()) // 3) * 4) and got[d].same
+
+
+def test_runs_of_whole_documents(spark):
+    pages = {(r.doc_id, r.page_idx) for r in catalog.queries()["crop_translation_whole"](spark, SF).collect()}
+    kept = {(r.doc_id, r.page_idx) for r in catalog.queries()["dup_overlap_suppress_whole"](spark, SF).collect()}
+    assert kept == pages and max(p for _, p in kept) > 0
+    docs = [r.docs for r in catalog.queries()["inverted_index_whole"](spark, SF).collect()]
+    assert min(docs) == 1

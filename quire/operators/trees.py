@@ -28,7 +28,7 @@ def walk(nodes: DataFrame, separator: str = ".", max_depth: int = 100) -> DataFr
 def reachable(edges: DataFrame, roots: DataFrame, limit: int = 1000) -> DataFrame:
     """The nodes that the roots reach over (src, dst), the roots included.
 
-    Rounds of joins until nothing new is found. Each round's nodes are checkpointed, so
+    Rounds of joins until nothing new is found; an error if ``limit`` rounds don't get there. Each round's nodes are checkpointed, so
     neither the plan nor the work of a lost executor grows with the depth.
     """
     if not edges.sparkSession.sparkContext.getCheckpointDir():
@@ -40,6 +40,6 @@ def reachable(edges: DataFrame, roots: DataFrame, limit: int = 1000) -> DataFram
     for _ in range(limit):
         new = new.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
         if new.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(new)
-    return seen
+    raise RuntimeError(f"nodes deeper than {limit - 1} steps may be left")

@@ -152,6 +152,17 @@ def resource_reachability(spark, sf):
     return trees.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
+def snapshot_diff_whole(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    old, new = o.where("o_orderdate < '2000-12-01'"), o.where("o_orderdate >= '1995-09-01'")
+    return multidoc.changed(old.drop("o_orderdate"), new.select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "F").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")), ["o_orderkey"])
+
+
+def resource_reachability_whole(spark, sf):
+    edges = table(spark, sf, "part").select(F.col("p_partkey").alias("src"), F.expr("p_partkey * 2").alias("dst"))
+    return trees.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
+
+
 def marked_content_depth(spark, sf):
     c = table(spark, sf, "conversations")
     step = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", -1).otherwise(0)
@@ -217,7 +228,7 @@ def stream_event_sessions(spark, sf):
     return got.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (doc_info_snapshot, event_props_typed_get, xref_latest_wins, as_of_prior_order, cid_map_range, cid_unmap, range_coalesce, codespace_match, orphan_repair, named_dest_resolve, outline_dest_coalesce, field_tree_fqn, outline_tree, descendants, kid_counts, tree_limits, split_chunks, split_by_bookmark, merge_documents, merge_rename, merge_dedup, content_hash_dedup, snapshot_diff, resource_reachability, marked_content_depth, marked_content_parent, rotation_angles, angle_filter, overlay_selection, permission_bits, object_packing, xref_offsets, field_import, stream_event_windows, stream_event_sessions)}
+QUERIES = {f.__name__: f for f in (doc_info_snapshot, event_props_typed_get, xref_latest_wins, as_of_prior_order, cid_map_range, cid_unmap, range_coalesce, codespace_match, orphan_repair, named_dest_resolve, outline_dest_coalesce, field_tree_fqn, outline_tree, descendants, kid_counts, tree_limits, split_chunks, split_by_bookmark, merge_documents, merge_rename, merge_dedup, content_hash_dedup, snapshot_diff, snapshot_diff_whole, resource_reachability, resource_reachability_whole, marked_content_depth, marked_content_parent, rotation_angles, angle_filter, overlay_selection, permission_bits, object_packing, xref_offsets, field_import, stream_event_windows, stream_event_sessions)}
 
 _R = "r(lo, hi, base) AS (VALUES " + ", ".join(str(r) for r in RANGES) + ")"
 _NODES = "nodes AS (SELECT 'r' || r_regionkey AS node, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer)"
@@ -248,6 +259,8 @@ SQL = {
     "content_hash_dedup": "SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY text",
     "snapshot_diff": "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0) SELECT o_orderkey, CASE WHEN o_orderstatus IS NULL THEN 'added' WHEN s IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (o_orderkey) WHERE o_orderstatus IS DISTINCT FROM s",
     "resource_reachability": "WITH RECURSIVE t AS (SELECT 1::BIGINT AS node UNION SELECT p_partkey * 2 FROM t JOIN part ON p_partkey = node WHERE p_partkey * 2 <= 2000) SELECT node FROM t",
+    "snapshot_diff_whole": "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate < DATE '2000-12-01'), b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS s FROM orders WHERE o_orderdate >= DATE '1995-09-01') SELECT o_orderkey, CASE WHEN o_orderstatus IS NULL THEN 'added' WHEN s IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (o_orderkey) WHERE o_orderstatus IS DISTINCT FROM s",
+    "resource_reachability_whole": "WITH RECURSIVE t AS (SELECT 1::BIGINT AS node UNION SELECT p_partkey * 2 FROM t JOIN part ON p_partkey = node) SELECT node FROM t",
     "marked_content_depth": f"WITH {_DEPTH} SELECT conv_id, turn, depth FROM d",
     "marked_content_parent": f"WITH {_DEPTH} SELECT conv_id, turn, (SELECT max(e.turn) FROM d e WHERE e.conv_id = d.conv_id AND e.role = 'user' AND e.turn < d.turn AND e.depth = d.depth - 1) AS parent FROM d WHERE role = 'user'",
     "rotation_angles": "SELECT vec_id, CAST((CAST(round_even(degrees(atan2(embedding[2]::DOUBLE, embedding[4]::DOUBLE)), 0) AS INT) + 360) % 360 AS INT) AS angle FROM embeddings",

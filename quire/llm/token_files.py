@@ -2,7 +2,8 @@
 
 A shard is an Arrow IPC file whose record batches hold ``BATCH`` rows each: a
 fixed-size list of token ids and one of mask bits, so sequence i of a memory-mapped
-shard is row i % BATCH of batch i // BATCH, found and read without a copy. Beside it
+shard is row i % BATCH of batch i // BATCH, found and read without a copy
+(``ShardReader.mask`` for the mask: as numpy booleans its bits are unpacked). Beside it
 lies an index file with the documents of the shard in order. Documents follow one
 another without regard to sequence ends; the last sequence is filled with zeros whose
 mask is 0.
@@ -98,6 +99,11 @@ class ShardReader:
         ids, mask = (c.flatten().slice(k, self.length) for c in b.columns)
         return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
+    def mask(self, i: int) -> pa.BooleanArray:
+        """The mask of sequence i as a view of its bits, without a copy."""
+        b, k = self.file.get_batch(i // self.batch), (i % self.batch) * self.length
+        return b.column(1).flatten().slice(k, self.length)
+
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(document, its start in this shard, its ids), one batch in memory at a time."""
         step, have, at, begin = self.length * self.batch, np.zeros(0, np.uint16), 0, 0

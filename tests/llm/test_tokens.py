@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import packing, token_files, tokens
@@ -66,6 +67,16 @@ def test_files_round_trip(spark, length):
     assert ids[:n].tolist() == flat[k : k + n] and not ids[n:].any()
 
 
+def test_masks_are_views(spark):
+    uri = f"{shared_dir(spark)}/test-masks"
+    shards = token_files.write(frame(spark, ODD * 3), "doc_id", "text", uri, VOCAB, 4)
+    reader = token_files.ShardReader(uri, min(r.shard for r in shards.collect()))
+    before = pa.total_allocated_bytes()
+    masks = [reader.mask(i) for i in range(3)]
+    assert pa.total_allocated_bytes() == before
+    assert [m.to_pylist() for m in masks] == [reader.sequence(i)[1].tolist() for i in range(3)]
+
+
 def test_files_of_nothing(spark):
     uri = f"{shared_dir(spark)}/test-nothing"
     shards = token_files.write(frame(spark, []), "doc_id", "text", uri, VOCAB)

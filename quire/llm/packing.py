@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,44 +15,64 @@ from quire.llm import tokens
 from quire.llm.common import in_batches, table
 
 CAPACITY, END = 1024, 0
-#: Documents that are packed together by one task.
-BLOCK = 4096
+#: Tokens that a task packs together, about; bounds its memory whatever the texts' lengths.
+BLOCK = 1 << 22
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Open sequences that are tried for a piece before it is cut.
-TRIES = 32
+#: Rows and bytes of an outgoing batch, at most (one row may be larger).
+OUT_ROWS, OUT_BYTES = 8192, 4 << 20
 
 
 def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
-    """Place pieces into ceil(total / capacity) sequences: (piece, from, length, sequence, offset).
+    """Place pieces of at most ``capacity`` into ceil(total / capacity) sequences: (piece, from, length, sequence, offset).
 
     Longest first (ties: in the given order), each goes to the sequence of lowest cost
-    that has room for it. If none of the cheapest ``TRIES`` has, it is cut: the cheapest
-    takes what it can hold and the rest goes on. The sequences hold just enough, so all
-    but the last free tokens of a block are used.
+    (ties: the first) among all that have room for it. If none has, the sequence of
+    lowest cost that isn't full takes what it can hold, and the rest takes its turn among
+    the pieces of its length, behind them. The sequences hold just enough, so all but the
+    last free tokens of a block are used.
+
+    Lengths only fall, so a sequence with room for one piece has room for the next until
+    it takes one; one without is set aside under its free room and comes back when the
+    lengths have fallen that far. ``open`` thus holds the sequences with room and no
+    other, and its least is the exact choice.
     """
-    out, total = [], sum(lengths)
-    free = [capacity] * -(-total // capacity)
-    heap = [(0.0, s) for s in range(len(free))]
-    for piece in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        at, left = 0, lengths[piece]
-        while left:
-            tried = []
-            while heap and len(tried) < TRIES:
-                cost, s = heapq.heappop(heap)
-                if free[s] >= left:
+    out: list[tuple[int, int, int, int, int]] = []
+    count = -(-sum(lengths) // capacity)
+    free, cost = [capacity] * count, [0.0] * count
+    waiting: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    for piece, n in enumerate(lengths):
+        waiting[n].append((piece, 0))
+    room = [(0.0, s) for s in range(count)]  # equal costs in order: a heap
+    aside: list[list[int]] = [[] for _ in range(capacity + 1)]
+    all_aside: list[tuple[float, int]] = []
+    for n in range(capacity, 0, -1):
+        for s in aside[n]:
+            if free[s] == n:
+                heapq.heappush(room, (cost[s], s))
+        aside[n] = []
+        added = linear * n + quadratic * n * n
+        for piece, at in waiting[n]:
+            if room:
+                c, s = heapq.heappop(room)
+                out.append((piece, at, n, s, capacity - free[s]))
+                free[s] -= n
+                cost[s] = c + added
+                if free[s] >= n:
+                    heapq.heappush(room, (cost[s], s))
+                elif free[s]:
+                    aside[free[s]].append(s)
+                    heapq.heappush(all_aside, (cost[s], s))
+                continue
+            # all sequences are full or aside here; entries of those that have come back since have another cost or no room
+            while True:
+                c, s = heapq.heappop(all_aside)
+                if free[s] and cost[s] == c:
                     break
-                tried.append((cost, s))
-            else:
-                cost, s = tried.pop(0)
-            for x in tried:
-                heapq.heappush(heap, x)
-            n = min(left, free[s])
-            out.append((piece, at, n, s, capacity - free[s]))
-            free[s] -= n
-            at, left = at + n, left - n
-            if free[s]:
-                heapq.heappush(heap, (cost + linear * n + quadratic * n * n, s))
+            m = free[s]
+            out.append((piece, at, m, s, capacity - m))
+            free[s] = 0
+            waiting[n - m].append((piece, at + m))
     return out
 
 
@@ -61,45 +82,59 @@ def pack(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: i
 
     Each text is encoded and ended with the end id; a null text is an empty one, so every
     row has a piece. A document longer than the capacity is first cut into full pieces and
-    a rest. Rows are dealt into blocks by a hash of their id, about ``block`` in each, and
-    a block is packed by itself, so sequences never cross blocks and a block's padding is
-    less than one sequence. ``sequence_id`` is block * 2**32 + the sequence in the block.
-    Rows that share an id are packed each; an empty table gives an empty result.
+    a rest. A task packs its own rows, in blocks of about ``block`` tokens (a longer
+    document is a block with its neighbours), so nothing is shuffled, equal or null ids
+    are no hot group, and memory is bounded by the block and the longest text. Sequences
+    never cross blocks; a block's padding is less than one sequence. ``sequence_id`` is
+    partition * 2**32 + the sequence in the partition: which rows share a sequence
+    depends on how the table is split, the ids of a document don't. Rows that share an id
+    are packed each; other columns are left out; an empty table gives an empty result.
     """
     path = vocabulary
-    blocks = max(1, -(-df.count() // block))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path)
-        end = np.array([END], enc.dtype).tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids = [x + end for x in enc.many(part.column(2).to_pylist())]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array([enc.width] * len(ids), pa.int32())], names=["block", "doc_id", "ids", "width"])
-
-    def place(group: pa.Table) -> pa.Table:
-        # the order in which a shuffle delivers rows must not show
-        group = group.sort_by([("doc_id", "ascending")])
-        docs, raw, width = group["doc_id"].to_pylist(), group["ids"].to_pylist(), group["width"][0].as_py()
-        ids = sorted(((d is not None, d or 0, x) for d, x in zip(docs, raw, strict=True)))
-        first = int(group["block"][0].as_py()) << 32
-        pieces = []
-        for i, (_, _, x) in enumerate(ids):
-            n = len(x) // width
-            pieces += [(i, at, min(capacity, n - at)) for at in range(0, n, capacity)]
+    def place(docs: list[tuple[int | None, bytes]], width: int, first: int) -> Iterator[pa.RecordBatch]:
+        pieces = [(i, at, min(capacity, len(x) // width - at)) for i, (_, x) in enumerate(docs) for at in range(0, len(x) // width, capacity)]
         cols: list[list] = [[] for _ in range(7)]
+
+        def batch() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(cols)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            for c in cols:
+                c.clear()
+            return out
+
+        size = 0
         for p, at, n, s, offset in assign([x[2] for x in pieces], capacity):
             i, begin, _ = pieces[p]
-            start, data = begin + at, ids[i][2]
-            part = np.frombuffer(data, f"<u{width}", n, start * width).astype("<u4").tobytes()
-            for c, v in zip(cols, (ids[i][1] if ids[i][0] else None, start, n, part, len(data) // width, first + s, offset), strict=True):
+            doc, data = docs[i]
+            part = np.frombuffer(data, f"<u{width}", n, (begin + at) * width).astype("<u4").tobytes()
+            for c, v in zip(cols, (doc, begin + at, n, part, len(data) // width, first + s, offset), strict=True):
                 c.append(v)
-        return pa.table([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(cols)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    dealt = df.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    encoded = dealt.transform(in_batches, encode, "block long, doc_id long, ids binary, width int")
-    return encoded.groupBy("block").applyInArrow(place, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+            size += len(part)
+            if len(cols[0]) >= OUT_ROWS or size >= OUT_BYTES:
+                yield batch()
+                size = 0
+        if cols[0]:
+            yield batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = tokens.encoder(path)
+        end = np.array([END], enc.dtype).tobytes()
+        first = TaskContext.get().partitionId() << 32
+        held: list[tuple[int | None, bytes]] = []
+        size = 0
+        for b in batches:
+            for doc, ids in zip(b.column(0).to_pylist(), enc.many(b.column(1).to_pylist()), strict=True):
+                held.append((doc, ids + end))
+                size += len(ids) // enc.width + 1
+                if size >= block:
+                    yield from place(held, enc.width, first)
+                    first += -(-size // capacity)
+                    held, size = [], 0
+        if held:
+            yield from place(held, enc.width, first)
+
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.transform(in_batches, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op3(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -90,10 +90,11 @@ def test_files_with_null_and_repeated_ids(spark):
     assert sorted((r.doc_id is None, r.n_tokens) for r in rows) == [(False, 2), (False, 2), (True, 1), (True, 3)]
 
 
-@pytest.mark.parametrize("block", [3, 4096])
+@pytest.mark.parametrize("block", [1, 3000, packing.BLOCK])
 def test_packing_is_a_partition(spark, block):
     texts = ODD * 4
-    rows = packing.pack(frame(spark, texts), "doc_id", "text", VOCAB, block=block).collect()
+    df = frame(spark, texts)
+    rows = packing.pack(df.coalesce(1) if block == packing.BLOCK else df, "doc_id", "text", VOCAB, block=block).collect()
     want = expected(texts)
     docs, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -107,7 +108,7 @@ def test_packing_is_a_partition(spark, block):
         s.sort(key=lambda r: r.offset)
         assert [r.offset for r in s] == [sum(x.length for x in s[:i]) for i in range(len(s))]
         assert sum(r.length for r in s) <= 1024
-    if block == 4096:
+    if block == packing.BLOCK:
         assert len(seqs) == -(-sum(map(len, want)) // 1024)
 
 
@@ -126,6 +127,33 @@ def test_assign_balances_cost():
     assert np.std(list(cost.values())) < np.std(list(arrived.values()))
 
 
+def naive_assign(lengths, capacity):
+    """Every sequence is looked at for every piece."""
+    pieces = [(n, i, 0) for i, n in enumerate(lengths)]
+    seqs = [[0.0, capacity] for _ in range(-(-sum(lengths) // capacity))]
+    out = []
+    while pieces:
+        k = min(range(len(pieces)), key=lambda k: -pieces[k][0])  # the first of the longest
+        n, piece, at = pieces.pop(k)
+        fits = [s for s in range(len(seqs)) if seqs[s][1] >= n]
+        s = min(fits or [s for s in range(len(seqs)) if seqs[s][1]], key=lambda s: (seqs[s][0], s))
+        m = min(n, seqs[s][1])
+        out.append((piece, at, m, s, capacity - seqs[s][1]))
+        seqs[s][0] += packing.LINEAR * m + packing.QUADRATIC * m * m
+        seqs[s][1] -= m
+        if m < n:
+            pieces.append((n - m, piece, at + m))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_assign_like_brute_force(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 16, 64, 1024])
+    lengths = [min(capacity, 1 + int(rng.expovariate(1 / (capacity / rng.choice([2, 3, 8]))))) for _ in range(rng.randint(1, 200))]
+    assert packing.assign(lengths, capacity) == naive_assign(lengths, capacity)
+
+
 def test_packing_nothing(spark):
     assert packing.pack(frame(spark, []), "doc_id", "text", VOCAB).collect() == []
 

@@ -68,6 +68,21 @@ SHORTEST = {
 }
 
 
+def test_secrets_of_long_texts(spark):
+    """A megabyte of short hexadecimal words, and one of nothing but secrets, with wide characters between."""
+    import time
+
+    words = "a bad face in the cafe " * 45_000 + "deadbeef" * 4
+    many = "".join(f"token={i:08d}xyz \U0001f600é " for i in range(20_000))
+    df = spark.createDataFrame([(0, words), (1, many)], "doc_id long, text string")
+    begin = time.time()
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.secrets] for r in secrets.scan(df, "doc_id", "text").collect()}
+    cut = {r.doc_id: r.text for r in secrets.redact(secrets.scan(df, "doc_id", "text"), "text").collect()}
+    assert time.time() - begin < 60  # a square of the matches or of the text takes many minutes
+    assert got == {0: naive_spans(words), 1: naive_spans(many)}
+    assert cut == {0: words[:-32] + "[secret]", 1: "[secret] \U0001f600é " * 20_000}
+
+
 def test_shortest_secrets(spark):
     assert sorted(SHORTEST) == sorted(r.kind for r in secrets.RULES)
     long = ["eyJ" + "a" * 40 + ".eyJ" + "b" * 60 + "." + "c" * n for n in (1, 26)]

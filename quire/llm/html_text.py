@@ -32,11 +32,16 @@ MARKS = frozenset(
     " subscription sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist respond disqus footer masthead header topbar share sharing social"
     " related recommended popup modal overlay toolbar pagination pager widget widgets login signup skip".split()
 )
+#: Words that say nothing of what a container holds, and those that say that it is a part of the article.
+PLAIN = frozenset("area bar block bottom box button buttons center column container content form group inner item items left links list main outer page panel right row section site slot thread top unit wrap wrapper zone".split())
+OWN = frozenset("article body content entry headline main post story text title".split())
 CONTAINERS = frozenset("div section ul ol dl table p span article details figure blockquote center header a".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/\"']|$)", re.I)
+#: One attribute after the other; a value's own text is never searched for names.
+_ATTR = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 _PART = re.compile(r"[^a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Node:
@@ -95,37 +100,58 @@ def parse(page: str) -> Node:
     return root
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names (lower-case) and values of a start tag's attributes; of equal names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        value = next((v for v in m.groups()[1:] if v is not None), "")
+        out.setdefault(m[1].lower(), _html.unescape(value) if "&" in value else value)
+    return out
+
+
+def marked(names: str, inside: bool) -> bool:
+    """Whether a class or id says that the element is no part of the article.
+
+    One name of it must be a word of ``MARKS``, or be made of such words and of plain
+    ones. Outside an article one such word is enough, but for names that also hold a word
+    of the article's own parts, as in ``post-header``.
+    """
+    for name in names.split():
+        parts = [x for x in _PART.split(_HUMP.sub("-", name).lower()) if x and not x.isdigit()]
+        if MARKS.isdisjoint(parts):
+            continue
+        if all(x in MARKS or x in PLAIN for x in parts) or (not inside and OWN.isdisjoint(parts)):
+            return True
+        if "comments" in parts or "comment" in parts:
+            return True
+    return False
+
+
 def dropped(node: Node, inside: bool) -> bool:
-    """Whether rules alone take the element out; ``inside``: it stands in an article."""
+    """Whether rules alone take the element out; ``inside``: it stands in an article or main element."""
     tag = node.tag
     if tag in DROP or (tag == "header" and not inside):
         return True
     if tag in ("html", "body", "main") or not node.attrs.strip("/ "):
         return False
-    for m in _ATTR.finditer(node.attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and tag in CONTAINERS and not MARKS.isdisjoint(_PART.split(value)):
-            return True
-    return False
+    has = attributes(node.attrs)
+    if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", has.get("style", ""), re.I):
+        return True
+    if has.get("role", "").lower() in ROLES:
+        return True
+    return tag in CONTAINERS and any(marked(has[a], inside) for a in ("class", "id") if a in has)
 
 
 def roots(tree: Node) -> list[Node]:
-    """Where the main text is: the articles, else the main elements, else the whole page."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-
-    stack = [tree]
+    """Where the main text is: the outermost article and main elements in page order, else the whole page."""
+    found, stack = [], [tree]
     while stack:
         node = stack.pop()
-        if node.tag in found:
-            found[node.tag].append(node)
-            if node.tag == "article":
-                continue
+        if node.tag in ("article", "main"):
+            found.append(node)
+            continue
         stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not dropped(k, False))
-    return found["article"] or found["main"] or [tree]
+    return found or [tree]
 
 
 def _each(tree: Node) -> Iterator[tuple[Node, list[Node]]]:
@@ -175,7 +201,7 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
     now: list[str] = []
 
     def flush() -> None:
-        if text := " ".join(_html.unescape("".join(now)).split()):
+        if text := " ".join("".join(now).split()):
             blocks.append(text)
         now.clear()
 
@@ -188,7 +214,7 @@ def extract(page: str | None, template: frozenset[int] = frozenset()) -> str:
                 continue
             node, inside = item
             if isinstance(node, str):
-                now.append(node)
+                now.append(_html.unescape(node) if "&" in node else node)
                 continue
             if template and node.key in template:
                 continue
@@ -210,39 +236,45 @@ def extract_pages(df: DataFrame, url_col: str, html_col: str, carry: list[str],
     distinct pages (copies of one page are one page). Subtrees in more than ``least``
     pages and in more than ``share`` of the host's are its template. Then the text is taken from what
     structural rules and the template leave. Null or empty html gives an empty text; a
-    null URL belongs to the host without a name. Every row gives one row; ``carry`` must
-    not hold ``text``.
-
-    Only hashes are shuffled, summed up per task before; a host with a third of all pages
-    is dealt by (host, subtree). The pages to be changed are written as a small table, so
-    that the last join's plan follows from its known size.
+    null URL belongs to the host without a name. Every row gives one row, repeated rows
+    alike; an empty table gives an empty result. A carried ``text`` is replaced; other
+    columns of any name pass through.
+
+    Pages are parsed twice: for their hashes, which are written once and read for every
+    count, and for the text. Only hashes are shuffled, summed up per task before; a host
+    with a third of all pages is dealt by (host, subtree). The pages to be changed are
+    written as a small table, so that the last join's plan follows from its known size.
     """
-    base = df.select(*carry, urls.host(F.col(url_col).cast("string")).alias("_host"), F.md5(F.coalesce(F.col(html_col).cast("string"), F.lit(""))).alias("_print"), F.col(html_col).cast("string").alias("_html"))
+    kept = [c for c in carry if c != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None).cast("string")
+    base = df.select(row.alias("row"), urls.host(F.col(url_col).cast("string")).alias("host"), F.md5(F.coalesce(F.col(html_col).cast("string"), F.lit(""))).alias("print"), F.col(html_col).cast("string").alias("html"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(map(subtrees, b.column(2).to_pylist()), pa.list_(pa.int64()))], names=["_host", "_print", "keys"])
-
-    pages = base.select("_host", "_print", "_html").transform(in_batches, hashes, "_host string, _print string, keys array<long>")
-    pages = pages.groupBy("_host", "_print").agg(F.first("keys").alias("keys"))
-    size = pages.groupBy("_host").agg(F.count("*").alias("_pages"))
-    trees = pages.select("_host", "_print", F.explode("keys").alias("_key"))
-    often = trees.groupBy("_host", "_key").agg(F.count("*").alias("_in")).where(F.col("_in") > least)
-    often = often.join(size, "_host").where(F.col("_in") > share * F.col("_pages")).select("_host", "_key")
-    cuts = trees.join(often, ["_host", "_key"]).groupBy("_host", "_print").agg(F.collect_set("_key").alias("_cuts"))
-    cuts = Scratch(df.sparkSession, "templates").keep(cuts, "cuts")
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(map(subtrees, b.column(2).to_pylist()), pa.list_(pa.int64()))], names=["host", "print", "keys"])
+
+    scratch = Scratch(df.sparkSession, "templates")
+    hashed = scratch.keep(base.select("host", "print", "html").transform(in_batches, hashes, "host string, print string, keys array<long>"), "hashes")
+    pages = hashed.groupBy("host", "print").agg(F.first("keys").alias("keys"))
+    size = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    trees = pages.select("host", "print", F.explode("keys").alias("key"))
+    often = trees.groupBy("host", "key").agg(F.count("*").alias("in")).where(F.col("in") > least)
+    often = often.join(size, "host").where(F.col("in") > share * F.col("pages")).select("host", "key")
+    cuts = trees.join(often, ["host", "key"]).groupBy("host", "print").agg(F.collect_set("key").alias("cuts"))
+    cuts = scratch.keep(cuts, "cuts")
+    scratch.drop("hashes")
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*(base.schema[c] for c in carry), T.StructField("text", T.StringType())])
-    at = len(carry)
+    schema = T.StructType([T.StructField("row", base.schema["row"].dataType), T.StructField("text", T.StringType())])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [extract(h, frozenset(c or ())) for h, c in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True)]
-            yield pa.record_batch([*b.columns[:at], pa.array(got, pa.string())], names=[*carry, "text"])
+            got = [extract(h, frozenset(c or ())) for h, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), pa.array(got, pa.string())], names=["row", "text"])
 
-    return base.join(cuts, ["_host", "_print"], "left").select(*carry, "_html", "_cuts").transform(in_batches, texts, schema)
+    out = base.join(cuts, ["host", "print"], "left").select("row", "html", "cuts").transform(in_batches, texts, schema)
+    return out.select(*(["row.*"] if kept else []), "text")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,10 @@ def repeat_words(words: list[bytes]) -> int:
     return int((np.cumsum(hit[:-1]) > 0).sum())
 
 
+def line_hash(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words).translate(_FOLD)) - (1 << 63)
+
+
 def counts(text: str | None) -> tuple:
     """The columns of ``_STATS`` for one text; a null text counts as an empty one.
 
@@ -54,7 +58,7 @@ def counts(text: str | None) -> tuple:
         if w:
             dup += line in seen
             seen.add(line)
-    hashes = [xxhash.xxh3_64_intdigest(b" ".join(w).translate(_FOLD)) - (1 << 63) if w else None for w in with_words]
+    hashes = [line_hash(w) if w else None for w in with_words]
     return (
         len(words),
         len(text) - sum(map(text.count, WORD_BREAKS)),
@@ -67,18 +71,30 @@ def counts(text: str | None) -> tuple:
     )
 
 
-def _count_all(df: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
-    schema = T.StructType([df.schema[c] for c in carry] + T._parse_datatype_string(_STATS).fields)
+def _count_all(base: DataFrame) -> DataFrame:
+    """(row, host, text) with the counts in place of the text."""
     stats = T._parse_datatype_string(_STATS)
     types = {"long": pa.int64(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-    names, kinds, at = [*carry, *stats.names], [types[f.dataType.simpleString()] for f in stats.fields], len(carry)
+    kinds = [types[f.dataType.simpleString()] for f in stats.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(zip(*map(counts, b.column(2).to_pylist()), strict=True)) or [()] * len(kinds)
+            yield pa.record_batch([*b.columns[:2], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["row", "host", *stats.names])
+
+    return base.transform(in_batches, run, T.StructType([base.schema["row"], base.schema["host"], *stats.fields]))
+
+
+def _lines_only(base: DataFrame) -> DataFrame:
+    """(host, print, lines): the part of the counts that a host's lines are counted by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = list(zip(*map(counts, b.column(at).to_pylist()), strict=True)) or [()] * len(kinds)
-            yield pa.record_batch([*b.columns[:at], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+            lines = [[line_hash(w) for x in t.split(b"\n") if (w := x.split())] for t in texts]
+            yield pa.record_batch([b.column(0), pa.array(map(xxhash.xxh3_128_digest, texts), pa.binary()), pa.array(lines, pa.list_(pa.int64()))], names=["host", "print", "lines"])
 
-    return df.select(*carry, F.col(text_col).cast("string").alias("_text")).transform(in_batches, run, schema)
+    return base.select("host", "text").transform(in_batches, run, "host string, print binary, lines array<long>")
 
 
 def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least: int = LEAST, share: float = SHARE, loss: float = LOSS, many: int | None = None) -> DataFrame:
@@ -91,30 +107,40 @@ def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least:
     than ``share`` of the host's goes, as does one in more than ``many`` of them whatever
     their share, so that the limit doesn't rise with a host without end. A document that
     loses more than ``loss`` of its words is rejected, as is one that fails the base rules.
-    A null host is a host.
-    Null and empty texts have no words and fail. Every row of the input gives one row.
+    A null host is a host. Null and empty texts have no words and fail. Every row of the
+    input gives one row, repeated rows alike; an empty table gives an empty result.
+    Carried columns with the name of a count or a verdict are replaced, others of any
+    name pass through.
 
-    Texts are reduced to numbers where they are read; only line hashes are shuffled,
+    Texts are reduced to numbers where they are read, once if ``carry`` leaves the text
+    out, else once for their lines and once for the rest. Only line hashes are shuffled,
     summed up per task before. The hot host is no single group anywhere: its lines are
     dealt by (host, line) and its documents by (host, text).
     """
-    if host_col not in carry:
-        raise ValueError("carry must hold the host column")
-    got = _count_all(df, text_col, carry).withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("null")))
-    texts = got.groupBy("_host", "print").agg(F.first("lines").alias("lines"))
-    size = texts.groupBy("_host").agg(F.count("*").alias("_docs"))
-    lines = texts.select("_host", "print", F.explode(F.array_distinct(F.array_compact("lines"))).alias("_line"))
-    often = lines.groupBy("_host", "_line").agg(F.count("*").alias("_in")).where(F.col("_in") > least)
-    limit = share * F.col("_docs") if many is None else F.least(share * F.col("_docs"), F.lit(float(many)))
-    often = often.join(size, "_host").where(F.col("_in") > limit).select("_host", "_line")
-    removed = lines.join(often, ["_host", "_line"]).groupBy("_host", "print").agg(F.collect_set("_line").alias("removed"))
-    removed = Scratch(df.sparkSession, "lines").keep(removed, "removed")  # as a file its size is known before the join below is planned
-    out = got.join(removed, ["_host", "print"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
+    made = [*T._parse_datatype_string(_STATS).names, "base_failed", "removed", "lost_words", "kept"]
+    kept = [c for c in carry if c not in made]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None).cast("string")
+    host = F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`").cast("string")), F.lit("null"))
+    base = df.select(row.alias("row"), host.alias("host"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    scratch = Scratch(df.sparkSession, "lines")
+    if text_col in kept:
+        got, hashed = _count_all(base), scratch.keep(_lines_only(base), "hashed")
+    else:
+        got = hashed = scratch.keep(_count_all(base), "counted")
+    texts = hashed.groupBy("host", "print").agg(F.first("lines").alias("lines"))
+    size = texts.groupBy("host").agg(F.count("*").alias("docs"))
+    lines = texts.select("host", "print", F.explode(F.array_distinct(F.array_compact("lines"))).alias("line"))
+    often = lines.groupBy("host", "line").agg(F.count("*").alias("in")).where(F.col("in") > least)
+    limit = share * F.col("docs") if many is None else F.least(share * F.col("docs"), F.lit(float(many)))
+    often = often.join(size, "host").where(F.col("in") > limit).select("host", "line")
+    removed = lines.join(often, ["host", "line"]).groupBy("host", "print").agg(F.collect_set("line").alias("removed"))
+    removed = scratch.keep(removed, "removed")  # as a file its size is known before the join below is planned
+    out = got.join(removed, ["host", "print"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
     gone = F.transform(F.arrays_zip("lines", "line_words"), lambda x: F.when(F.array_contains("removed", x["lines"]), x["line_words"]).otherwise(0))
     out = out.withColumn("lost_words", F.when(F.size("removed") > 0, F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long")))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= loss * F.col("n_words"))).drop("_host", "print")
+    out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= loss * F.col("n_words")))
+    return out.select(*(["row.*"] if kept else []), *(c for c in made if c != "print"))
 
 
 def clean(judged: DataFrame, text_col: str) -> DataFrame:

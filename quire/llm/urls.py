@@ -118,7 +118,7 @@ def fit(judged: DataFrame, sample: int = SAMPLE) -> Ratio:
 
     At most ``sample`` distinct URLs of each verdict are used, the first by a hash of the
     URL, whatever the table's size; that bounds the driver's work and the models' size.
-    Without URLs of both verdicts the method allows everything that has a host.
+    Without URLs of both verdicts the method allows everything.
     """
 
     def some(verdict: str) -> list[str]:
@@ -131,9 +131,10 @@ def fit(judged: DataFrame, sample: int = SAMPLE) -> Ratio:
 def judge(df: DataFrame, url_col: str, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``df`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    A rule decides where one fits; elsewhere the model ratio of host + path does. A URL
-    without a host (null, empty, no ``://``) is blocked. Columns of ``df`` with those
-    names are replaced; repeated rows are judged alike; an empty table stays empty.
+    A rule decides where one fits; elsewhere the model ratio of host + path does, also for
+    URLs without a host (null, empty, no ``://``), whose host + path is empty. Columns of
+    ``df`` with those names are replaced; repeated rows are judged alike; an empty table
+    stays empty.
     """
     made = ("host", "path", "rule", "ruling", "verdict")
     url = F.col("_url")
@@ -145,10 +146,10 @@ def judge(df: DataFrame, url_col: str, rules=RULES, sample: int = SAMPLE) -> Dat
     def allowed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ratio = model.value
         for b in batches:
-            yield b.map(lambda u: bool(u) and ratio.allows(u))
+            yield b.map(lambda u: u is not None and ratio.allows(u))
 
-    # an empty text for rows that a rule decides: they cost nothing
-    text = F.when(F.col("ruling").isNull() & (F.col("host") != ""), F.concat("host", "path")).otherwise(F.lit(""))
+    # null for rows that a rule decides: they cost nothing
+    text = F.when(F.col("ruling").isNull(), F.concat("host", "path"))
     verdict = F.coalesce(F.col("ruling"), F.when(allowed(text), F.lit("allow")).otherwise(F.lit("block")))
     return rows.withColumn("verdict", verdict).drop("ruling")
 

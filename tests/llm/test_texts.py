@@ -1,5 +1,6 @@
 """Secrets, quality rules, sharding, URLs and page texts on small hard cases; the SQL on small tables."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -108,13 +109,14 @@ def test_quality_lines(spark):
         rows.append((100 + i, f"All the same here {i:02d}\nand here the same again {i:02d}\nthen w{i}", "b", 1))
     rows += [(300 + i, rows[0][1], "a", 1) for i in range(50)]  # copies count once
     rows += [(900, None, "a", 1), (901, "", None, 1), (902, "x " * 30_000, "c", 1), (903, " ".join(words[:50]), None, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lines int")
-    got = {r.doc_id: r for r in quality.judge(df.drop("lines"), "text", "source", ["doc_id", "source", "text"]).collect()}
+    df = spark.createDataFrame([(*r, "h", i) for i, r in enumerate(rows)], "doc_id long, text string, source string, lines int, host string, row int")
+    got = {r.doc_id: r for r in quality.judge(df, "text", "source", ["doc_id", "source", "text", "lines", "host", "row"]).collect()}
+    assert {r.host for r in got.values()} == {"h"} and isinstance(got[0].lines, list)
     assert all(got[i].kept and got[i].lost_words == (8 if i < 40 else 0) for i in range(60))
     assert all(got[300 + i].kept for i in range(50))
     assert not any(got[100 + i].kept for i in range(60))
     assert [got[i].kept for i in (900, 901, 902, 903)] == [False, False, False, True]
-    clean = {r.doc_id: r.text for r in quality.clean(quality.judge(df.drop("lines"), "text", "source", ["doc_id", "source", "text"]), "text").collect()}
+    clean = {r.doc_id: r.text for r in quality.clean(quality.judge(df, "text", "source", ["doc_id", "source", "text"]), "text").collect()}
     assert clean[0] == rows[0][1].split("\n")[0] and clean[903] == rows[-1][1]
     assert quality.judge(df.limit(0), "text", "source", ["doc_id", "source"]).collect() == []
 
@@ -167,6 +169,60 @@ def test_shards(spark, per_bucket):
     assert sharding.interleave(df.limit(0), "doc_id", "source", 3).collect() == []
 
 
+#: Pages and their main text.
+PAGES = {
+    '<article><p title="hidden">keep</p></article>': "keep",
+    '<p data-id="ad">stays</p>': "stays",
+    '<p>a <a href="/x?id=menu">link text</a></p>': "a link text",
+    '<article><div class="post-header"><h1>Title</h1></div><p>x</p></article>': "Title\n\nx",
+    '<div class="entry-header"><h1>Title</h1></div><p class="promo-code-story">Codes</p>': "Title\n\nCodes",
+    "<main><h1>T</h1><p>lead</p><article>card</article></main>": "T\n\nlead\n\ncard",
+    "<p>A &<b>lt;</b> B</p>": "A &lt; B",
+    "<p>A &lt;b&gt; &amp;amp; C</p>": "A <b> &amp; C",
+    '<div class="site-header">no</div><div id="cookieBanner">no</div><section class="comments-area">no</section><p>yes</p>': "yes",
+    '<article><p>yes</p><div class="share-buttons">no</div><div class="ad-slot">no</div><div id="post-comments">no</div><p hidden>no</p><p style="color:red; display : none">no</p></article>': "yes",
+    "<body><nav>no</nav><header>no</header><p>one<p>two<br>three<table><tr><td>a<td>b</table><aside>no</aside><form>no</form><footer>no</footer>": "one\n\ntwo three\n\na\n\nb",
+    "<script>if (a < b) '</p>'</script><style>p{}</style><p>x <!-- no --> y<!-- <p>no": "x y",
+    '<p class=ad>no</p><p class=add>yes</p><p class="a\'b">more</p>': "yes\n\nmore",
+    "": "",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_main_text(page):
+    assert html_text.extract(page) == PAGES[page]
+
+
+def naive_template(pages):
+    """The subtrees of each host that stand in more than LEAST and more than SHARE of its distinct pages."""
+    distinct, cut = {}, {}
+    for host, page in pages:
+        distinct.setdefault(host, set()).add(page or "")
+    for host, ps in distinct.items():
+        n = Counter(k for p in ps for k in set(html_text.subtrees(p)))
+        cut[host] = frozenset(k for k, v in n.items() if v > html_text.LEAST and v > html_text.SHARE * len(ps))
+    return cut
+
+
+def test_templates_like_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(90):
+        host = f"h{i % 3}.com"
+        furniture = "<div><b>Our site</b> since 1999</div>" if i % 3 == 0 or i % 7 == 0 else ""
+        side = "<div>Read us</div>" if rng.random() < 0.5 else ""
+        rows.append((i, f"http://{host}/{i}", f"<html><body>{furniture}<p>own text {i}</p>{side}</body></html>", "x", 1, 2))
+    rows += [(200 + i, "http://h1.com/c", rows[7][2], "x", 1, 2) for i in range(40)] + [(300, None, None, None, 1, 2), (301, "no host", "", "x", 1, 2), (302, None, "<p>" + "long " * 100_000, "x", 1, 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host int, cuts int")
+    cut = naive_template([((re.search("://([^/]*)", u or "") or ["", ""])[1], h) for _, u, h, *_ in rows])
+    got = html_text.extract_pages(df, "url", "html", df.columns)
+    assert sorted(got.columns) == sorted(df.columns)
+    want = {p: html_text.extract(h, cut[(re.search("://([^/]*)", u or "") or ["", ""])[1]]) for p, u, h, *_ in rows}
+    assert {r.page_id: r.text for r in got.collect()} == want
+    assert "Our site" not in want[0] and "Our site" in want[7] and want[300] == want[301] == ""
+    assert html_text.extract_pages(df.limit(0), "url", "html", ["page_id"]).collect() == []
+
+
 def test_url_parts_and_rules(spark):
     cases = {
         "https://A.Example.ORG/es/1?x#y": ("a.example.org", "/es/1", "example.org/es/", "block"),
@@ -182,8 +238,9 @@ def test_url_parts_and_rules(spark):
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, "url").collect()}
     for u, want in cases.items():
         assert got[u][:3] == want[:3]
-        if want[2] or not want[0]:
+        if want[2]:
             assert got[u][3] == want[3]
+    assert len({got[u][3] for u in cases if not cases[u][0]}) == 1
 
 
 def test_ratio_learns():
@@ -194,11 +251,50 @@ def test_ratio_learns():
     assert r.accuracy > 0.97
     assert r.allows("site7.org/news/77777") and not r.allows("cheap-pills3.biz/win/88")
     assert urls.Ratio([], bad).allows("anything")
-    m = urls.Markov(2).fit(["ab", "ac"])
-    # after "a": b and c once each, two kinds; below it the counts of all characters
-    low = (1 + 4 / 256 * 1) / (6 + 4)
-    assert m.after["a"] == {"b": 1, "c": 1} and 0 < low < 1
-    assert sum(2.718281828 ** m.log(x) for x in ("ab", "ac")) < 1
+    assert sum(2.718281828 ** urls.Markov(2).fit(["ab", "ac"]).log(x) for x in ("ab", "ac")) < 1
+
+
+def naive_log(texts, order, text):
+    """The probability of each character by counting over the texts anew, from the longest context down."""
+    texts, t, total = ["\x02" + x + "\x03" for x in texts], "\x02" + text + "\x03", 0.0
+
+    def p(context, c):
+        after = Counter(x[i + len(context)] for x in texts for i in range(max(0, 1 - len(context)), len(x) - len(context)) if x.startswith(context, i))
+        lower = 1 / 256 if not context else p(context[1:], c)
+        n, kinds = sum(after.values()), len(after)
+        return (after[c] + kinds * lower) / (n + kinds) if n else lower
+
+    for i in range(1, len(t)):
+        total += math.log(p(t[max(0, i - order) : i], t[i]))
+    return total
+
+
+def test_models_like_brute_force():
+    rng = random.Random(4)
+    for order in (1, 3, 5):
+        texts = ["".join(rng.choices("abc/.", k=rng.randint(0, 12))) for _ in range(30)]
+        m = urls.Markov(order).fit(texts)
+        for t in ["", "a", "abcabc", "zz", "a/b.c/a", texts[3]]:
+            assert abs(m.log(t) - naive_log(texts, order, t)) < 1e-9
+
+
+def test_url_query_like_brute_force(spark):
+    """Rules by hand, and the ratio of two naive models where none fits, with the same calibration."""
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
+    got = {r.page_id: r for r in urls.op1(spark, SF).collect()}
+    assert len(got) == len(rows)
+    cut = {}
+    for r in rows:
+        m = re.search(r"(?s)://([^/?#]*)([^?#]*)", r.url or "")
+        h, p = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+        fits = [(len(x), v, x) for v, x in urls.RULES if (h == x.split("/")[0] or h.endswith("." + x.split("/")[0])) and p.startswith(x[x.index("/") :])]
+        cut[r.page_id] = h, p, max(fits, default=(0, None, None))
+    decided = {v: sorted({h + p for h, p, f in cut.values() if f[1] == v}) for v in ("allow", "block")}
+    ordered = spark.createDataFrame([(v, u) for v, us in decided.items() for u in us], "v string, u string").selectExpr("v", "u", "xxhash64(u) AS x").collect()
+    ratio = urls.Ratio(*([r.u for r in sorted(ordered, key=lambda r: (r.x, r.u)) if r.v == v][: urls.SAMPLE] for v in ("allow", "block")))
+    for k, (h, p, (_, v, rule)) in cut.items():
+        want = v or ("allow" if ratio.allows(h + p) else "block")
+        assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (h, p, rule, want)
 
 
 def test_pages(spark):

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from quire.llm.common import WORD_BREAKS, Scratch, in_batches, table
 
-#: A line is above the limit in more than LEAST documents and more than a SHARE of its host's.
-LEAST, SHARE = 10, 0.25
+#: A line is above the limit in more than LEAST documents and more than a SHARE of its host's, or in more than MANY whatever their share.
+LEAST, SHARE, MANY = 10, 0.05, 1000
 #: A document that loses more than this share of its words is depleted.
 LOSS = 0.5
 
@@ -97,7 +97,7 @@ def _lines_only(base: DataFrame) -> DataFrame:
     return base.select("host", "text").transform(in_batches, run, "host string, print binary, lines array<long>")
 
 
-def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least: int = LEAST, share: float = SHARE, loss: float = LOSS, many: int | None = None) -> DataFrame:
+def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least: int = LEAST, share: float = SHARE, loss: float = LOSS, many: int | None = MANY) -> DataFrame:
     """``carry`` of every row, its counts, ``base_failed``, ``removed`` (hashes of the lines
     above the limits), ``lost_words`` and ``kept``.
 
@@ -171,7 +171,7 @@ good AS (SELECT *, regexp_extract_all(line, {_WORDS}) AS lw FROM lines WHERE reg
 normed AS (SELECT *, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000') AS norm FROM good),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM good GROUP BY rid),
 hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
-often AS (SELECT host, norm FROM normed JOIN hosts USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT t) > {LEAST} AND count(DISTINCT t) > {SHARE} * docs),
+often AS (SELECT host, norm FROM normed JOIN hosts USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT t) > {LEAST} AND count(DISTINCT t) > least({SHARE} * docs, {MANY})),
 lost AS (SELECT rid, sum(len(lw)) AS lost_words FROM normed JOIN often USING (host, norm) GROUP BY rid),
 s AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,

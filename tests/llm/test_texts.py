@@ -129,7 +129,7 @@ def test_pipeline_takes_recurring_lines_out(spark):
         texts.setdefault(r.source, set()).add(r.text or "")
     for host, ts in texts.items():
         n = Counter(x for t in ts for x in normed[t])
-        hosts[host] = {x for x, k in n.items() if k > 10 and k > corpus_pipeline.RECURS * len(ts)}
+        hosts[host] = {x for x, k in n.items() if k > 10 and k > quality.SHARE * len(ts)}
     assert any(hosts.values())
     got, lost = corpus_pipeline.quality_rules(spark, docs, None).collect(), 0
     for r in got:
@@ -141,12 +141,19 @@ def test_pipeline_takes_recurring_lines_out(spark):
     assert {r.doc_id for r in got} == {r.doc_id for r in judged if not r.base_failed}  # no line is over half of a document there
 
 
+def test_the_limits_take_lines_out(spark):
+    """The limits of op5_quality itself, on a given table, where a line stands in about a tenth of each source's texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality.judge(docs, "text", "source", ["doc_id", "source"]).collect()
+    assert 0 < sum(r.lost_words > 0 for r in got) < 0.2 * len(got)
+
+
 def test_lines_in_many_documents_always_go(spark):
     own = " ".join(f"w{i}" for i in range(12))
     rows = [(i, f"{own} u{chr(97 + i // 26)}{chr(97 + i % 26)}" + ("\nfollow us on all channels" if i < 30 else ""), "a") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for many, lost in ((None, 0), (30, 0), (29, 30)):
-        got = quality.judge(df, "text", "source", ["doc_id", "source"], many=many).collect()
+        got = quality.judge(df, "text", "source", ["doc_id", "source"], share=0.25, many=many).collect()
         assert sum(r.lost_words > 0 for r in got) == lost and all(r.kept for r in got)
 
 

@@ -27,7 +27,7 @@ def test_stages(spark):
     gone = {r.doc_id for r in single.collect()} - {r.doc_id for r in pure.collect()}
     for d in gone:
         t = decontamination.normal(rows[d].text).decode()
-        assert any(decontamination.distance(i.decode(), t) <= 0.2 * len(i) for i in items)
+        assert any(decontamination.distance(i.decode(), t) <= decontamination.EDITS * len(i) for i in items)
     safe = P.secret_scan(spark, pure, sf)
     assert sorted(r.doc_id for r in safe.collect()) == sorted(r.doc_id for r in pure.collect())
     out = P.run(spark, sf)

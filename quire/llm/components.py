@@ -32,4 +32,6 @@ def components(links: DataFrame, scratch: Scratch, name: str = "edges") -> DataF
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError("components are not whole after 63 rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -116,7 +116,8 @@ def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 for j in range(VALUES):
                     band = mix(band + low[j::VALUES])
                 bands.append(band.view(np.int64))
-                take = min(len(s), len(s) - -(-percent * len(s) // 100) + shared(len(s)))
+                # one more than asked for: two of them may be equal by the halves of their hashes
+                take = min(len(s), len(s) - -(-percent * len(s) // 100) + shared(len(s)) + 1)
                 bucket = (s & np.uint64(BUCKETS - 1)).astype(np.int64)
                 at = np.searchsorted(names, bucket)
                 often = np.where(names[at] == bucket, times[at], 0)

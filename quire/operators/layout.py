@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINE = ["doc_id", "page_idx"]
+#: Edge of the grid cells that overlaps are looked up in, in points.
+CELL = 4.0
 
 
 def _reading(*keys: str) -> Window:
@@ -65,26 +67,31 @@ def in_region(runs: DataFrame, regions: DataFrame) -> DataFrame:
 def suppress_overlaps(runs: DataFrame) -> DataFrame:
     """Drop a run if an earlier kept one with its text is within a third of a character of it.
 
-    Greedy in the order of ``seq``, so it is folded group by group; the groups are the
-    copies of one text on one page. ``runs`` needs page keys, seq, text, x, y, width, font_size.
+    Greedy in the order of ``seq``, so texts that stand on their page twice or more are
+    folded page by page; all others are kept and never leave the JVM. ``runs`` needs
+    doc_id, page_idx, seq, text, x, y, width, font_size, none of them null.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        kept: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    def fold(page: pa.Table) -> pa.Table:
+        cols = [page.column(c).to_pylist() for c in ("seq", "text", "x", "y", "width", "font_size")]
+        kept: dict[str, dict[tuple[int, int], list[tuple[float, float]]]] = {}
         keep = []
-        for x, y, width, size, text in zip(pdf.x, pdf.y, pdf.width, pdf.font_size, pdf.text):
+        for n in sorted(range(page.num_rows), key=cols[0].__getitem__):
+            _, text, x, y, width, size = (c[n] for c in cols)
             tol = width / len(text) / 3 if width > 0 and text else max(size, 0.1) * 0.25
-            cx, cy = int(x // tol), int(y // tol)
-            near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in kept.get((cx + i, cy + j), ()))
-            new = not any(x - tol <= a < x + tol and y - tol <= b < y + tol for a, b in near)
-            if new:
-                kept.setdefault((cx, cy), []).append((x, y))
-            keep.append(new)
-        return pdf[keep]
-
-    return runs.groupBy("doc_id", "page_idx", "text").applyInPandas(fold, runs.schema)
+            cx, cy = int(x // CELL), int(y // CELL)
+            reach = int(tol // CELL) + 1
+            grid = kept.setdefault(text, {})
+            near = (p for i in range(cx - reach, cx + reach + 1) for j in range(cy - reach, cy + reach + 1) for p in grid.get((i, j), ()))
+            if not any(x - tol <= a < x + tol and y - tol <= b < y + tol for a, b in near):
+                grid.setdefault((cx, cy), []).append((x, y))
+                keep.append(n)
+        return page.take(pa.array(sorted(keep), pa.int64()))
+
+    counted = runs.withColumn("_same", F.count("*").over(Window.partitionBy(*LINE, "text")))
+    once, more = counted.where("_same = 1").drop("_same"), counted.where("_same > 1").drop("_same")
+    return once.unionByName(more.groupBy(*LINE).applyInArrow(fold, runs.schema))
 
 
 def marked_depth(rows: DataFrame, keys: list[str], seq: str, step: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import ranks
+
 
 def split_every(pages: DataFrame, size: int, start: int = 1, end: int | None = None) -> DataFrame:
     """``chunk`` from 0 for pages start..end; other pages go. Bad bounds raise at once."""
@@ -17,11 +19,15 @@ def split_every(pages: DataFrame, size: int, start: int = 1, end: int | None = N
 def rename_collisions(fields: DataFrame, stem: str = "dummyFieldName") -> DataFrame:
     """``merged_name``: the first field of a name keeps it, later ones get the stem and a running number.
 
-    Needs (source_ord, name). The number runs over the renamed fields only.
+    Needs (source_ord, name), source_ord a whole number. The number runs over the renamed
+    fields only, in the order of their source and, inside it, of their name.
     """
     first = F.row_number().over(Window.partitionBy("name").orderBy("source_ord"))
     rows = fields.withColumn("_k", first)
-    again = rows.where("_k > 1").withColumn("_n", F.row_number().over(Window.orderBy("source_ord", "name")))
+    again = rows.where("_k > 1")
+    again = again.withColumn("_s", F.row_number().over(Window.partitionBy("source_ord").orderBy("name")))
+    sizes = ranks.running(again.groupBy("source_ord").agg(F.count("*").alias("_c")), "source_ord", "_c", "_before")
+    again = again.join(sizes, "source_ord").withColumn("_n", F.col("_before") + F.col("_s")).drop("_s", "_c", "_before")
     same = rows.where("_k = 1").withColumn("merged_name", F.col("name"))
     return same.drop("_k").unionByName(again.withColumn("merged_name", F.concat(F.lit(stem), F.col("_n").cast("string"))).drop("_k", "_n"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,17 @@ def walk(nodes: DataFrame, separator: str = ".", max_depth: int = 100) -> DataFr
 
     A recursive query; a node on its own path ends the walk there, so cycles do.
     """
-    nodes.createOrReplaceTempView("_quire_nodes")
     return nodes.sparkSession.sql(
         f"""
         WITH RECURSIVE t MAX RECURSION LEVEL {max_depth} AS (
-          SELECT node, parent, name, 0 AS depth, CAST(name AS STRING) AS path, array(node) AS seen FROM _quire_nodes WHERE parent IS NULL
+          SELECT node, parent, name, 0 AS depth, CAST(name AS STRING) AS path, array(node) AS seen FROM {{nodes}} WHERE parent IS NULL
           UNION ALL
           SELECT c.node, c.parent, c.name, t.depth + 1, concat(t.path, '{separator}', c.name), array_append(t.seen, c.node)
-          FROM t JOIN _quire_nodes c ON c.parent = t.node AND NOT array_contains(t.seen, c.node)
+          FROM t JOIN {{nodes}} c ON c.parent = t.node AND NOT array_contains(t.seen, c.node)
         )
         SELECT node, parent, name, depth, path FROM t
-        """
+        """,
+        nodes=nodes,
     )
 
 
@@ -31,11 +33,12 @@ def reachable(edges: DataFrame, roots: DataFrame, limit: int = 1000) -> DataFram
     Rounds of joins until nothing new is found; an error if ``limit`` rounds don't get there. Each round's nodes are checkpointed, so
     neither the plan nor the work of a lost executor grows with the depth.
     """
-    if not edges.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        at = edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
-        edges.sparkSession.sparkContext.setCheckpointDir(at)
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        at = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="quire-"))
     seen = new = roots.select(F.col(roots.columns[0]).alias("node")).distinct().checkpoint()
     for _ in range(limit):
         new = new.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()

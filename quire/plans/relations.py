@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import scalars
-from quire.operators import joins, layout, multidoc, trees
+from quire.operators import joins, layout, multidoc, ranks, trees
 from quire.session import table
 from quire.streaming import windows
 
@@ -46,7 +46,8 @@ def cid_unmap(spark, sf):
 
 
 def range_coalesce(spark, sf):
-    return joins.coalesce_ranges(_ranges(spark))
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("bigint").alias("lo")).agg(F.max("l_returnflag").alias("flag"))
+    return joins.coalesce_ranges(li.select("l_orderkey", "lo", F.col("lo").alias("hi"), F.expr("lo + CASE flag WHEN 'N' THEN 100 ELSE 500 END").alias("base")), ["l_orderkey"])
 
 
 def codespace_match(spark, sf):
@@ -114,11 +115,9 @@ def split_by_bookmark(spark, sf):
 
 
 def merge_documents(spark, sf):
-    from pyspark.sql import Window
-
     a = table(spark, sf, "documents").select(F.lit(0).alias("source_ord"), F.col("doc_id").alias("id"))
     b = table(spark, sf, "benchmark").select(F.lit(1).alias("source_ord"), F.col("item_id").alias("id"))
-    return a.unionByName(b).withColumn("page_no", F.row_number().over(Window.orderBy("source_ord", "id")))
+    return ranks.numbered(a.unionByName(b), ["source_ord", "id"], "page_no")
 
 
 def merge_rename(spark, sf):
@@ -137,28 +136,13 @@ def content_hash_dedup(spark, sf):
     return multidoc.unique_content(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "sha256", "copies")
 
 
-def _slices(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 5 <> 0").withColumn("o_orderstatus", F.when(F.expr("o_orderkey % 7 = 0"), "X").otherwise(F.col("o_orderstatus")))
-    return o.where("o_orderkey % 3 <> 0"), new
-
-
 def snapshot_diff(spark, sf):
-    return multidoc.changed(*_slices(spark, sf), ["o_orderkey"])
-
-
-def resource_reachability(spark, sf):
-    edges = table(spark, sf, "part").select(F.col("p_partkey").alias("src"), F.expr("p_partkey * 2").alias("dst")).where("dst <= 2000")
-    return trees.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
-
-
-def snapshot_diff_whole(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     old, new = o.where("o_orderdate < '2000-12-01'"), o.where("o_orderdate >= '1995-09-01'")
     return multidoc.changed(old.drop("o_orderdate"), new.select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "F").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")), ["o_orderkey"])
 
 
-def resource_reachability_whole(spark, sf):
+def resource_reachability(spark, sf):
     edges = table(spark, sf, "part").select(F.col("p_partkey").alias("src"), F.expr("p_partkey * 2").alias("dst"))
     return trees.reachable(edges, spark.range(1, 2).select(F.col("id").alias("node")))
 
@@ -228,7 +212,7 @@ def stream_event_sessions(spark, sf):
     return got.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (doc_info_snapshot, event_props_typed_get, xref_latest_wins, as_of_prior_order, cid_map_range, cid_unmap, range_coalesce, codespace_match, orphan_repair, named_dest_resolve, outline_dest_coalesce, field_tree_fqn, outline_tree, descendants, kid_counts, tree_limits, split_chunks, split_by_bookmark, merge_documents, merge_rename, merge_dedup, content_hash_dedup, snapshot_diff, snapshot_diff_whole, resource_reachability, resource_reachability_whole, marked_content_depth, marked_content_parent, rotation_angles, angle_filter, overlay_selection, permission_bits, object_packing, xref_offsets, field_import, stream_event_windows, stream_event_sessions)}
+QUERIES = {f.__name__: f for f in (doc_info_snapshot, event_props_typed_get, xref_latest_wins, as_of_prior_order, cid_map_range, cid_unmap, range_coalesce, codespace_match, orphan_repair, named_dest_resolve, outline_dest_coalesce, field_tree_fqn, outline_tree, descendants, kid_counts, tree_limits, split_chunks, split_by_bookmark, merge_documents, merge_rename, merge_dedup, content_hash_dedup, snapshot_diff, resource_reachability, marked_content_depth, marked_content_parent, rotation_angles, angle_filter, overlay_selection, permission_bits, object_packing, xref_offsets, field_import, stream_event_windows, stream_event_sessions)}
 
 _R = "r(lo, hi, base) AS (VALUES " + ", ".join(str(r) for r in RANGES) + ")"
 _NODES = "nodes AS (SELECT 'r' || r_regionkey AS node, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer)"
@@ -241,7 +225,7 @@ SQL = {
     "as_of_prior_order": "WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL), c AS (SELECT c_custkey AS key, TIMESTAMP '1996-06-01' AS at FROM customer) SELECT key, o_orderkey FROM c ASOF LEFT JOIN o ON c.key = o.o_custkey AND c.at >= o.o_orderdate",
     "cid_map_range": f"WITH {_R} SELECT p_partkey, CAST(coalesce(base + p_partkey - lo, -1) AS BIGINT) AS cid FROM part LEFT JOIN r ON p_partkey BETWEEN lo AND hi",
     "cid_unmap": f"WITH {_R} SELECT o_orderkey, CAST(coalesce(lo + o_orderkey - base, -1) AS BIGINT) AS cid FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN r ON o_orderkey BETWEEN base AND base + hi - lo",
-    "range_coalesce": "SELECT * FROM (VALUES (0::BIGINT, 149::BIGINT, 1000::BIGINT), (150, 199, 3000), (260, 900, 5000)) t(lo, hi, base)",
+    "range_coalesce": "WITH g AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_returnflag) = 'N' AS f FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY k, f ORDER BY n) AS i FROM g) SELECT k AS l_orderkey, CAST(min(n) AS BIGINT) AS lo, CAST(max(n) AS BIGINT) AS hi, CAST(min(n) + CASE WHEN f THEN 100 ELSE 500 END AS BIGINT) AS base FROM r GROUP BY k, f, n - i",
     "codespace_match": "SELECT p_partkey, p_partkey // 256 BETWEEN 0 AND 5 AND p_partkey % 256 BETWEEN 32 AND 127 AS inside FROM part",
     "orphan_repair": "SELECT o_custkey AS owner, o_orderkey, false AS made FROM orders UNION ALL SELECT c_custkey, NULL, true FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "named_dest_resolve": "SELECT s_suppkey, coalesce(r_name, n_name, 'none') AS dest FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
@@ -257,10 +241,8 @@ SQL = {
     "merge_rename": "WITH f AS (SELECT s_suppkey AS source_ord, 'n' || s_nationkey AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) SELECT source_ord, name, CASE WHEN k = 1 THEN name ELSE 'dummyFieldName' || sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) OVER (ORDER BY source_ord, name) END AS merged_name FROM f",
     "merge_dedup": "SELECT doc_id, lang FROM documents WHERE lang IS NULL OR lang = 'en' UNION ALL SELECT min(doc_id), lang FROM documents WHERE lang <> 'en' GROUP BY lang, text",
     "content_hash_dedup": "SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY text",
-    "snapshot_diff": "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0) SELECT o_orderkey, CASE WHEN o_orderstatus IS NULL THEN 'added' WHEN s IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (o_orderkey) WHERE o_orderstatus IS DISTINCT FROM s",
-    "resource_reachability": "WITH RECURSIVE t AS (SELECT 1::BIGINT AS node UNION SELECT p_partkey * 2 FROM t JOIN part ON p_partkey = node WHERE p_partkey * 2 <= 2000) SELECT node FROM t",
-    "snapshot_diff_whole": "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate < DATE '2000-12-01'), b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS s FROM orders WHERE o_orderdate >= DATE '1995-09-01') SELECT o_orderkey, CASE WHEN o_orderstatus IS NULL THEN 'added' WHEN s IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (o_orderkey) WHERE o_orderstatus IS DISTINCT FROM s",
-    "resource_reachability_whole": "WITH RECURSIVE t AS (SELECT 1::BIGINT AS node UNION SELECT p_partkey * 2 FROM t JOIN part ON p_partkey = node) SELECT node FROM t",
+    "snapshot_diff": "WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate < DATE '2000-12-01'), b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS s FROM orders WHERE o_orderdate >= DATE '1995-09-01') SELECT o_orderkey, CASE WHEN o_orderstatus IS NULL THEN 'added' WHEN s IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b USING (o_orderkey) WHERE o_orderstatus IS DISTINCT FROM s",
+    "resource_reachability": "WITH RECURSIVE t AS (SELECT 1::BIGINT AS node UNION SELECT p_partkey * 2 FROM t JOIN part ON p_partkey = node) SELECT node FROM t",
     "marked_content_depth": f"WITH {_DEPTH} SELECT conv_id, turn, depth FROM d",
     "marked_content_parent": f"WITH {_DEPTH} SELECT conv_id, turn, (SELECT max(e.turn) FROM d e WHERE e.conv_id = d.conv_id AND e.role = 'user' AND e.turn < d.turn AND e.depth = d.depth - 1) AS parent FROM d WHERE role = 'user'",
     "rotation_angles": "SELECT vec_id, CAST((CAST(round_even(degrees(atan2(embedding[2]::DOUBLE, embedding[4]::DOUBLE)), 0) AS INT) + 360) % 360 AS INT) AS angle FROM embeddings",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import scalars
 from quire.operators import layout
 from quire.session import table
-from quire.sources.runs import LINES_SQL, RUNS_SQL, lines, runs
+from quire.sources.runs import LINES_SQL, RUNS_SQL, by_document, lines, runs, words
 
 #: Regions of a page (fixed values of the demonstration): name, x, y, width, height.
 REGIONS = (("head", 72, 786, 300, 28), ("left", 72, 520, 120, 250), ("overlap", 150, 700, 200, 100))
@@ -23,8 +23,7 @@ def page_range_filter(spark, sf):
 
 
 def page_extract_span(spark, sf):
-    pages = lines(spark, sf).groupBy("doc_id").agg(F.max("page_no").alias("pages"))
-    return lines(spark, sf).join(pages, "doc_id").where("page_no BETWEEN 1 AND least(2, pages)").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.countDistinct("page_no").alias("n_pages"))
+    return lines(spark, sf).where("page_no BETWEEN 1 AND 2").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.countDistinct("page_no").alias("n_pages"))
 
 
 def page_text(spark, sf):
@@ -62,13 +61,6 @@ def emphasis_transitions(spark, sf):
 
 
 def dup_overlap_suppress(spark, sf):
-    base = runs(spark, sf).where("page_idx = 0").withColumn("seq", F.col("line_idx") * 10_000 + F.col("word_idx"))
-    copies = base.withColumn("x", F.col("x") + 1).withColumn("seq", F.col("seq") + 5_000_000)
-    both = base.unionByName(copies).select(*RUN, "text", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("width").cast("double").alias("width"), F.col("font_size").cast("double").alias("font_size"), F.col("seq").cast("long").alias("seq"))
-    return layout.suppress_overlaps(both).groupBy("doc_id").agg(F.count("*").alias("kept"))
-
-
-def dup_overlap_suppress_whole(spark, sf):
     base = runs(spark, sf).withColumn("seq", F.col("line_idx").cast("long") * (1 << 32) + F.col("word_idx"))
     copies = base.withColumn("x", F.col("x") + 1).withColumn("seq", F.col("seq") + (1 << 60))  # behind every original
     both = base.unionByName(copies).select(*RUN, "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "font_size")], "seq")
@@ -79,14 +71,12 @@ def fonts_used(spark, sf):
     return runs(spark, sf).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("bold"), "bold").otherwise("regular"))), ",").alias("fonts"))
 
 
-def inverted_index(spark, sf):
-    words = runs(spark, sf).select(F.lower("text").alias("term"), "doc_id")
-    return words.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where("docs >= 2")
+def _postings(spark, sf):
+    return words(spark, sf).select(F.lower("text").alias("term"), "doc_id").groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-def inverted_index_whole(spark, sf):
-    words = runs(spark, sf).select(F.lower("text").alias("term"), "doc_id")
-    return words.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+def inverted_index(spark, sf):
+    return _postings(spark, sf)
 
 
 def highlight_hits(spark, sf):
@@ -99,11 +89,7 @@ def text_metrics(spark, sf):
 
 
 def crop_translation(spark, sf):
-    return runs(spark, sf).where("line_idx < 3").select(*RUN, (F.col("x") - 36).alias("x"), (F.col("y") - 18).alias("y"))
-
-
-def crop_translation_whole(spark, sf):
-    return runs(spark, sf).select(*RUN, (F.col("x") - 36).alias("x"), (F.col("y") - 18).alias("y"))
+    return runs(spark, sf, dealt=False).select(*RUN, (F.col("x") - 36).alias("x"), (F.col("y") - 18).alias("y"))
 
 
 def booklet_halves(spark, sf):
@@ -121,7 +107,7 @@ def page_labels(spark, sf):
     return got.select("doc_id", "page_idx", scalars.page_label(F.col("style"), F.col("prefix"), F.col("page_idx") - F.col("start_idx") + F.col("first")).alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (page_range_filter, page_extract_span, page_text, doc_text_separators, reading_order, line_grouping, word_breaks, paragraph_drop, text_by_region, emphasis_transitions, dup_overlap_suppress, dup_overlap_suppress_whole, fonts_used, inverted_index, inverted_index_whole, highlight_hits, text_metrics, crop_translation, crop_translation_whole, booklet_halves, page_labels)}
+QUERIES = {f.__name__: f for f in (page_range_filter, page_extract_span, page_text, doc_text_separators, reading_order, line_grouping, word_breaks, paragraph_drop, text_by_region, emphasis_transitions, dup_overlap_suppress, fonts_used, inverted_index, highlight_hits, text_metrics, crop_translation, booklet_halves, page_labels)}
 
 _REGION_ROWS = ", ".join(str(r) for r in REGIONS)
 SQL = {
@@ -135,15 +121,15 @@ SQL = {
     "paragraph_drop": f"WITH {RUNS_SQL}, s AS (SELECT doc_id, page_idx, line_idx, min(x) AS x, max(y) AS y FROM runs GROUP BY ALL) SELECT doc_id, page_idx, line_idx, lag(y) OVER w - y > 1.5 * 12 AS dropped, x - lag(x) OVER w > 6 AS indented FROM s WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY line_idx)",
     "text_by_region": f"WITH {RUNS_SQL}, r(region, rx, ry, rw, rh) AS (VALUES {_REGION_ROWS}) SELECT doc_id, page_idx, region, string_agg(text, ' ' ORDER BY line_idx, word_idx) AS text FROM runs JOIN r ON x >= rx AND x < rx + rw AND y > ry AND y <= ry + rh GROUP BY ALL",
     "emphasis_transitions": f"WITH {RUNS_SQL}, m AS (SELECT doc_id, page_idx, bold <> coalesce(lag(bold) OVER (PARTITION BY doc_id, page_idx, line_idx ORDER BY word_idx), false) AS m FROM runs) SELECT doc_id, page_idx, count(*) AS marks FROM m WHERE m GROUP BY ALL",
-    "dup_overlap_suppress": f"WITH {RUNS_SQL} SELECT doc_id, count(*) AS kept FROM runs WHERE page_idx = 0 GROUP BY doc_id",
-    "dup_overlap_suppress_whole": f"WITH {RUNS_SQL} SELECT doc_id, page_idx, line_idx, word_idx, text, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM runs",
+    "dup_overlap_suppress": f"WITH {RUNS_SQL} SELECT doc_id, page_idx, line_idx, word_idx, text, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM runs",
     "fonts_used": f"WITH {RUNS_SQL} SELECT doc_id, string_agg(DISTINCT CASE WHEN bold THEN 'bold' ELSE 'regular' END, ',' ORDER BY CASE WHEN bold THEN 'bold' ELSE 'regular' END) AS fonts FROM runs GROUP BY doc_id",
-    "inverted_index": f"WITH {RUNS_SQL} SELECT lower(text) AS term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM runs GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2",
-    "inverted_index_whole": f"WITH {RUNS_SQL} SELECT lower(text) AS term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM runs GROUP BY 1",
+    "inverted_index": f"WITH {RUNS_SQL} SELECT lower(text) AS term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM runs GROUP BY 1",
     "highlight_hits": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[Tt][Hh][Ee]')) AS INT) AS hits, CAST(instr(lower(text), 'the') AS INT) AS first FROM documents WHERE regexp_matches(text, '[Tt][Hh][Ee]')",
     "text_metrics": f"WITH {RUNS_SQL} SELECT doc_id, CAST(sum(width) AS BIGINT) AS width, round(count(*) * 8.4::DOUBLE, 3) AS ascent, round(count(*) * -2.4::DOUBLE, 3) AS descent FROM runs GROUP BY doc_id",
-    "crop_translation": f"WITH {RUNS_SQL} SELECT doc_id, page_idx, line_idx, word_idx, x - 36 AS x, y - 18 AS y FROM runs WHERE line_idx < 3",
-    "crop_translation_whole": f"WITH {RUNS_SQL} SELECT doc_id, page_idx, line_idx, word_idx, x - 36 AS x, y - 18 AS y FROM runs",
+    "crop_translation": f"WITH {RUNS_SQL} SELECT doc_id, page_idx, line_idx, word_idx, x - 36 AS x, y - 18 AS y FROM runs",
     "booklet_halves": f"WITH {RUNS_SQL} SELECT doc_id, page_idx, CASE WHEN x < 306 THEN 'left' ELSE 'right' END AS half, count(*) AS n FROM runs GROUP BY ALL",
-    "page_labels": f"WITH {LINES_SQL}, p AS (SELECT DISTINCT doc_id, page_idx FROM lines), r AS (SELECT * FROM (VALUES ('i', 0)) t(a, b)) SELECT doc_id, page_idx, CASE WHEN page_idx = 0 THEN 'i' WHEN page_idx < 3 THEN 'p-' || page_idx ELSE repeat(chr(CAST(65 + (page_idx + 22) % 26 AS INT)), CAST((page_idx + 48) // 26 AS INT)) END AS label FROM p",
+    "page_labels": f"""WITH {LINES_SQL}, p AS (SELECT DISTINCT doc_id, page_idx FROM lines), r(start_idx, style, prefix, first) AS (VALUES (0, 'r', '', 1), (1, 'D', 'p-', 1), (3, 'A', '', 26)),
+n AS (SELECT doc_id, page_idx, style, prefix, page_idx - start_idx + first AS n FROM p ASOF JOIN r ON page_idx >= start_idx)
+SELECT doc_id, page_idx, prefix || CASE style WHEN 'D' THEN CAST(n AS VARCHAR) WHEN 'A' THEN repeat(chr(CAST(65 + (n - 1) % 26 AS INT)), CAST((n + 25) // 26 AS INT))
+  ELSE ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][CAST(n % 10 AS INT) + 1] END AS label FROM n""",
 }

@@ -28,3 +28,12 @@ def session(app: str = "quire", master: str | None = None, **conf: str) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver tables; the path may be in any store Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """The rows over at least as many tasks as there are cores, for work that costs far more than a shuffle of its input.
+
+    A table that has that many splits, as any large one, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,20 +1,31 @@
-"""PDF bytes as relations: objects by recovery scan, cross-reference streams, tokens, text runs."""
+"""PDF bytes as relations: files, objects, cross-references, pages, operators, text runs, painted things.
+
+Each relation is one pass of a Python function over batches of (id, content); a file never
+meets another one, so nothing is shuffled. A file that can't be read gives no rows but in
+``documents``, which says why.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.functions import codecs
+from quire.functions import cmaps
+from quire.sources import content
+from quire.sources.objects import File, Name, Ref, Stream, Word, dump
 
-_OBJECT = re.compile(rb"(?<![\w])(\d{1,10})[ \t\r\n\x0c]+(\d{1,5})[ \t\r\n\x0c]+obj(?![\w])")
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
-_FILTER = re.compile(rb"/Filter\s*(\[[^\]]*\]|/\w+)")
-_TOKEN = re.compile(rb"%[^\r\n]*|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s()<>\[\]{}/%]*|[^\s()<>\[\]{}/%]+", re.S)
+#: What a broken file may raise.
+BROKEN = (ValueError, KeyError, IndexError, TypeError, AttributeError, OverflowError, RecursionError, zlib.error)
+#: Rows of an outgoing batch.
+ROWS = 8192
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -22,153 +33,244 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def scan_objects(data: bytes) -> list[tuple[int, int, int, bytes, list[str], bytes | None]]:
-    """(number, generation, offset, body, filters, stream) of each ``N G obj`` in the bytes.
+def flat(docs: DataFrame, key: str, schema: str, rows: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
+    """The key of each (key, content) with the rows of its content; null content has none."""
+    out = T.StructType([docs.schema[key], *T._parse_datatype_string(schema).fields])
+    arrow = to_arrow_schema(out)
 
-    Recovery rule: of several objects with one number and generation the last one counts.
-    """
-    found: dict[tuple[int, int], tuple] = {}
-    for m in _OBJECT.finditer(data):
-        end = data.find(b"endobj", m.end())
-        body = data[m.end() : end if end >= 0 else len(data)]
-        s = _STREAM.search(body)
-        head = body[: s.start()] if s else body
-        f = _FILTER.search(head)
-        names = [x.decode() for x in re.findall(rb"/(\w+)", f[1])] if f else []
-        found[int(m[1]), int(m[2])] = (int(m[1]), int(m[2]), m.start(), head.strip(), names, s[1] if s else None)
-    return sorted(found.values(), key=lambda x: x[2])
-
-
-def objects(docs: DataFrame) -> DataFrame:
-    """One row an object of the documents (path, content)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for b in batches:
-            rows = [(p, *o) for p, c in zip(b.path, b.content) for o in scan_objects(bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "num", "gen", "offset", "body", "filters", "stream"])
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if data is None:
+                    continue
+                try:
+                    for r in rows(data):
+                        held.append((k, *r))
+                        if len(held) >= ROWS:
+                            yield _batch(held, arrow)
+                            held = []
+                except BROKEN:
+                    pass
+        if held:
+            yield _batch(held, arrow)
+
+    return docs.select(key, "content").mapInArrow(run, out)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def documents(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, version, pages, objects, recovered, sections, error): one row a file."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        try:
+            f = File.open(data)
+            yield f.version, len(f.pages()), len(f.where), f.recovered, [k for k, _ in f.sections], None
+        except BROKEN as e:
+            yield None, None, None, None, None, type(e).__name__
+
+    return flat(docs, key, "version string, pages int, objects int, recovered boolean, sections array<string>, error string", rows)
 
-    return docs.select("path", "content").mapInPandas(run, "path string, num long, gen int, offset long, body binary, filters array<string>, stream binary")
 
+def _kind(v: Any) -> str:
+    return next((n for t, n in ((Stream, "stream"), (dict, "dictionary"), (list, "array"), (Name, "name"), (bytes, "string"), (bool, "boolean"), (Word, "word"), ((int, float), "number")) if isinstance(v, t)), "null")
 
-def xref_entries(data: bytes, widths: list[int], index: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """(number, type, field 2, field 3) of a decoded cross-reference stream; free entries are left out.
 
-    A first width of 0 means type 1. Type 2 gives the container's number and the place in it.
+def objects(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, num, place, at, idx, kind, type, filters, value): one row an object.
+
+    ``place``: "at" an offset of the file or "in" an object stream, whose number ``at``
+    is, as its ``idx``-th. ``value`` is the object in a file's syntax, a stream's head.
     """
-    out, at = [], 0
-    for first, count in index:
-        for n in range(first, first + count):
-            fields = []
-            for w in widths:
-                fields.append(int.from_bytes(data[at : at + w], "big"))
-                at += w
-            kind = fields[0] if widths[0] else 1
-            if at <= len(data) and kind != 0:
-                out.append((n, kind, fields[1], fields[2]))
-    return out
-
-
-def tokenize(content: bytes) -> list[tuple[str, list[str]]]:
-    """(operator, operands) of a content stream in order; inline image data is one operand of EI."""
-    out, operands, depth, array, i = [], [], 0, [], 0
-    while True:
-        m = _TOKEN.search(content, i)
-        if not m:
-            return out
-        i, t = m.end(), m[0]
-        if t.startswith(b"%"):
-            continue
-        text = t.decode("latin-1")
-        if t in (b"[", b"<<"):
-            depth += 1
-            array.append(text)
-        elif t in (b"]", b">>"):
-            depth -= 1
-            array.append(text)
-            if depth <= 0:
-                operands.append(" ".join(array))
-                array, depth = [], 0
-        elif depth:
-            array.append(text)
-        elif t[:1] in (b"/", b"(", b"<") or re.fullmatch(rb"[+-]?(\d+\.?\d*|\.\d+)|true|false|null", t):
-            operands.append(text)
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        for n, place, at, idx, v in File.open(data).objects():
+            head = v.head if isinstance(v, Stream) else v
+            kind = head.get("Type") if isinstance(head, dict) else None
+            yield n, place, at, idx, _kind(v), str(kind) if isinstance(kind, Name) else None, v.chain()[0] if isinstance(v, Stream) else [], dump(head).decode("latin-1")
+
+    return flat(docs, key, "num long, place string, at long, idx int, kind string, type string, filters array<string>, value string", rows)
+
+
+def references(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, src, dst, via): every reference inside an object, by the keys that lead to it."""
+
+    def walk(v: Any, via: str) -> Iterator[tuple[int, str]]:
+        if isinstance(v, Ref):
+            yield v.num, via
+        elif isinstance(v, (dict, Stream)):
+            for k, x in (v.head if isinstance(v, Stream) else v).items():
+                yield from walk(x, f"{via}/{k}")
+        elif isinstance(v, list):
+            for x in v:
+                yield from walk(x, f"{via}[]")
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        for n, _, _, _, v in File.open(data).objects():
+            for dst, via in walk(v, ""):
+                yield n, dst, via
+
+    return flat(docs, key, "src long, dst long, via string", rows)
+
+
+def pages(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, page_idx, width, height, rotate, streams) with what a page inherits."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        f = File.open(data)
+        for i, p in enumerate(f.pages()):
+            box = [float(x) for x in f.get(p.get("CropBox") or p.get("MediaBox")) or (0, 0, 612, 792)]
+            parts = f.get(p.get("Contents"))
+            yield i, abs(box[2] - box[0]), abs(box[3] - box[1]), int(f.get(p.get("Rotate")) or 0) % 360, len(parts) if isinstance(parts, list) else int(parts is not None)
+
+    return flat(docs, key, "page_idx int, width double, height double, rotate int, streams int", rows)
+
+
+def operators(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, page_idx, seq, op, operands) of every page's content."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        f = File.open(data)
+        for i, p in enumerate(f.pages()):
+            for seq, (op, args) in enumerate(content.tokens(f.content(p))):
+                yield i, seq, op, content.spelled(args)
+
+    return flat(docs, key, "page_idx int, seq int, op string, operands string", rows)
+
+
+def font(f: File, name: str, v: Any) -> content.Font:
+    """Codes, text and widths of a font dictionary: composite with an identity or own CMap, or simple by its encoding."""
+    head = f.get(v)
+    if not isinstance(head, dict):
+        return content.Font(name)
+    unicode = f.get(head.get("ToUnicode"))
+    cmap = cmaps.parse(unicode.data()) if isinstance(unicode, Stream) else None
+    if head.get("Subtype") == "Type0":
+        below = f.get((f.get(head.get("DescendantFonts")) or [None])[0]) or {}
+        enc = f.get(head.get("Encoding"))
+        own = cmaps.parse(enc.data()) if isinstance(enc, Stream) else None
+        widths, w = {}, f.get(below.get("W")) or []
+        i = 0
+        while i + 1 < len(w):
+            nxt = f.get(w[i + 1])
+            if isinstance(nxt, list):
+                widths |= {w[i] + k: float(x) for k, x in enumerate(nxt)}
+                i += 2
+            else:
+                widths |= {c: float(w[i + 2]) for c in range(w[i], nxt + 1)} if i + 2 < len(w) else {}
+                i += 3
+        usual = float(below.get("DW", 1000))
+
+        def cid(code: bytes) -> int:
+            return own.cid(code) if own else int.from_bytes(code, "big")
+
+        cut = own.codes if own and own.spaces else lambda data: [data[i : i + 2] for i in range(0, len(data), 2)]
+        return content.Font(name, cut, (cmap.text if cmap else lambda c: c.decode("utf-16-be", "replace")), lambda c: widths.get(cid(c), usual))
+    enc = f.get(head.get("Encoding"))
+    base = enc if isinstance(enc, Name) else enc.get("BaseEncoding", "StandardEncoding") if isinstance(enc, dict) else "StandardEncoding"
+    table = dict(cmaps.encoding(base)) if base in ("WinAnsiEncoding", "MacRomanEncoding", "StandardEncoding") else dict(cmaps.encoding("StandardEncoding"))
+    code = 0
+    for x in (f.get(enc.get("Differences")) or []) if isinstance(enc, dict) else []:
+        if isinstance(x, int):
+            code = x
         else:
-            if t == b"ID":
-                end = re.compile(rb"\sEI(?=\s|$)").search(content, i)
-                stop = end.start() if end else len(content)
-                out += [("ID", operands), ("EI", [content[i + 1 : stop].decode("latin-1")])]
-                i, operands = (end.end() if end else len(content)), []
-                continue
-            out.append((text, operands))
-            operands = []
+            table[code] = cmaps.glyph_text(str(x)) or table.get(code, "")
+            code += 1
+    first, widths = int(f.get(head.get("FirstChar")) or 0), f.get(head.get("Widths")) or []
+    missing = float((f.get(head.get("FontDescriptor")) or {}).get("MissingWidth", 500 if not widths else 0))
 
+    def text(c: bytes) -> str | None:
+        return (cmap.text(c) if cmap else None) or table.get(c[0])
 
-def _string(s: str) -> str:
-    if s.startswith("<"):
-        return codecs.ascii_hex_decode(s[1:].encode("latin-1")).decode("latin-1")
-    body = s[1:-1]
-    return re.sub(r"\\([0-7]{1,3}|\r?\n|.)", lambda m: chr(int(m[1], 8) & 255) if m[1][0] in "01234567" else {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}.get(m[1], "" if m[1].endswith("\n") else m[1]), body, flags=re.S)
+    def width(c: bytes) -> float:
+        k = c[0] - first
+        return float(f.get(widths[k])) if 0 <= k < len(widths) else missing
 
+    return content.Font(name, lambda data: [data[i : i + 1] for i in range(len(data))], text, width)
 
-def _mul(a: list[float], b: list[float]) -> list[float]:
-    return [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5]]
 
+def events(f: File) -> Iterator[tuple[int, content.Event]]:
+    """(page, event) of every page, with its fonts and property lists; a font is read once for the file."""
+    known: dict[Any, content.Font] = {}
+    for i, p in enumerate(f.pages()):
+        res = f.get(p.get("Resources")) or {}
+        fonts = {}
+        for name, v in (f.get(res.get("Font")) or {}).items():
+            at = v if isinstance(v, Ref) else (i, name)
+            if at not in known:
+                known[at] = font(f, name, v)
+            fonts[name] = known[at]
+        lists = {k: f.get(v) for k, v in (f.get(res.get("Properties")) or {}).items()}
+        for e in content.fold(f.content(p), fonts, {k: v for k, v in lists.items() if isinstance(v, dict)}):
+            yield i, e
 
-def text_runs(tokens: list[tuple[str, list[str]]]) -> list[tuple[str, float, float, float, str]]:
-    """(text, x, y, size, font): the fold of the text and graphics state over a page's tokens.
 
-    Glyph widths are not known here, so strings shown one after another share their start.
-    """
-    one = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
-    ctm, stack, tm, tlm, leading, size, font, rise, out = one, [], one, one, 0.0, 0.0, "", 0.0, []
-
-    def show(s: str) -> None:
-        m = _mul(tm, ctm)
-        out.append((_string(s), m[4], m[5] + rise, size * (abs(m[3]) or 1.0), font))
-
-    for op, args in tokens:
-        num = [float(a) for a in args if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)", a)]
-        if op == "q":
-            stack.append((ctm, leading, size, font, rise))
-        elif op == "Q" and stack:
-            ctm, leading, size, font, rise = stack.pop()
-        elif op == "cm" and len(num) == 6:
-            ctm = _mul(num, ctm)
-        elif op == "BT":
-            tm = tlm = one
-        elif op == "Tf" and num:
-            font, size = args[0].lstrip("/"), num[-1]
-        elif op == "TL" and num:
-            leading = num[0]
-        elif op == "Ts" and num:
-            rise = num[0]
-        elif op == "Tm" and len(num) == 6:
-            tm = tlm = num
-        elif op in ("Td", "TD") and len(num) == 2:
-            leading = -num[1] if op == "TD" else leading
-            tm = tlm = _mul([1, 0, 0, 1, *num], tlm)
-        elif op in ("T*", "'", '"'):
-            tm = tlm = _mul([1, 0, 0, 1, 0, -leading], tlm)
-        if op in ("Tj", "'", '"') and args:
-            show(args[-1])
-        elif op == "TJ" and args:
-            parts = re.findall(r"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>", args[-1], re.S)
-            if parts:
-                m = _mul(tm, ctm)
-                out.append(("".join(map(_string, parts)), m[4], m[5] + rise, size * (abs(m[3]) or 1.0), font))
-    return out
-
-
-def runs(docs: DataFrame) -> DataFrame:
-    """(path, num, seq, text, x, y, font_size, font) of every content stream that shows text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p, n, f, s in zip(b.path, b.num, b.filters, b.stream):
-                content = codecs.decode(bytes(s), list(f))
-                rows += [(p, n, k, *r) for k, r in enumerate(text_runs(tokenize(content)))] if b" Tj" in content or b"TJ" in content or b"'" in content else []
-            yield pd.DataFrame(rows, columns=["path", "num", "seq", "text", "x", "y", "font_size", "font"])
-
-    texty = F.forall("filters", lambda x: x.isin(*codecs.FILTERS))
-    return objects(docs).where(F.col("stream").isNotNull() & texty).mapInPandas(run, "path string, num long, seq int, text string, x double, y double, font_size double, font string")
+def runs(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, page_idx, seq, text, x, y, width, font_size, font, fill, mode, tag, mcid) of every string that shows text."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        for i, e in events(File.open(data)):
+            if e.kind == "text" and e.facts["text"]:
+                tag, mcid, _ = e.marks[-1] if e.marks else (None, None, None)
+                x = e.facts
+                yield i, e.seq, x["text"], x["x"], x["y"], x["width"], x["font_size"], x["font"], _colour(e.state.fill), e.state.mode, tag, mcid if isinstance(mcid, int) else None
+
+    return flat(docs, key, "page_idx int, seq int, text string, x double, y double, width double, font_size double, font string, fill string, mode int, tag string, mcid int", rows)
+
+
+def _colour(c: tuple) -> str:
+    return " ".join(x if isinstance(x, str) else f"{x:g}" for x in c)
+
+
+def painted(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, page_idx, seq, kind, what, rule, stroked, x0, y0, x1, y1, fill, stroke, line) of paths, images, objects and shadings."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        for i, e in events(File.open(data)):
+            if e.kind in ("path", "image", "object", "shading"):
+                box = e.facts.get("box") or [None] * 4
+                yield i, e.seq, e.kind, e.facts.get("segments") or e.facts.get("name") or "", e.facts.get("rule", ""), e.facts.get("stroked", False), *map(lambda v: None if v is None else float(v), box), _colour(e.state.fill), _colour(e.state.stroke), float(e.state.line)
+
+    return flat(docs, key, "page_idx int, seq int, kind string, what string, rule string, stroked boolean, x0 double, y0 double, x1 double, y1 double, fill string, stroke string, line double", rows)
+
+
+def sections(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, ord, kind, at): the cross-reference sections from the newest on."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        for k, (kind, at) in enumerate(File.open(data).sections):
+            yield k, kind, at
+
+    return flat(docs, key, "ord int, kind string, at long", rows)
+
+
+def linearization(docs: DataFrame, key: str = "path") -> DataFrame:
+    """(key, version, length, first_page, pages) of the files whose first object says that they are linearized."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        from quire.sources.objects import Parser
+
+        m = re.search(rb"\d+\s+\d+\s+obj", data[:2048])
+        got = Parser(data, m.start()).indirect() if m else None
+        if got and isinstance(got[2], dict) and "Linearized" in got[2]:
+            d = got[2]
+            yield float(d["Linearized"]), d.get("L"), d.get("O"), d.get("N")
+
+    return flat(docs, key, "version double, length long, first_page long, pages int", rows)
+
+
+def sub_range(docs: DataFrame, start: int, length: int) -> DataFrame:
+    """The content's bytes from an offset on; a range beyond the end is cut, one behind it empty."""
+    if start < 0 or length < 0:
+        raise ValueError("a range can't be negative")
+    return docs.withColumn("content", F.substring("content", start + 1, length))
+
+
+def concatenated(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, content): the parts of each key, one after another in order."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("content").alias("c"))))
+    whole = F.aggregate(F.transform(rows, lambda r: F.hex(r["c"])), F.lit(""), lambda a, x: F.concat(a, x))
+    return parts.groupBy(*keys).agg(F.unhex(whole).alias("content"))

@@ -16,19 +16,44 @@ ROWS = 20
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_idx, page_idx, page_no, line): one row a line."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "line"))
-    return docs.withColumn("page_idx", F.expr(f"CAST(line_idx DIV {ROWS} AS INT)")).withColumn("page_no", F.col("page_idx") + 1)
+    return _paged(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines`` with the rows of a document in one partition.
+
+    The texts are dealt by document before they are cut, so that groups and windows over
+    a document, its pages or its lines need no exchange of their own: one shuffle of the
+    texts in place of one or more of the much larger runs.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)  # a number, so that small texts aren't put into one task
+    return _paged(docs.repartition(parts, "doc_id"))
+
+
+def _paged(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_idx", "line"))
+    return rows.withColumn("page_idx", F.expr(f"CAST(line_idx DIV {ROWS} AS INT)")).withColumn("page_no", F.col("page_idx") + 1)
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the runs' words alone, without geometry and without a shuffle."""
+    rows = lines(spark, sf_dir).select("doc_id", F.explode(F.split("line", " ", -1)).alias("text"))
+    return rows.where("text <> ''")
+
+
+def runs(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     """One row a word: doc_id, page_idx, line_idx, word_idx, text, x, y, width, font_size, bold.
 
-    Offsets are sums over the line's own array of words, so no shuffle is needed.
+    A word's offset is the place behind the space before it, and the places of all spaces
+    come from one pass over the line's characters. ``dealt``: by document, for queries
+    that group or order; others need no shuffle.
     """
-    words = lines(spark, sf_dir).withColumn("ws", F.split("line", " ", -1))
-    at = F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.aggregate(F.slice("ws", F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w) + 1))
-    words = words.select("doc_id", "page_idx", "line_idx", F.posexplode(F.arrays_zip(F.col("ws").alias("t"), at.alias("o"))).alias("word_idx", "w")).where("w.t <> ''")
-    return words.select(
+    rows = by_document(spark, sf_dir) if dealt else lines(spark, sf_dir)
+    behind = F.array_compact(F.transform(F.split("line", "", -1), lambda c, i: F.when(c == " ", i + 1)))
+    rows = rows.select("doc_id", "page_idx", "line_idx", F.split("line", " ", -1).alias("ws"), F.concat(F.array(F.lit(0)), behind).alias("at"))
+    rows = rows.select("doc_id", "page_idx", "line_idx", F.posexplode(F.arrays_zip(F.col("ws").alias("t"), F.col("at").alias("o"))).alias("word_idx", "w")).where("w.t <> ''")
+    return rows.select(
         "doc_id", "page_idx", "line_idx", "word_idx", F.col("w.t").alias("text"), (72 + 6 * F.col("w.o")).alias("x"), (800 - 14 * (F.col("line_idx") % ROWS)).alias("y"),
         (6 * F.length("w.t")).alias("width"), F.lit(12).alias("font_size"), (F.col("w.t") == F.upper("w.t")).alias("bold"),
     )
@@ -43,12 +68,13 @@ lines AS (
 RUNS_SQL = (
     LINES_SQL
     + f""",
-words AS (SELECT *, string_split(line, ' ') AS ws FROM lines),
-placed AS (SELECT doc_id, page_idx, line_idx, unnest(range(0, len(ws))) AS k, ws FROM words),
+words AS (
+  SELECT doc_id, page_idx, line_idx, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS k FROM lines
+),
+placed AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM words),
 runs AS (
-  SELECT doc_id, page_idx, line_idx, CAST(k AS INT) AS word_idx, ws[k + 1] AS text,
-         CAST(72 + 6 * coalesce(list_sum(list_transform(ws[1:k], lambda w: length(w) + 1)), 0) AS INT) AS x,
-         CAST(800 - 14 * (line_idx % {ROWS}) AS INT) AS y, CAST(6 * length(ws[k + 1]) AS INT) AS width, 12 AS font_size, ws[k + 1] = upper(ws[k + 1]) AS bold
-  FROM placed WHERE ws[k + 1] <> ''
+  SELECT doc_id, page_idx, line_idx, CAST(k AS INT) AS word_idx, text, CAST(72 + 6 * o AS INT) AS x,
+         CAST(800 - 14 * (line_idx % {ROWS}) AS INT) AS y, CAST(6 * length(text) AS INT) AS width, 12 AS font_size, text = upper(text) AS bold
+  FROM placed WHERE text <> ''
 )"""
 )

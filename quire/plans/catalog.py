@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quire.plans import pdfs, relations, scalars, text
+from quire.plans import pdfs, relations, scalars, structures, text
 
 
 def queries() -> dict:
-    return text.QUERIES | relations.QUERIES | scalars.QUERIES | pdfs.QUERIES
+    return text.QUERIES | relations.QUERIES | scalars.QUERIES | pdfs.QUERIES | structures.QUERIES
 
 
 def oracle_sql() -> dict:
-    return text.SQL | relations.SQL | scalars.SQL | pdfs.SQL
+    return text.SQL | relations.SQL | scalars.SQL | pdfs.SQL | structures.SQL

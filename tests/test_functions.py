@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from quire.functions import calc, codecs
 from quire.functions import scalars as S
 from quire.operators import joins, layout, multidoc, trees
-from quire.sources import pdf
 
 
 def one(spark, *cols):
@@ -55,6 +54,12 @@ def test_codecs():
             assert codecs.lzw_decode(codecs.lzw_encode(data)) == data
             assert codecs.flate_decode(zlib.compress(data)) == data
             assert codecs.ascii_hex_decode(data.hex().encode() + b">") == data
+    assert codecs.ascii_hex_decode(b" 48 65\n6C6c6F2>zz") == b"Hello " and codecs.ascii_hex_decode(b"4 8") == bytes([63, 128]) and codecs.ascii_hex_decode(b"G1") == bytes([241])
+    assert codecs.unpredict(bytes([1, 1, 1, 2]), 2, columns=4) == bytes([1, 2, 3, 5]) and codecs.unpredict(bytes([0, 1, 0, 1, 255, 255]), 2, bits=16, columns=3) == bytes([0, 1, 0, 2, 0, 1])
+    for bad in (b"ab\tcde~>", b"az~>", b"xyz{~>"):
+        with pytest.raises(ValueError):
+            codecs.ascii85_decode(bad)
+    assert codecs.ascii85_decode(b"z z\n~>") == bytes(8)
     assert codecs.decode(b"87cURD]i,\"Ebo80~>", ["A85"]) == b"Hello World!"
     assert codecs.rc4(b"Key", b"Plaintext").hex().upper() == "BBF316E8D940AF0AD3"
     assert codecs.unpredict(bytes([2, 1, 2, 2, 1, 1]), 12, columns=2) == bytes([1, 2, 2, 3])
@@ -62,17 +67,6 @@ def test_codecs():
         codecs.decode(b"", ["Nope"])
 
 
-def test_pdf_objects_and_runs(spark):
-    content = zlib.compress(b"q 1 0 0 1 10 20 cm BT /F1 12 Tf 5 7 Td (Hello \\(x\\)) Tj 0 -14 TD [(Wo) -20 (rld)] TJ T* <41> Tj ET Q")
-    body = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog >>\nendobj\n4 0 obj\n<< /Length 9 /Filter /FlateDecode >>\nstream\n" + content + b"\nendstream\nendobj\ntrailer\n<<>>\n%%EOF"
-    docs = spark.createDataFrame([("a.pdf", bytearray(body))], "path string, content binary")
-    assert [(r.num, r.gen) for r in pdf.objects(docs).orderBy("offset").collect()] == [(1, 0), (4, 0)]
-    got = [(r.text, r.x, r.y, r.font_size, r.font) for r in pdf.runs(docs).orderBy("seq").collect()]
-    assert got == [("Hello (x)", 15.0, 27.0, 12.0, "F1"), ("World", 15.0, 13.0, 12.0, "F1"), ("A", 15.0, -1.0, 12.0, "F1")]
-    assert pdf.xref_entries(bytes([1, 0, 9, 0, 2, 0, 5, 3, 0, 0, 0, 0]), [1, 2, 1], [(3, 3)]) == [(3, 1, 9, 0), (4, 2, 5, 3)]
-    assert pdf.tokenize(b"BI /W 1 ID \x00\x01 EI Q") == [("BI", []), ("ID", ["/W", "1"]), ("EI", ["\x00\x01"]), ("Q", [])]
-
-
 def test_joins_and_trees(spark):
     left = spark.createDataFrame([(1, 5), (1, -1), (2, 3)], "k int, at int")
     right = spark.createDataFrame([(1, 0, "a"), (1, 4, "b"), (1, 6, "c")], "k int, start int, v string")

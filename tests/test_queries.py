@@ -35,6 +35,15 @@ def test_like_sql(spark, duck, name):
     assert mine == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_a_stream_gives_what_a_batch_gives(spark):
+    from quire.streaming import windows
+
+    batch = spark.read.parquet(f"{SF}/events.parquet")
+    for make in (windows.tumbling, lambda e: windows.sessions(e, "2 hours")):
+        got = windows.drain(make(windows.event_stream(spark, SF)))
+        assert sorted(map(str, got.collect())) == sorted(map(str, make(batch).collect()))
+
+
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
 

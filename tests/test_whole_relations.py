@@ -8,10 +8,10 @@ from quire.plans import catalog
 
 def test_nothing_is_left_out(spark):
     sf = "/root/testdata/sf0.1"
-    nodes = sorted(r.node for r in catalog.queries()["resource_reachability_whole"](spark, sf).collect())
+    nodes = sorted(r.node for r in catalog.queries()["resource_reachability"](spark, sf).collect())
     n = spark.read.parquet(f"{sf}/part.parquet").count()
     assert nodes == [1 << k for k in range(n.bit_length() + 1)]
-    got = [r.change for r in catalog.queries()["snapshot_diff_whole"](spark, "/root/testdata/sf0.001").collect()]
+    got = [r.change for r in catalog.queries()["snapshot_diff"](spark, "/root/testdata/sf0.001").collect()]
     assert set(got) == {"added", "removed", "modified"}
 
 

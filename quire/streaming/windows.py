@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from quire.session import table
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """With ``ts`` as an instant: a stream's watermark takes no time without a zone; the session's zone counts."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and type; the same plan for a batch and a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """Events of a user that follow each other within the gap."""
-    return events.withWatermark("ts", "10 minutes").groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return _timed(events).withWatermark("ts", "10 minutes").groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:

@@ -35,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI without a final slash.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where it is unset (tests in
-    local mode, one machine) a folder of this machine is set once for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset in local mode
+    (tests, one machine) a folder of this machine is set once for the session; elsewhere
+    that is an error, as executors would each write to a disk of their own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

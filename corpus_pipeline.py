@@ -1,4 +1,12 @@
-"""A training corpus from documents: rules, copies, benchmark passages, secrets, packing."""
+"""A training corpus from documents: rules, copies, benchmark passages, secrets, packing.
+
+A stage takes the columns of documents, whatever others stand beside them, and each but
+the last returns these columns alone. Null and empty texts fail the quality rules; in the
+later stages they have nothing to lose and stay, and packing gives them the end id. Rows
+that share an id are judged by their own texts, but of equal or similar texts only the
+row or rows with the least id stay; rows without an id are never taken for copies. An
+empty table passes through every stage as an empty table.
+"""
 
 from __future__ import annotations
 

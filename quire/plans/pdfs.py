@@ -8,18 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import scalars
+from quire.functions import structure as S
+from quire.operators import assemble, joins
 from quire.session import spread, table
+from quire.sources import catalog, pdf
 from quire.sources import objects as O
-from quire.sources import pdf
 from quire.sources.objects import Name, Ref, Stream
 from quire.sources.runs import LINES_SQL, ROWS, RUNS_SQL
 
 #: How a document's file is built, by its id modulo 4 (each document has a file; the four forms are alike to a reader):
 #: a table of cross-references; object and cross-reference streams; an update behind an older version; lost cross-references.
 TABLE, PACKED, UPDATED, DAMAGED = range(4)
-#: Objects that every file has besides a page and a content stream for each page.
-FIXED = 5
-
 
 def content(lines: list[str], codes: dict[str, bytes], page: int) -> bytes:
     """A page: a coloured bar, then each line as marked content, a word a string; spaces are moves of half the size."""
@@ -38,7 +38,10 @@ def content(lines: list[str], codes: dict[str, bytes], page: int) -> bytes:
 
 
 def build(doc: int, text: str) -> bytes:
-    """The file of a text: 20 lines a page, a composite font whose codes number the text's own characters."""
+    """The file of a text: 20 lines a page, a composite font whose codes number the text's own characters.
+
+    Beside these a bookmark and a link for each page, a form field, an attachment, page labels and information.
+    """
     lines = text.split("\n")
     sheets = [lines[i : i + ROWS] for i in range(0, len(lines), ROWS)]
     letters = sorted(set(text) - {"\n"})
@@ -53,17 +56,26 @@ def build(doc: int, text: str) -> bytes:
         4: {"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": Name("Own"), "DW": 1000, "W": [0, len(letters) + 1, 500]},
         5: O.flate(unicode),
     }
-    form = doc % 4
+    form, pages = doc % 4, len(sheets)
+    marks = 6 + 2 * pages  # the root of the bookmarks, then one for each page, a field, information, a file
+    field, facts, file = marks + pages + 1, marks + pages + 2, marks + pages + 3
+    held[1] |= {"Outlines": Ref(marks), "AcroForm": {"Fields": [Ref(field)]}, "PageLabels": {"Nums": [0, {"S": Name("r")}, 1, {"S": Name("D"), "P": b"p-"}]}, "Names": {"EmbeddedFiles": {"Names": [b"note", {"UF": b"note.txt", "EF": {"UF": Ref(file)}}]}}}
+    held[marks] = {"Type": Name("Outlines"), "First": Ref(marks + 1), "Last": Ref(marks + pages)}
+    held[field] = {"FT": Name("Tx"), "T": b"id", "V": str(doc).encode(), "Ff": 3}
+    held[facts] = {"Title": f"T {doc}".encode(), "Author": b"", "Pages": str(pages).encode()}
+    held[file] = O.flate(f"note of {doc}".encode())
     for i, sheet in enumerate(sheets):
-        held[6 + 2 * i] = {"Type": Name("Page"), "Parent": Ref(2), "Contents": Ref(7 + 2 * i)}
+        held[marks + 1 + i] = {"Title": b"\xfe\xff" + f"Seite {i}".encode("utf-16-be"), "Parent": Ref(marks), "Dest": [Ref(6 + 2 * i), Name("Fit")]} | ({"Next": Ref(marks + 2 + i)} if i + 1 < pages else {})
+        link = {"Subtype": Name("Link"), "Rect": [20, 40, 120, 10], "A": {"S": Name("URI"), "URI": f"http://x.org/{doc}/{i}".encode()}}
+        held[6 + 2 * i] = {"Type": Name("Page"), "Parent": Ref(2), "Contents": Ref(7 + 2 * i), "Annots": [link]}
         held[7 + 2 * i] = O.flate(content(sheet, codes, i))
     if form == PACKED:
-        return O.write(held, 1, packed=50)
+        return O.write(held, 1, packed=50, info=facts)
     if form == UPDATED:
-        old = O.write(held | {7: Stream({}, b"BT /F1 12 Tf (old) Tj ET")}, 1)
+        old = O.write(held | {7: Stream({}, b"BT /F1 12 Tf (old) Tj ET")}, 1, info=facts)
         return O.write({7: held[7]}, 1, before=old, prev=O.last_section(old))
-    whole = O.write(held, 1)
-    return whole[: whole.rindex(b"xref\n0 1")] + b"trailer\n<</Root 1 0 R>>\n" if form == DAMAGED else whole
+    whole = O.write(held, 1, info=facts)
+    return whole[: whole.rindex(b"xref\n0 1")] + b"trailer\n<</Root 1 0 R/Info %d 0 R>>\n" % facts if form == DAMAGED else whole
 
 
 def made(spark, sf) -> DataFrame:
@@ -92,7 +104,7 @@ def pdf_references(spark, sf):
     """References resolved to the objects that they name."""
     docs = made(spark, sf)
     edges, held = pdf.references(docs, "doc_id"), pdf.objects(docs, "doc_id").select("doc_id", F.col("num").alias("dst"), "type")
-    return edges.where("via NOT IN ('/Root')").join(held, ["doc_id", "dst"], "left").groupBy("doc_id", F.coalesce("type", F.lit("none")).alias("type")).agg(F.count("*").alias("n"))
+    return edges.where("via NOT IN ('/Root', '/Info')").join(held, ["doc_id", "dst"], "left").groupBy("doc_id", F.coalesce("type", F.lit("none")).alias("type")).agg(F.count("*").alias("n"))
 
 
 def pdf_pages(spark, sf):
@@ -130,17 +142,78 @@ def pdf_chunked_bytes(spark, sf):
     return got
 
 
-QUERIES = {f.__name__: f for f in (pdf_documents, pdf_objects, pdf_references, pdf_pages, pdf_operators, pdf_runs, pdf_marked_text, pdf_painted, pdf_chunked_bytes)}
+def pdf_info(spark, sf):
+    return catalog.info(made(spark, sf), "doc_id")
+
+
+def pdf_bookmarks(spark, sf):
+    return catalog.bookmarks(made(spark, sf), "doc_id").select("doc_id", "ord", "depth", "title", "page_idx")
+
+
+def pdf_links(spark, sf):
+    got = catalog.annotations(made(spark, sf), "doc_id").where("subtype = 'Link'")
+    return got.select("doc_id", "page_idx", "uri", "x0", "y0", "x1", "y1")
+
+
+def pdf_fields(spark, sf):
+    got = catalog.fields(made(spark, sf), "doc_id")
+    return got.select("doc_id", "name", "kind", "value", S.flag(F.col("flags"), "read_only").alias("read_only"), S.flag(F.col("flags"), "multiline").alias("multiline"))
+
+
+def pdf_attachments(spark, sf):
+    return catalog.attachments(made(spark, sf), "doc_id")
+
+
+def pdf_labels(spark, sf):
+    """Each page's label by the ranges in its own file."""
+    docs = made(spark, sf)
+    starts = catalog.label_ranges(docs, "doc_id")
+    got = joins.as_of(pdf.pages(docs, "doc_id").select("doc_id", "page_idx"), starts, ["doc_id"], "page_idx", "start_idx", ["start_idx", "style", "prefix", "first"])
+    return got.select("doc_id", "page_idx", scalars.page_label(F.col("style"), F.col("prefix"), F.col("page_idx") - F.col("start_idx") + F.col("first")).alias("label"))
+
+
+def pdf_merged(spark, sf):
+    """Files of fifty ids as one volume, by id: its pages and the words on them."""
+    whole = assemble.merge(made(spark, sf).withColumn("volume", F.expr("doc_id DIV 50")), ["volume"], "doc_id")
+    runs = pdf.runs(whole, "volume").groupBy("volume").agg(F.count("*").alias("words"), F.sum("width").cast("long").alias("width"))
+    return pdf.documents(whole, "volume").select("volume", "pages").join(runs, "volume", "left").select("volume", "pages", F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("width", F.lit(0)).alias("width"))
+
+
+def pdf_split(spark, sf):
+    """Files of two pages each, and the words on them."""
+    parts = assemble.split_every(made(spark, sf), "doc_id", 2).withColumn("k", F.col("doc_id") * (1 << 20) + F.col("chunk"))
+    words = pdf.runs(parts, "k").groupBy("k").agg(F.count("*").alias("words"))
+    got = pdf.documents(parts, "k").join(words, "k", "left")
+    return got.select(F.expr(f"k DIV {1 << 20}").alias("doc_id"), (F.col("k") % (1 << 20)).cast("int").alias("chunk"), "pages", F.coalesce("words", F.lit(0)).alias("words"))
+
+
+def pdf_decoded(spark, sf):
+    """Files with decoded streams: no filter is left, and the pages are the same."""
+    plain = assemble.decode_streams(made(spark, sf), "doc_id")
+    left = pdf.objects(plain, "doc_id").groupBy("doc_id").agg(F.sum(F.size("filters")).cast("int").alias("filters"))
+    return pdf.documents(plain, "doc_id").join(left, "doc_id").select("doc_id", "pages", "filters")
+
+
+QUERIES = {f.__name__: f for f in (pdf_merged, pdf_split, pdf_decoded, pdf_info, pdf_bookmarks, pdf_links, pdf_fields, pdf_attachments, pdf_labels, pdf_documents, pdf_objects, pdf_references, pdf_pages, pdf_operators, pdf_runs, pdf_marked_text, pdf_painted, pdf_chunked_bytes)}
 
 _PAGES = f"WITH {LINES_SQL}, p AS (SELECT doc_id, CAST(max(page_no) AS INT) AS pages, count(*) AS lines FROM lines GROUP BY doc_id)"
 SQL = {
     "pdf_documents": f"{_PAGES} SELECT doc_id, '1.5' AS version, pages, doc_id % 4 = 3 AS recovered, CASE doc_id % 4 WHEN 0 THEN 'table' WHEN 1 THEN 'stream' WHEN 2 THEN 'table,table' ELSE 'scan' END AS sections, '' AS error FROM p",
-    "pdf_objects": f"""{_PAGES} SELECT doc_id, 'stream' AS kind, 'at' AS place, pages + 1 AS n, 0 AS pages FROM p
-UNION ALL SELECT doc_id, 'dictionary', 'at', pages + 4, pages FROM p WHERE doc_id % 4 <> 1
+    "pdf_objects": f"""{_PAGES} SELECT doc_id, 'stream' AS kind, 'at' AS place, pages + 2 AS n, 0 AS pages FROM p
+UNION ALL SELECT doc_id, 'dictionary', 'at', 2 * pages + 7, pages FROM p WHERE doc_id % 4 <> 1
 UNION ALL SELECT doc_id, 'dictionary', 'at', 1, 0 FROM p WHERE doc_id % 4 = 1
-UNION ALL SELECT doc_id, 'dictionary', 'in', pages + 3, pages FROM p WHERE doc_id % 4 = 1""",
-    "pdf_references": f"""{_PAGES} SELECT doc_id, 'Pages' AS type, pages + 1 AS n FROM p UNION ALL SELECT doc_id, 'Page', pages FROM p UNION ALL SELECT doc_id, 'Font', 2 FROM p
-UNION ALL SELECT doc_id, 'none', pages + 1 FROM p""",
+UNION ALL SELECT doc_id, 'dictionary', 'in', 2 * pages + 6, pages FROM p WHERE doc_id % 4 = 1""",
+    "pdf_references": f"""{_PAGES} SELECT doc_id, 'Pages' AS type, pages + 1 AS n FROM p UNION ALL SELECT doc_id, 'Page', 2 * pages FROM p UNION ALL SELECT doc_id, 'Font', 2 FROM p
+UNION ALL SELECT doc_id, 'Outlines', pages + 1 FROM p UNION ALL SELECT doc_id, 'none', 2 * pages + 4 FROM p""",
+    "pdf_merged": f"WITH {RUNS_SQL}, w AS (SELECT doc_id, count(*) AS words, sum(width) AS width FROM runs GROUP BY doc_id), p AS (SELECT doc_id, max(page_no) AS pages FROM lines GROUP BY doc_id) SELECT doc_id // 50 AS volume, CAST(sum(pages) AS INT) AS pages, CAST(coalesce(sum(words), 0) AS BIGINT) AS words, CAST(coalesce(sum(width), 0) AS BIGINT) AS width FROM p LEFT JOIN w USING (doc_id) GROUP BY 1",
+    "pdf_split": f"WITH {RUNS_SQL}, c AS (SELECT doc_id, page_idx // 2 AS chunk, count(DISTINCT page_idx) AS pages FROM lines GROUP BY 1, 2), w AS (SELECT doc_id, page_idx // 2 AS chunk, count(*) AS words FROM runs GROUP BY 1, 2) SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(pages AS INT) AS pages, coalesce(words, 0) AS words FROM c LEFT JOIN w USING (doc_id, chunk)",
+    "pdf_decoded": f"{_PAGES} SELECT doc_id, pages, 0 AS filters FROM p",
+    "pdf_info": f"{_PAGES} SELECT doc_id, 'Title' AS name, 'T ' || doc_id AS value FROM p UNION ALL SELECT doc_id, 'Pages', CAST(pages AS VARCHAR) FROM p",
+    "pdf_bookmarks": f"WITH {LINES_SQL} SELECT DISTINCT doc_id, page_idx AS ord, 0 AS depth, 'Seite ' || page_idx AS title, page_idx FROM lines",
+    "pdf_links": f"WITH {LINES_SQL} SELECT DISTINCT doc_id, page_idx, 'http://x.org/' || doc_id || '/' || page_idx AS uri, 20.0::DOUBLE AS x0, 10.0::DOUBLE AS y0, 120.0::DOUBLE AS x1, 40.0::DOUBLE AS y1 FROM lines",
+    "pdf_fields": "SELECT doc_id, 'id' AS name, 'Tx' AS kind, CAST(doc_id AS VARCHAR) AS value, true AS read_only, false AS multiline FROM documents",
+    "pdf_attachments": "SELECT doc_id, 'note' AS name, 'note.txt' AS file, CAST(length('note of ' || doc_id) AS BIGINT) AS size, sha256('note of ' || doc_id) AS sha256 FROM documents",
+    "pdf_labels": f"WITH {LINES_SQL} SELECT DISTINCT doc_id, page_idx, CASE WHEN page_idx = 0 THEN 'i' ELSE 'p-' || page_idx END AS label FROM lines",
     "pdf_pages": f"WITH {LINES_SQL} SELECT DISTINCT doc_id, page_idx, 612.0::DOUBLE AS width, 842.0::DOUBLE AS height, 0 AS rotate, 1 AS streams FROM lines",
     "pdf_operators": f"""WITH {RUNS_SQL}, p AS (SELECT doc_id, max(page_no) AS pages, count(*) AS lines FROM lines GROUP BY doc_id), w AS (SELECT doc_id, count(*) AS words FROM runs GROUP BY doc_id),
 c AS (SELECT doc_id, op, pages AS n FROM p, (SELECT unnest(['q', 'Q', 'cm', 'rg', 're', 'f', 'm', 's', 'BT', 'ET', 'Tf']) AS op) UNION ALL SELECT doc_id, 'l', 2 * pages FROM p

@@ -401,7 +401,7 @@ def flate(data: bytes, **head: Any) -> Stream:
     return Stream(head | {"Filter": Name("FlateDecode")}, zlib.compress(data))
 
 
-def write(objects: dict[int, Any], root: int, packed: int = 0, before: bytes = b"", prev: int | None = None, free: int = 0) -> bytes:
+def write(objects: dict[int, Any], root: int, packed: int = 0, before: bytes = b"", prev: int | None = None, free: int = 0, info: int | None = None) -> bytes:
     """A whole file, or with ``before`` and ``prev`` an update behind one.
 
     ``packed`` > 0: so many objects share an object stream (streams and the root stay
@@ -431,7 +431,7 @@ def write(objects: dict[int, Any], root: int, packed: int = 0, before: bytes = b
         put(free, flate(head + b"\n".join(bodies), Type=Name("ObjStm"), N=len(part), First=len(head)))
         free += 1
     start, size = len(out), max(free, max(objects) + 1)
-    tail = {"Size": size, "Root": Ref(root)} | ({"Prev": prev} if prev is not None else {})
+    tail = {"Size": size, "Root": Ref(root)} | ({"Prev": prev} if prev is not None else {}) | ({"Info": Ref(info)} if info else {})
     if packed:
         where[free] = (1, start, 0)
         numbers = sorted(where)

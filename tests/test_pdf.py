@@ -7,9 +7,9 @@ import pytest
 
 from quire.functions import cmaps, unicode_text
 from quire.functions import structure as S
-from quire.operators import paragraphs
+from quire.operators import assemble, paragraphs
 from quire.plans import pdfs
-from quire.sources import content, pdf
+from quire.sources import catalog, content, pdf
 from quire.sources import objects as O
 from quire.sources.objects import File, Name, Parser, Ref, Stream
 
@@ -157,8 +157,8 @@ def test_relations(spark):
 
 def test_built_files_are_alike():
     text = "Some words\n\n  and  more é \U0001f600\n" + "\n".join(f"line {i}" for i in range(45))
-    shown = [[e.facts["text"] for _, e in pdf.events(File.open(pdfs.build(k, text))) if e.kind == "text"] for k in range(4)]
-    assert shown[0] == shown[1] == shown[2] == shown[3] == text.split()
+    said = [[e.facts["text"] for _, e in pdf.events(File.open(pdfs.build(k, text))) if e.kind == "text"] for k in range(4)]
+    assert said[0] == said[1] == said[2] == said[3] == text.split()
 
 
 def run(text, x, y, width=10.0, size=12.0, height=8.0, space=8.0, **more):
@@ -208,3 +208,81 @@ def test_metadata_and_forms():
         list(S.xfdf_rows(b"<fdf/>"))
     nested = b'<xfdf><fields><field name="a"><value>1</value><field name="b"><value>2</value></field></field></fields></xfdf>'
     assert list(S.xfdf_rows(nested)) == [("a", "1"), ("a.b", "2")]
+
+
+def shown(data):
+    f = File.open(data)
+    return [[e.facts["text"] for i, e in pdf.events(f) if i == k and e.kind == "text"] for k in range(len(f.pages()))]
+
+
+def test_merge_split_and_decode():
+    a, b = pdfs.build(1, "\n".join(f"line {i}" for i in range(50))), pdfs.build(2, "other text")
+    both = assemble.merged([a, b"junk", b])
+    assert shown(both) == shown(a) + shown(b) and len(shown(both)) == 4
+    parts = assemble.split(both, 3)
+    assert [len(shown(x)) for x in parts] == [3, 1] and shown(parts[0]) + shown(parts[1]) == shown(both)
+    assert len(parts[1]) < len(both) / 2  # what the pages don't reach stays behind
+    assert [shown(x) for x in assemble.split(both, 1, 2, 3)] == [[p] for p in shown(both)[1:3]] and assemble.split(both, 2, 9) == []
+    plain = assemble.decoded(a)
+    assert shown(plain) == shown(a) and b"FlateDecode" not in plain and b"ObjStm" not in plain
+    for bad in ((0, 1, None), (1, 0, None), (1, 3, 2)):
+        with pytest.raises(ValueError):
+            assemble.split(a, *bad)
+
+
+RICH = {
+    1: {"Type": Name("Catalog"), "Pages": Ref(2), "Outlines": Ref(10), "Dests": {"old": [Ref(4), Name("Fit")]}, "Names": {"Dests": {"Kids": [Ref(20)]}, "EmbeddedFiles": {"Names": [b"n", {"F": b"n.txt", "EF": {"F": Ref(21)}}]}}, "PageLabels": {"Nums": [0, {"S": Name("r")}, 1, {"P": b"A-"}]}, "StructTreeRoot": Ref(30), "AcroForm": {"Fields": [Ref(40)]}, "Metadata": Ref(50)},
+    2: {"Type": Name("Pages"), "Kids": [Ref(3), Ref(4)], "Count": 2},
+    3: {"Type": Name("Page"), "Parent": Ref(2), "Annots": [{"Subtype": Name("Link"), "Rect": [9, 9, 1, 2], "A": {"S": Name("URI"), "URI": b"http://x"}}, {"Subtype": Name("Link"), "Rect": [0, 0, 1, 1], "Dest": b"new"}, None, 7]},
+    4: {"Type": Name("Page"), "Parent": Ref(2)},
+    10: {"First": Ref(11)}, 11: {"Title": b"\xfe\xff\x00\xe9", "Dest": Name("old"), "A": {"D": [Ref(3)]}, "First": Ref(12), "Next": Ref(13)}, 12: {"Title": b"in", "A": {"S": Name("GoTo"), "D": b"new"}, "Next": Ref(11)}, 13: {"Title": b"lost", "Dest": b"nowhere"},
+    20: {"Names": [b"new", {"D": [Ref(4), Name("Fit")]}]}, 21: O.flate(b"note"),
+    30: {"K": [Ref(31)], "RoleMap": {"Mine": Name("Sect"), "Sect": Name("Div"), "Div": Name("Mine")}}, 31: {"S": Name("Mine"), "K": [0, {"Type": Name("MCR"), "Pg": Ref(4), "MCID": 5}, Ref(32)], "Pg": Ref(3)}, 32: {"S": Name("P"), "Alt": b"alt", "K": [Ref(31)]},
+    40: {"T": b"a", "FT": Name("Tx"), "Ff": 2, "Kids": [Ref(41), Ref(42)]}, 41: {"T": b"b", "V": b"x<"}, 42: {"T": b"s", "FT": Name("Sig"), "V": {"Filter": Name("Own"), "ByteRange": [0, 4, 6, 3]}},
+    50: Stream({}, b'<x><r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><r:Description r:about="" xmlns:d="urn:d"><d:t><r:Seq><r:li>1</r:li></r:Seq></d:t></r:Description></r:RDF></x>'),
+    60: {"Title": b"T", "Empty": b""},
+}
+
+
+def test_catalog_relations(spark):
+    import hashlib
+
+    data = O.write(RICH, 1, packed=4, info=60)
+    docs = spark.createDataFrame([("p", bytearray(data)), ("q", bytearray(b"junk"))], "path string, content binary")
+
+    def rows(make, *cols):
+        return [tuple(r[c] for c in cols) for r in make(docs).collect()]
+
+    assert rows(catalog.info, "name", "value") == [("Title", "T")]
+    assert rows(catalog.bookmarks, "ord", "depth", "title", "page_idx") == [(0, 0, "é", 1), (1, 1, "in", 1), (2, 0, "lost", None)]
+    assert rows(catalog.annotations, "page_idx", "subtype", "x0", "y1", "uri", "to_page") == [(0, "Link", 1.0, 9.0, "http://x", None), (0, "Link", 0.0, 1.0, None, 1)]
+    assert rows(catalog.fields, "name", "kind", "flags", "value", "terminal") == [("a", "Tx", 2, None, False), ("a.b", "Tx", 2, "x<", True), ("a.s", "Sig", 2, "{'Filter': 'Own', 'ByteRange': [0, 4, 6, 3]}", True)]
+    assert rows(catalog.label_ranges, "start_idx", "style", "prefix", "first") == [(0, "r", None, 1), (1, None, "A-", 1)]
+    assert rows(catalog.attachments, "name", "file", "size", "sha256") == [("n", "n.txt", 4, hashlib.sha256(b"note").hexdigest())]
+    assert rows(catalog.structure, "ord", "parent", "role", "standard", "page_idx", "mcid", "alt") == [(0, None, "Mine", "Mine", 0, None, None), (1, 0, None, None, 0, 0, None), (2, 0, None, None, 1, 5, None), (3, 0, "P", "P", 0, None, "alt")]
+    assert rows(catalog.signatures, "name", "filter", "covered", "sha256") == [("s", "Own", 7, hashlib.sha256(data[:4] + data[6:9]).hexdigest())]
+    assert [(r.property, r.container, r.value) for r in S.xmp(catalog.packets(docs), "path").collect()] == [("t", "Seq", "1")]
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    from quire import cli
+
+    (tmp_path / "a.pdf").write_bytes(pdfs.build(1, "First line\nand more"))
+    (tmp_path / "b.pdf").write_bytes(pdfs.build(3, "Second"))
+    paths = [str(tmp_path / "*.pdf")]
+
+    def said(*args):
+        assert cli.main(list(args)) == 0
+        return [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+    assert [x["text"] for x in said("extracttext", *paths)] == ["First line\nand more", "Second"]
+    assert [(x["pages"], x["info"]["Title"]) for x in said("info", *paths)] == [(1, "T 1"), (1, "T 3")]
+    assert [x["uri"] for x in said("urls", *paths)] == ["http://x.org/1/0", "http://x.org/3/0"]
+    for verb in ("listbookmarks", "listfields", "exportxfdf", "attachments", "colours", "fonts", "labels", "pages", "markdown", "images", "objects", "operators", "sections", "references", "signatures", "structure", "xmp"):
+        said(verb, *paths)
+    for verb, n in (("merge", 1), ("split", 2), ("decode", 2)):
+        assert said(verb, *paths, "--out", str(tmp_path / verb))[0]["files"] == n
+        got = spark.read.parquet(str(tmp_path / verb))
+        assert sorted(w for r in got.collect() for p in shown(r.content) for w in p) == ["First", "Second", "and", "line", "more"]

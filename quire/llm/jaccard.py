@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -307,12 +308,26 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """The rows of ``docs`` that stand for their component: the one with the least id of each.
 
     Rows without an id or without words are kept. Rows that share an id are one document:
-    they go or stay together.
+    they go or stay together. A column ``_maybe`` of ``docs`` is left out.
     """
     got = similar(docs, id_col, text_col, k, percent)
     gone = got.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(docs.sparkSession, "copies").keep(gone, "gone")  # as a file its size is known when the join is planned
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    # most rows that stay are told by a bit of their id; only the others are joined, texts and all
+    bits = np.zeros(BITS, bool)
+    bits[gone.select(F.pmod(F.xxhash64("_gone"), F.lit(BITS)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # BITS at most
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        asked = np.unpackbits(bits.value).astype(bool)
+        for b in batches:
+            yield pd.Series(asked[b.to_numpy()])
+
+    key = F.col(f"`{id_col}`").cast("long")
+    marked = docs.withColumn("_maybe", key.isNotNull() & maybe(F.pmod(F.xxhash64(key), F.lit(BITS)).cast("int")))
+    sure, rest = marked.where("NOT _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe")
+    return sure.unionByName(rest.join(gone, key == F.col("_gone"), "left_anti"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from quire.llm.common import WORD_BREAKS, Scratch, in_batches, table
 
 #: A line is above the limit in more than LEAST documents and more than a SHARE of its host's, or in more than MANY whatever their share.
 LEAST, SHARE, MANY = 10, 0.05, 1000
+#: Lines above the limits that are broadcast as hashes (8 bytes each); of more than that a table is joined.
+BROADCAST = 1 << 18
 #: A document that loses more than this share of its words is depleted.
 LOSS = 0.5
 
@@ -71,15 +74,24 @@ def counts(text: str | None) -> tuple:
     )
 
 
-def _count_all(base: DataFrame) -> DataFrame:
-    """(row, host, text) with the counts in place of the text."""
-    stats = T._parse_datatype_string(_STATS)
+def _key(host: str, line: int) -> int:
+    """One hash of a host and a line's hash."""
+    return xxhash.xxh3_64_intdigest(host, line & ((1 << 64) - 1))
+
+
+def _count_all(base: DataFrame, often: Broadcast | None = None) -> DataFrame:
+    """(row, host, text) with the counts in place of the text, and with ``removed`` if the lines above the limits are given."""
+    stats = T._parse_datatype_string(_STATS + (", removed array<long>" if often else ""))
     types = {"long": pa.int64(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     kinds = [types[f.dataType.simpleString()] for f in stats.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = often.value if often else frozenset()
         for b in batches:
-            cols = list(zip(*map(counts, b.column(2).to_pylist()), strict=True)) or [()] * len(kinds)
+            rows = [counts(t) for t in b.column(2).to_pylist()]
+            if often:
+                rows = [(*r, [x for x in set(r[6]) if x is not None and _key(h, x) in above]) for h, r in zip(b.column(1).to_pylist(), rows, strict=True)]
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.record_batch([*b.columns[:2], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["row", "host", *stats.names])
 
     return base.transform(in_batches, run, T.StructType([base.schema["row"], base.schema["host"], *stats.fields]))
@@ -115,7 +127,9 @@ def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least:
     Texts are reduced to numbers where they are read, once if ``carry`` leaves the text
     out, else once for their lines and once for the rest. Only line hashes are shuffled,
     summed up per task before. The hot host is no single group anywhere: its lines are
-    dealt by (host, line) and its documents by (host, text).
+    dealt by (host, line) and its documents by (host, text). Where texts are carried, the
+    lines above the limits are broadcast if they are few (``BROADCAST``), so that no text
+    is shuffled; else the documents' own lines among them are joined.
     """
     made = [*T._parse_datatype_string(_STATS).names, "base_failed", "removed", "lost_words", "kept"]
     kept = [c for c in carry if c not in made]
@@ -123,19 +137,21 @@ def judge(df: DataFrame, text_col: str, host_col: str, carry: list[str], least:
     host = F.coalesce(F.concat(F.lit("="), F.col(f"`{host_col}`").cast("string")), F.lit("null"))
     base = df.select(row.alias("row"), host.alias("host"), F.col(f"`{text_col}`").cast("string").alias("text"))
     scratch = Scratch(df.sparkSession, "lines")
-    if text_col in kept:
-        got, hashed = _count_all(base), scratch.keep(_lines_only(base), "hashed")
-    else:
-        got = hashed = scratch.keep(_count_all(base), "counted")
+    texts_too = text_col in kept
+    hashed = scratch.keep(_lines_only(base) if texts_too else _count_all(base), "hashed")
     texts = hashed.groupBy("host", "print").agg(F.first("lines").alias("lines"))
     size = texts.groupBy("host").agg(F.count("*").alias("docs"))
     lines = texts.select("host", "print", F.explode(F.array_distinct(F.array_compact("lines"))).alias("line"))
     often = lines.groupBy("host", "line").agg(F.count("*").alias("in")).where(F.col("in") > least)
     limit = share * F.col("docs") if many is None else F.least(share * F.col("docs"), F.lit(float(many)))
-    often = often.join(size, "host").where(F.col("in") > limit).select("host", "line")
-    removed = lines.join(often, ["host", "line"]).groupBy("host", "print").agg(F.collect_set("line").alias("removed"))
-    removed = scratch.keep(removed, "removed")  # as a file its size is known before the join below is planned
-    out = got.join(removed, ["host", "print"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
+    often = scratch.keep(often.join(size, "host").where(F.col("in") > limit).select("host", "line"), "often")
+    if texts_too and often.count() <= BROADCAST:
+        above = frozenset(_key(h, x) for h, x in zip(*(c.to_pylist() for c in often.toArrow().columns), strict=True))
+        out = _count_all(base, df.sparkSession.sparkContext.broadcast(above))
+    else:
+        removed = lines.join(often, ["host", "line"]).groupBy("host", "print").agg(F.collect_set("line").alias("removed"))
+        removed = scratch.keep(removed, "removed")  # as a file its size is known before the join below is planned
+        out = (_count_all(base) if texts_too else hashed).join(removed, ["host", "print"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
     gone = F.transform(F.arrays_zip("lines", "line_words"), lambda x: F.when(F.array_contains("removed", x["lines"]), x["line_words"]).otherwise(0))
     out = out.withColumn("lost_words", F.when(F.size("removed") > 0, F.aggregate(gone, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0).cast("long")))
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))

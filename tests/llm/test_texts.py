@@ -141,6 +141,16 @@ def test_pipeline_takes_recurring_lines_out(spark):
     assert {r.doc_id for r in got} == {r.doc_id for r in judged if not r.base_failed}  # no line is over half of a document there
 
 
+def test_many_recurring_lines_are_joined(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("source IS NOT NULL")
+    said = []
+    for most in (quality.BROADCAST, 0):
+        monkeypatch.setattr(quality, "BROADCAST", most)
+        got = quality.judge(docs, "text", "source", ["doc_id", "source", "text"]).collect()
+        said.append(sorted((r.doc_id, r.kept, r.lost_words, sorted(r.removed)) for r in got))
+    assert said[0] == said[1] and any(x[2] for x in said[0])
+
+
 def test_the_limits_take_lines_out(spark):
     """The limits of op5_quality itself, on a given table, where a line stands in about a tenth of each source's texts."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

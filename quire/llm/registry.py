@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import counting, decontamination, html_text, jaccard, packing, quality, secrets, sharding, token_files, urls
+from quire.llm import counting, decontamination, fim, html_text, jaccard, negatives, packing, quality, secrets, sharding, token_files, topk, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": counting.op8,
         "op9_secrets": secrets.op9,
         "op10_sharding": sharding.op10,
+        "op11_fim": fim.op11,
+        "op12_topk": topk.op12,
+        "op13_negatives": negatives.op13,
     }
 
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_jaccard": jaccard.OP7_SQL,
         "op9_secrets": secrets.OP9_SQL,
         "op10_sharding": sharding.OP10_SQL,
+        "op11_fim": fim.OP11_SQL,
+        "op12_topk": topk.OP12_SQL,
+        "op13_negatives": negatives.OP13_SQL,
     }

@@ -54,16 +54,6 @@ def page_text(runs: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "page_idx").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_idx)").alias("text"))
 
 
-def in_region(runs: DataFrame, regions: DataFrame) -> DataFrame:
-    """Runs with each region that holds their corner: left and top edges belong to it, right and bottom ones do not.
-
-    Regions are a handful of rectangles (name, x, y, width, height); they are broadcast
-    by Spark if their size allows it.
-    """
-    held = (F.col("x") >= F.col("rx")) & (F.col("x") < F.col("rx") + F.col("rw")) & (F.col("y") > F.col("ry")) & (F.col("y") <= F.col("ry") + F.col("rh"))
-    return runs.join(regions, held)
-
-
 def suppress_overlaps(runs: DataFrame) -> DataFrame:
     """Drop a run if an earlier kept one with its text is within a third of a character of it.
 

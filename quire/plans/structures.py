@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import cmaps
 from quire.functions import structure as S
-from quire.operators import layout, paragraphs, ranks, trees
+from quire.operators import layout, paragraphs, ranks, spatial, trees
 from quire.plans.relations import _NODES, _nodes
 from quire.plans.text import REGIONS, RUN
 from quire.session import spread, table
@@ -106,11 +106,8 @@ def parent_tree(spark, sf):
 
 def bead_runs(spark, sf):
     """A run belongs to the first bead that holds it, else to none; beads come before the rest of a page."""
-    held = F.lit(None).cast("int")
-    for k in reversed(range(len(REGIONS))):
-        _, x, y, w, h = REGIONS[k]
-        held = F.when((F.col("x") >= x) & (F.col("x") < x + w) & (F.col("y") > y) & (F.col("y") <= y + h), k).otherwise(held)
-    got = runs(spark, sf).withColumn("bead", F.coalesce(held, F.lit(-1)))
+    beads = spark.createDataFrame([(k, *box) for k, (_, *box) in enumerate(REGIONS)], "bead int, rx int, ry int, rw int, rh int")
+    got = spatial.first_region(runs(spark, sf), RUN, beads, "bead").withColumn("bead", F.coalesce("bead", F.lit(-1)))
     w = Window.partitionBy("doc_id", "page_idx").orderBy((F.col("bead") < 0).cast("int"), "bead", F.desc("y"), "x", "word_idx")
     return got.select(*RUN, "bead", F.row_number().over(w).alias("ord"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import scalars
-from quire.operators import layout
+from quire.operators import layout, spatial
 from quire.session import table
 from quire.sources.runs import LINES_SQL, RUNS_SQL, by_document, lines, runs, words
 
@@ -52,7 +52,7 @@ def paragraph_drop(spark, sf):
 
 
 def text_by_region(spark, sf):
-    held = layout.in_region(runs(spark, sf), _regions(spark))
+    held = spatial.in_regions(runs(spark, sf), _regions(spark))
     return held.groupBy("doc_id", "page_idx", "region").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY line_idx, word_idx)").alias("text"))
 
 

@@ -37,6 +37,11 @@ PLAIN = frozenset("area bar block bottom box button buttons center column contai
 OWN = frozenset("article body content entry headline main post story text title".split())
 CONTAINERS = frozenset("div section ul ol dl table p span article details figure blockquote center header a".split())
 
+#: First and last words of names that tell a state of the page, not what an element holds.
+STATES = (frozenset("has no not with without is hide show wp".split()), frozenset("open opened closed status enabled disabled active inactive on off state present absent".split()))
+#: Elements whose text is none that a page shows for its own sake.
+UNSEEN = frozenset("head script style noscript template svg iframe select textarea title nav footer aside".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 #: One attribute after the other; a value's own text is never searched for names.
 _ATTR = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
@@ -45,10 +50,12 @@ _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "key")
+    """An element; ``core``: it holds what the page is about, by its ``main``, all of its articles or most of its text."""
+
+    __slots__ = ("tag", "attrs", "kids", "key", "core")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids, self.key = tag, attrs, [], 0
+        self.tag, self.attrs, self.kids, self.key, self.core = tag, attrs, [], 0, ""
 
 
 def parse(page: str) -> Node:
@@ -97,9 +104,37 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+    weigh(root)
     return root
 
 
+def weigh(tree: Node) -> None:
+    """Set ``core``: "main" where an element holds a main element, or all of the page's
+    outermost articles with a third of its text; else "text" where it holds more than half of that."""
+    order, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(k for k in node.kids if isinstance(k, Node) and k.tag not in UNSEEN)
+    said: dict[int, tuple[int, int, int, bool]] = {}  # text, articles, their text, a main element
+    for node in reversed(order):
+        size = articles = told = 0
+        main = node.tag == "main"
+        for k in node.kids:
+            if isinstance(k, str):
+                size += len(k.strip())
+            elif id(k) in said:
+                a, b, c, d = said[id(k)]
+                size, articles, told, main = size + a, articles + b, told + c, main or d
+        if node.tag == "article":
+            articles, told = 1, size
+        said[id(node)] = (size, articles, told, main)
+    size, articles, *_ = said[id(tree)]
+    for node in order:
+        a, b, c, main = said[id(node)]
+        node.core = "main" if main or (b and b == articles and 3 * c >= size) else "text" if 2 * a > size else ""
+
+
 def attributes(raw: str) -> dict[str, str]:
     """Names (lower-case) and values of a start tag's attributes; of equal names the first counts."""
     out: dict[str, str] = {}
@@ -109,37 +144,49 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def marked(names: str, inside: bool) -> bool:
+def marked(names: str, inside: bool, core: str = "") -> bool:
     """Whether a class or id says that the element is no part of the article.
 
     One name of it must be a word of ``MARKS``, or be made of such words and of plain
-    ones. Outside an article one such word is enough, but for names that also hold a word
-    of the article's own parts, as in ``post-header``.
+    ones. Outside an article one such word in a compound name is enough, but for names
+    that also hold a word of the article's own parts, as in ``post-header``. Names that
+    tell a state, as ``has-sidebar`` and ``comments-open``, say nothing. Where the page's
+    main part or all of its articles lie inside (``core`` "main"), only the names of
+    reader comments count that tell nothing else; where most of its text does ("text"),
+    one word in a compound name doesn't.
     """
     for name in names.split():
         parts = [x for x in _PART.split(_HUMP.sub("-", name).lower()) if x and not x.isdigit()]
-        if MARKS.isdisjoint(parts):
+        marks = sum(x in MARKS for x in parts)
+        if not marks or (len(parts) > 1 and (parts[0] in STATES[0] or parts[-1] in STATES[1])):
             continue
-        if all(x in MARKS or x in PLAIN for x in parts) or (not inside and OWN.isdisjoint(parts)):
-            return True
-        if "comments" in parts or "comment" in parts:
+        whole = all(x in MARKS or x in PLAIN for x in parts)
+        said = "comments" in parts or "comment" in parts
+        if core == "main":
+            if said and whole:
+                return True
+        elif whole or said or (not inside and OWN.isdisjoint(parts) and not (core and marks == 1)):
             return True
     return False
 
 
 def dropped(node: Node, inside: bool) -> bool:
-    """Whether rules alone take the element out; ``inside``: it stands in an article or main element."""
-    tag = node.tag
+    """Whether rules alone take the element out; ``inside``: it stands in an article or main element.
+
+    A form, a header or a container with a doubtful name stays if the page's main part is in it.
+    """
+    tag, core = node.tag, "" if inside else node.core
     if tag in DROP or (tag == "header" and not inside):
-        return True
+        if not (core and tag in ("form", "header")):
+            return True
     if tag in ("html", "body", "main") or not node.attrs.strip("/ "):
         return False
     has = attributes(node.attrs)
     if "hidden" in has or has.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", has.get("style", ""), re.I):
         return True
-    if has.get("role", "").lower() in ROLES:
+    if has.get("role", "").lower() in ROLES and not (core and has["role"].lower() == "form"):
         return True
-    return tag in CONTAINERS and any(marked(has[a], inside) for a in ("class", "id") if a in has)
+    return tag in CONTAINERS and any(marked(has[a], inside, core) for a in ("class", "id") if a in has)
 
 
 def roots(tree: Node) -> list[Node]:

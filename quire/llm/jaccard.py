@@ -308,14 +308,14 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """The rows of ``docs`` that stand for their component: the one with the least id of each.
 
     Rows without an id or without words are kept. Rows that share an id are one document:
-    they go or stay together. A column ``_maybe`` of ``docs`` is left out.
+    they go or stay together. Other columns pass through, whatever their names are.
     """
     got = similar(docs, id_col, text_col, k, percent)
-    gone = got.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = got.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
     gone = Scratch(docs.sparkSession, "copies").keep(gone, "gone")  # as a file its size is known when the join is planned
     # most rows that stay are told by a bit of their id; only the others are joined, texts and all
     bits = np.zeros(BITS, bool)
-    bits[gone.select(F.pmod(F.xxhash64("_gone"), F.lit(BITS)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # BITS at most
+    bits[gone.select(F.pmod(F.xxhash64("gone"), F.lit(BITS)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # BITS at most
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     @F.pandas_udf("boolean")
@@ -325,9 +325,10 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             yield pd.Series(asked[b.to_numpy()])
 
     key = F.col(f"`{id_col}`").cast("long")
-    marked = docs.withColumn("_maybe", key.isNotNull() & maybe(F.pmod(F.xxhash64(key), F.lit(BITS)).cast("int")))
-    sure, rest = marked.where("NOT _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe")
-    return sure.unionByName(rest.join(gone, key == F.col("_gone"), "left_anti"))
+    # the whole row is one column from here on, so no name of it can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), (key.isNotNull() & maybe(F.pmod(F.xxhash64(key), F.lit(BITS)).cast("int"))).alias("maybe"))
+    sure, rest = rows.where("NOT maybe"), rows.where("maybe")
+    return sure.select("row.*").unionByName(rest.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,13 +26,21 @@ except ImportError:  # pragma: no cover
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: what to match, and how long the match (or a group) must be."""
+    """A kind of secret: what to match, and how long the match (or a group) must be.
+
+    A pattern whose leading run may begin at each of many characters is tried at each,
+    and every try goes on to the run's end. Two things make one try of them, with the same
+    matches: ``behind``, what can't stand before a match, as the run would begin there;
+    or ``run``, what a try that fails passes over, as no later start in it can do better.
+    """
 
     kind: str
     pattern: str
     least: int
     group: int = 0
     base: bool = False
+    behind: str = ""
+    run: str = ""
 
 
 #: The three base rules of the contract, in its order, then well-known public key formats.
@@ -44,8 +52,8 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
-    Rule("login", r"[a-z]+://[A-Za-z0-9_.-]+:[^\x00-\x20@/:]+@", 10),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30, run=r"eyJ[A-Za-z0-9_-]++"),
+    Rule("login", r"[a-z]+://[A-Za-z0-9_.-]+:[^\x00-\x20@/:]+@", 10, behind="(?<![a-z])"),
 )
 
 #: Alternatives that a literal run may fan out to before it is cut.
@@ -150,8 +158,11 @@ def gate(rule: Rule) -> str:
     """A pattern found in every text that has a long enough match of the rule, and in fewer others.
 
     Where the whole match is measured and is a run of one class behind a part of fixed
-    width, the run must have the characters that the part leaves. Else the rule itself.
+    width, the run must have the characters that the part leaves. Else the rule itself,
+    or what its failing tries pass over.
     """
+    if rule.run or rule.behind:
+        return rule.run or rule.behind + rule.pattern
     nodes = _p.parse(rule.pattern)
     op, arg = nodes[-1]
     if rule.group or not rule.pattern.endswith("]+") or op is not _c.MAX_REPEAT or tuple(arg[2].getwidth()) != (1, 1):
@@ -204,11 +215,12 @@ def matches(text: str, k: int, rule: Rule) -> Column:
     """array<struct<start, kind, end>> of a rule's leftmost non-overlapping matches in the text (SQL), of which there must be one.
 
     The pieces between matches and the matches alternate, so running sums of their
-    lengths are the offsets, in code points. Too short ones are dropped afterwards.
+    lengths are the offsets, in code points. Too short ones, and what failing tries have
+    passed over, are dropped afterwards.
     """
-    pattern = _quoted(long_enough(rule))
+    pattern = _quoted(f"({rule.pattern})|{rule.run}" if rule.run else rule.behind + long_enough(rule))
     full = f"regexp_extract_all({text}, {pattern}, 0)"
-    tested = f"regexp_extract_all({text}, {pattern}, {rule.group})"
+    tested = f"regexp_extract_all({text}, {pattern}, {1 if rule.run else rule.group})"
     steps = f"zip_with(split({text}, {pattern}, -1), {full}, (g, m) -> named_struct('gap', CAST(length(g) AS BIGINT), 'len', CAST(coalesce(length(m), 0) AS BIGINT)))"
     span = f"named_struct('start', element_at(b, i + 1) + x.gap, 'kind', {k}, 'end', element_at(b, i + 1) + x.gap + x.len)"
     spans = _let("ys", steps, _let("b", _before("transform(ys, y -> y.gap + y.len)", "a + b"), f"transform(slice(ys, 1, size(ys) - 1), (x, i) -> {span})"))

@@ -137,9 +137,9 @@ def judge(df: DataFrame, url_col: str, rules=RULES, sample: int = SAMPLE) -> Dat
     stays empty.
     """
     made = ("host", "path", "rule", "ruling", "verdict")
-    url = F.col("_url")
-    rows = df.withColumn("_url", F.col(url_col).cast("string")).drop(*made)
-    rows = ruled(rows.withColumns({"host": host(url), "path": path(url)}).drop("_url"), rules)
+    url = F.col(f"`{url_col}`").cast("string")
+    carried = [F.col(f"`{c}`") for c in df.columns if c not in made]
+    rows = ruled(df.select(*carried, host(url).alias("host"), path(url).alias("path")), rules)
     model = df.sparkSession.sparkContext.broadcast(fit(rows, sample))  # bounded by ``sample``
 
     @F.pandas_udf("boolean")

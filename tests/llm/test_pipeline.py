@@ -52,10 +52,12 @@ def odd_rows():
     rows = [(k, t, "en", "a", len(t)) for k, t in enumerate(own)]
     rows += [(6, own[0], "en", "b", 1), (7, own[1] + " more", "en", "b", 1), (3, own[3], "en", "a", 1), (8, None, "en", None, None), (9, "", None, None, 0), (10, " \n ", "en", "a", 3)]
     rows += [(None, own[4], "en", "a", 1), (None, None, None, None, None), (11, own[5] + " token=abcdef12 password: hunter22x", "en", "a", 1), (12, "long " + " ".join(f"v{i}" for i in range(60_000)), "en", "a", 1)]
-    return [(*r, "x", 1, [1]) for r in rows]
+    return [(*r, "x", 1, [1], *[7] * len(INNER)) for r in rows]
 
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, secrets string, _id int, lines array<int>"
+#: Names that the operators use inside.
+INNER = "_gone gone _maybe maybe key row _row _b _k _n node root print cid component_id host removed lines_ d t spans verdict kept judged".split()
+ODD = "doc_id long, text string, lang string, source string, n_chars long, secrets string, _id int, lines array<int>, " + ", ".join(f"{c} int" for c in INNER)
 
 
 def test_stages_on_odd_rows(spark):
@@ -67,6 +69,8 @@ def test_stages_on_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == sorted((r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] and len(r[1].split()) > 9)
     single = P.ngram_jaccard(spark, docs, sf)
     assert single.columns == list(P.COLUMNS)
+    whole = P.jaccard.one_each(docs, k=5, percent=80)
+    assert whole.columns == docs.columns and all(r[c] == 7 for r in whole.collect() for c in INNER)
     # 6 is a copy of 0, 7 nearly one of 1 and 11 of 5; 3 stands twice
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in single.collect()) == [-1, -1, 0, 1, 2, 3, 3, 4, 5, 8, 9, 10, 12]
     pure = P.benchmark_passages(spark, docs, sf)

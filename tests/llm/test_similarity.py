@@ -157,6 +157,58 @@ def test_recall_by_length_and_edits(spark, size, rate):
     assert all(got[i][i] >= known[i] for i in found)
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1])
+def test_recall_without_spaces(rate):
+    """Items inside running text of scripts that have no spaces, at any place."""
+    rng = random.Random(int(rate * 100))
+    signs = [chr(c) for c in [*range(0x3042, 0x3093), *range(0x4E00, 0x4F00), *range(0x0E01, 0x0E2F), *range(0x20000, 0x20040)]]
+    items = ["".join(rng.choices(signs, k=rng.choice([10, 20, 56, 100]))) for _ in range(150)]
+    index, found = decontamination.Index(list(enumerate(items))), 0
+    for i, t in enumerate(items):
+        e = list(t)
+        for k in range(int(rate * len(t))):
+            j = rng.randrange(len(e))
+            e[j : j + (k % 3 < 2)] = rng.choice(signs) if k % 3 != 1 else ""
+        got = {x[0]: x[1] for x in index.search(["".join(rng.choices(signs, k=200)) + "".join(e) + "abc" + "".join(rng.choices(signs, k=50))])[0]}
+        found += i in got
+    assert found >= (1.0 if rate == 0 else 0.95) * len(items)
+
+
+def test_items_behind_punctuation_and_in_long_words():
+    item = "what is the capital of the old northern province"
+    index = decontamination.Index([(1, item), (2, "abcdefghijklmnopqrstuvwxyz0123456789")])
+    for text in (f"({item})", f'q:"{item}"', f"\u201c{item}\u201d", f"x\u3002{item}", f"é—{item}", item.upper()):
+        assert (1, 0, len(item)) in index.search([text])[0], text
+    assert index.search(["z" * 40 + "abcdefghijklmnopqrstuvwxyz0123456789" + "z" * 40])[0] == [(2, 0, 36)]
+
+
+def test_distances_of_many_items():
+    rng = random.Random(8)
+    for _ in range(40):
+        items = ["".join(rng.choices("ab中 ", k=rng.choice([1, 5, 63, 64, 65, 128, 129, 200]))) for _ in range(15)]
+        text = "".join(rng.choices("ab中 ", k=rng.randint(0, 120)))
+        assert decontamination.Batch(items).distances(text).tolist() == [decontamination.distance(i, text) for i in items]
+
+
+@pytest.mark.parametrize("tail", [0, 1, 2, 4, 15])
+def test_items_with_a_common_template(tail):
+    """The same hits as all pairs, and a megabyte of the template in seconds, whatever is left of the items."""
+    import time
+
+    rng = random.Random(tail)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(900)]
+    head = " ".join(rng.choices(words, k=12))
+    items = [(i, " ".join([head, *rng.choices(words, k=tail)])) for i in range(2000)]
+    index = decontamination.Index(items)
+    docs = ["", f"x {head} y", f"{items[5][1]} and {head}", f"{head} {head} {items[1999][1]}", head[:40] + head[45:] + items[7][1][len(head) :]]
+    for doc, got in zip(docs, index.search(docs), strict=True):
+        want = {(i, d) for i, t in items if (d := decontamination.distance(t, doc)) <= int(decontamination.EDITS * len(t))}
+        assert {x[:2] for x in got} == want
+    begin = time.time()
+    index.search([(head + " ") * (1_000_000 // len(head))])
+    assert time.time() - begin < 10
+
+
 def test_contained_like_brute_force(spark):
     """Every item against every document, by the plain distance."""
     sf = "/root/testdata/sf0.001"

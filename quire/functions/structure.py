@@ -31,11 +31,12 @@ def options(entries: Column, which: int) -> Column:
 
 
 def font_height(bbox: Column, cap: Column, ascent: Column, descent: Column) -> Column:
-    """Half the box's height, unless the capitals' or half the span of ascent and descent is lower; in units of the size."""
+    """Half the box's height, unless the capitals' height or, where that exceeds the ascent, half
+    the span of ascent and descent is lower; in units of the size."""
     half = bbox / 2
     h = F.when((cap != 0) & ((cap < half) | (half == 0)), cap).otherwise(half)
     span = (ascent - descent) / 2
-    h = F.when((ascent > 0) & (descent < 0) & ((span < h) | (h == 0)), span).otherwise(h)
+    h = F.when((cap > ascent) & (ascent > 0) & (descent < 0) & ((span < h) | (h == 0)), span).otherwise(h)
     return h / 1000
 
 

@@ -194,7 +194,20 @@ def pdf_decoded(spark, sf):
     return pdf.documents(plain, "doc_id").join(left, "doc_id").select("doc_id", "pages", "filters")
 
 
-QUERIES = {f.__name__: f for f in (pdf_merged, pdf_split, pdf_decoded, pdf_info, pdf_bookmarks, pdf_links, pdf_fields, pdf_attachments, pdf_labels, pdf_documents, pdf_objects, pdf_references, pdf_pages, pdf_operators, pdf_runs, pdf_marked_text, pdf_painted, pdf_chunked_bytes)}
+def broken(docs: DataFrame) -> DataFrame:
+    """The files with a font that can't be read in those of every third document, where the font isn't packed."""
+    hexed = lambda x: x.encode().hex().upper()
+    worse = F.unhex(F.replace(F.hex("content"), F.lit(hexed("/DescendantFonts [4 0 R]")), F.lit(hexed("/DescendantFonts  555555"))))
+    return docs.withColumn("content", F.when((F.col("doc_id") % 3 == 0) & (F.col("doc_id") % 4 != PACKED), worse).otherwise(F.col("content")))
+
+
+def pdf_broken(spark, sf):
+    """A file that turns out to be broken has an error row in the place of its runs, and never some of them."""
+    got = pdf.runs(broken(made(spark, sf)), "doc_id", errors=True)
+    return got.groupBy("doc_id").agg(F.count_if(F.col("error").isNull()).alias("words"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+QUERIES = {f.__name__: f for f in (pdf_broken, pdf_merged, pdf_split, pdf_decoded, pdf_info, pdf_bookmarks, pdf_links, pdf_fields, pdf_attachments, pdf_labels, pdf_documents, pdf_objects, pdf_references, pdf_pages, pdf_operators, pdf_runs, pdf_marked_text, pdf_painted, pdf_chunked_bytes)}
 
 _PAGES = f"WITH {LINES_SQL}, p AS (SELECT doc_id, CAST(max(page_no) AS INT) AS pages, count(*) AS lines FROM lines GROUP BY doc_id)"
 SQL = {
@@ -207,6 +220,7 @@ UNION ALL SELECT doc_id, 'dictionary', 'in', 2 * pages + 6, pages FROM p WHERE d
 UNION ALL SELECT doc_id, 'Outlines', pages + 1 FROM p UNION ALL SELECT doc_id, 'none', 2 * pages + 4 FROM p""",
     "pdf_merged": f"WITH {RUNS_SQL}, w AS (SELECT doc_id, count(*) AS words, sum(width) AS width FROM runs GROUP BY doc_id), p AS (SELECT doc_id, max(page_no) AS pages FROM lines GROUP BY doc_id) SELECT doc_id // 50 AS volume, CAST(sum(pages) AS INT) AS pages, CAST(coalesce(sum(words), 0) AS BIGINT) AS words, CAST(coalesce(sum(width), 0) AS BIGINT) AS width FROM p LEFT JOIN w USING (doc_id) GROUP BY 1",
     "pdf_split": f"WITH {RUNS_SQL}, c AS (SELECT doc_id, page_idx // 2 AS chunk, count(DISTINCT page_idx) AS pages FROM lines GROUP BY 1, 2), w AS (SELECT doc_id, page_idx // 2 AS chunk, count(*) AS words FROM runs GROUP BY 1, 2) SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(pages AS INT) AS pages, coalesce(words, 0) AS words FROM c LEFT JOIN w USING (doc_id, chunk)",
+    "pdf_broken": f"WITH {RUNS_SQL}, w AS (SELECT doc_id, count(*) AS words FROM runs GROUP BY doc_id), b AS (SELECT doc_id, doc_id % 3 = 0 AND doc_id % 4 <> 1 AS bad FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN bad THEN 0 ELSE words END AS words, CAST(bad AS BIGINT) AS errors FROM b LEFT JOIN w USING (doc_id) WHERE bad OR words > 0",
     "pdf_decoded": f"{_PAGES} SELECT doc_id, pages, 0 AS filters FROM p",
     "pdf_info": f"{_PAGES} SELECT doc_id, 'Title' AS name, 'T ' || doc_id AS value FROM p UNION ALL SELECT doc_id, 'Pages', CAST(pages AS VARCHAR) FROM p",
     "pdf_bookmarks": f"WITH {LINES_SQL} SELECT DISTINCT doc_id, page_idx AS ord, 0 AS depth, 'Seite ' || page_idx AS title, page_idx FROM lines",

@@ -110,8 +110,9 @@ def split_by_bookmark(spark, sf):
 
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     marks = li.where("l_returnflag = 'N'")
+    ends = li.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("pages"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return marks.withColumn("last", F.coalesce(F.lead("l_linenumber").over(w) - 1, F.lit(7))).select("l_orderkey", F.col("l_linenumber").alias("first"), "last")
+    return marks.withColumn("next", F.lead("l_linenumber").over(w) - 1).join(ends, "l_orderkey").select("l_orderkey", F.col("l_linenumber").alias("first"), F.coalesce("next", "pages").alias("last"))
 
 
 def merge_documents(spark, sf):
@@ -236,7 +237,7 @@ SQL = {
     "kid_counts": f"WITH {_NODES} SELECT parent, count(*) AS kids FROM nodes WHERE parent IS NOT NULL GROUP BY parent",
     "tree_limits": "SELECT p_brand, min(p_name) AS least, max(p_name) AS greatest, count(*) AS n FROM part GROUP BY p_brand",
     "split_chunks": "SELECT l_orderkey, CAST((l_linenumber - 1) // 3 AS INT) AS chunk, count(*) AS pages, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2",
-    "split_by_bookmark": "SELECT l_orderkey, l_linenumber AS first, coalesce(lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1, 7) AS last FROM lineitem WHERE l_returnflag = 'N'",
+    "split_by_bookmark": "SELECT l_orderkey, l_linenumber AS first, coalesce(lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1, pages) AS last FROM lineitem JOIN (SELECT l_orderkey, max(l_linenumber) AS pages FROM lineitem GROUP BY 1) USING (l_orderkey) WHERE l_returnflag = 'N'",
     "merge_documents": "SELECT *, row_number() OVER (ORDER BY source_ord, id) AS page_no FROM (SELECT 0 AS source_ord, doc_id AS id FROM documents UNION ALL SELECT 1, item_id FROM benchmark)",
     "merge_rename": "WITH f AS (SELECT s_suppkey AS source_ord, 'n' || s_nationkey AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) SELECT source_ord, name, CASE WHEN k = 1 THEN name ELSE 'dummyFieldName' || sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) OVER (ORDER BY source_ord, name) END AS merged_name FROM f",
     "merge_dedup": "SELECT doc_id, lang FROM documents WHERE lang IS NULL OR lang = 'en' UNION ALL SELECT min(doc_id), lang FROM documents WHERE lang <> 'en' GROUP BY lang, text",

@@ -46,8 +46,8 @@ def structure_by_role(spark, sf):
 
 def font_heights(spark, sf):
     p = table(spark, sf, "part")
-    size = F.col("p_size").cast("double")
-    return p.select("p_partkey", F.round(S.font_height(size * 20, F.when(F.col("p_partkey") % 3 == 0, 0.0).otherwise(size * 9), size * 8, -size * 4), 6).alias("height"))
+    size, kind = F.col("p_size").cast("double"), F.col("p_partkey") % 3  # no capitals' height, one above the ascent, one below it
+    return p.select("p_partkey", F.round(S.font_height(size * 20, F.when(kind == 0, 0.0).when(kind == 1, size * 9).otherwise(size * 7), size * 8, -size * 4), 6).alias("height"))
 
 
 def font_style(spark, sf):
@@ -191,8 +191,8 @@ def archive_claims(spark, sf):
 
 
 def signature_digest(spark, sf):
-    """The digest over two ranges of a file, around the place of the signature."""
-    return table(spark, sf, "documents").select("doc_id", S.range_digest(F.encode("text", "UTF-8"), [(0, 100), (150, 100)]).alias("sha256"), F.sha1(F.encode("text", "UTF-8")).alias("sha1"))
+    """The digest over all of a file but the place of the signature."""
+    return table(spark, sf, "documents").select("doc_id", S.range_digest(F.encode("text", "UTF-8"), [(0, 100), (150, 1 << 30)]).alias("sha256"), F.sha1(F.encode("text", "UTF-8")).alias("sha1"))
 
 
 def aes_content(spark, sf):
@@ -270,7 +270,7 @@ SQL = {
     "bookmark_range": "SELECT conv_id, count(*) AS pages FROM (SELECT conv_id, turn, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS a, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS b FROM conversations) WHERE turn BETWEEN a AND b GROUP BY conv_id",
     "annotation_filter": "SELECT l_orderkey, CAST(count(*) AS INT) AS notes, CAST(count(*) FILTER (l_returnflag = 'R' AND l_linenumber > 1) AS INT) AS kept FROM lineitem GROUP BY l_orderkey",
     "structure_by_role": "SELECT conv_id, count(*) AS n FROM conversations WHERE role IN ('user', 'assistant', 'P') GROUP BY conv_id",
-    "font_heights": "SELECT p_partkey, round(least(p_size * 10, p_size * 6, CASE WHEN p_partkey % 3 = 0 THEN p_size * 10 ELSE p_size * 9 END) / 1000.0::DOUBLE, 6) AS height FROM part",
+    "font_heights": "SELECT p_partkey, round(CASE WHEN p_partkey % 3 = 0 THEN p_size * 10 WHEN p_partkey % 3 = 1 THEN p_size * 6 ELSE p_size * 7 END / 1000.0::DOUBLE, 6) AS height FROM part",
     "font_style": "SELECT p_partkey, p_size > 48 OR p_size % 3 = 0 OR p_type ILIKE '%bold%' AS bold, p_size % 3 < 2 OR p_type ILIKE '%italic%' OR p_type ILIKE '%oblique%' AS italic FROM part",
     "field_flags": "SELECT p_partkey, (p_partkey * 4099) & 1 <> 0 AS read_only, (p_partkey * 4099) & 2 <> 0 AS required, (p_partkey * 4099) & 4 <> 0 AS no_export, (p_partkey * 4099) & 4096 <> 0 AS multiline, (p_partkey * 4099) & 8192 <> 0 AS password, (p_partkey * 4099) & 131072 <> 0 AS combo FROM part",
     "choice_options": "SELECT p_partkey, p_brand || '|' || p_brand AS export, p_brand || '|' || p_type AS display FROM part",
@@ -293,7 +293,7 @@ SELECT path, bool_or(coalesce(has, false)) AS has FROM (SELECT r_name AS path, h
     "unit_measure": "SELECT p_partkey, (p_partkey // 8) || ' mi ' || (p_partkey % 8 * 660) || ' ft 0 in' AS text FROM part",
     "language_alternatives": "SELECT source, string_agg(lang || '=' || v, ',' ORDER BY lang <> 'x-default', lang) AS langs FROM (SELECT source, CASE lang WHEN 'en' THEN 'x-default' ELSE lang END AS lang, CAST(max(doc_id) AS VARCHAR) AS v FROM documents GROUP BY 1, 2) GROUP BY source",
     "archive_claims": "SELECT p_partkey, CASE WHEN p_partkey % 7 < 5 THEN CAST(p_size % 4 + 1 AS INT) ELSE 0 END AS part, CASE WHEN p_partkey % 7 < 5 THEN ['A', 'B', 'U', 'e', 'f'][p_partkey % 7 + 1] ELSE '' END AS conformance FROM part",
-    "signature_digest": "SELECT doc_id, sha256(array_slice(encode(text), 1, 100) || array_slice(encode(text), 151, 250)) AS sha256, sha1(text) AS sha1 FROM documents",
+    "signature_digest": "SELECT doc_id, sha256(array_slice(encode(text), 1, 100) || array_slice(encode(text), 151, 1073741974)) AS sha256, sha1(text) AS sha1 FROM documents",
     "aes_content": "SELECT doc_id, md5(text) AS md5, CAST(16 + (octet_length(encode(text)) // 16 + 1) * 16 AS INT) AS sealed FROM documents",
     "xfdf_export": """SELECT n_regionkey, '<xfdf xmlns="http://ns.adobe.com/xfdf/"><fields>' || string_agg('<field name="' || n_name || '"><value>&lt;' || n_name || '&amp;&gt;</value></field>', '' ORDER BY n_name) || '</fields></xfdf>' AS xfdf FROM nation GROUP BY n_regionkey""",
     "xfdf_import": "SELECT c_custkey, 'name' AS name, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'segment & more', c_mktsegment FROM customer",

@@ -82,7 +82,7 @@ def page_of(f: File, v: Any, numbers: dict[int, int], named: dict[str, Any]) ->
     return None
 
 
-def info(docs: DataFrame, key: str = "path") -> DataFrame:
+def info(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, name, value) of the information dictionary, names in order, empty values left out."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -91,10 +91,10 @@ def info(docs: DataFrame, key: str = "path") -> DataFrame:
             if value := text(f.get(v)):
                 yield k, value
 
-    return flat(docs, key, "name string, value string", rows)
+    return flat(docs, key, "name string, value string", rows, errors)
 
 
-def bookmarks(docs: DataFrame, key: str = "path") -> DataFrame:
+def bookmarks(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, ord, depth, title, page_idx): a bookmark's own destination counts before its action's."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -113,10 +113,10 @@ def bookmarks(docs: DataFrame, key: str = "path") -> DataFrame:
             n += 1
             stack += [(node.get("Next"), depth), (node.get("First"), depth + 1)]
 
-    return flat(docs, key, "ord int, depth int, title string, page_idx int", rows)
+    return flat(docs, key, "ord int, depth int, title string, page_idx int", rows, errors)
 
 
-def annotations(docs: DataFrame, key: str = "path") -> DataFrame:
+def annotations(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, page_idx, idx, subtype, x0, y0, x1, y1, uri, to_page, contents, flags)."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -132,10 +132,10 @@ def annotations(docs: DataFrame, key: str = "path") -> DataFrame:
                 box = [min(box[0::2]), min(box[1::2]), max(box[0::2]), max(box[1::2])] if len(box) == 4 else [None] * 4
                 yield i, k, text(a.get("Subtype")), *box, text(f.get(act.get("URI"))), page_of(f, a.get("Dest") or act.get("D"), numbers, named), text(f.get(a.get("Contents"))), int(f.get(a.get("F")) or 0)
 
-    return flat(docs, key, "page_idx int, idx int, subtype string, x0 double, y0 double, x1 double, y1 double, uri string, to_page int, contents string, flags int", rows)
+    return flat(docs, key, "page_idx int, idx int, subtype string, x0 double, y0 double, x1 double, y1 double, uri string, to_page int, contents string, flags int", rows, errors)
 
 
-def fields(docs: DataFrame, key: str = "path") -> DataFrame:
+def fields(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, name, kind, flags, value, terminal): form fields by their qualified names, with what they inherit."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -155,10 +155,10 @@ def fields(docs: DataFrame, key: str = "path") -> DataFrame:
 
         yield from walk((f.get(root(f).get("AcroForm")) or {}).get("Fields"), "", {}, frozenset())
 
-    return flat(docs, key, "name string, kind string, flags int, value string, terminal boolean", rows)
+    return flat(docs, key, "name string, kind string, flags int, value string, terminal boolean", rows, errors)
 
 
-def label_ranges(docs: DataFrame, key: str = "path") -> DataFrame:
+def label_ranges(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, start_idx, style, prefix, first) of the page labels; ``layout``'s as-of join gives each page its own."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -167,10 +167,10 @@ def label_ranges(docs: DataFrame, key: str = "path") -> DataFrame:
             v = f.get(v) or {}
             yield int(start), text(f.get(v.get("S"))), text(f.get(v.get("P"))), int(f.get(v.get("St")) or 1)
 
-    return flat(docs, key, "start_idx int, style string, prefix string, first int", rows)
+    return flat(docs, key, "start_idx int, style string, prefix string, first int", rows, errors)
 
 
-def attachments(docs: DataFrame, key: str = "path") -> DataFrame:
+def attachments(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, name, file, size, sha256) of embedded files."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -182,10 +182,10 @@ def attachments(docs: DataFrame, key: str = "path") -> DataFrame:
             if isinstance(s, Stream):
                 yield text(name), text(f.get(spec.get("UF") or spec.get("F"))), len(s.data()), hashlib.sha256(s.data()).hexdigest()
 
-    return flat(docs, key, "name string, file string, size long, sha256 string", rows)
+    return flat(docs, key, "name string, file string, size long, sha256 string", rows, errors)
 
 
-def structure(docs: DataFrame, key: str = "path") -> DataFrame:
+def structure(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, ord, parent, depth, role, standard, page_idx, mcid, alt): structure elements and the marked content below them.
 
     Marked content has no role. A role is followed through the role map until it is in it no more.
@@ -222,7 +222,7 @@ def structure(docs: DataFrame, key: str = "path") -> DataFrame:
                 continue
             n += 1
 
-    return flat(docs, key, "ord int, parent int, depth int, role string, standard string, page_idx int, mcid int, alt string", rows)
+    return flat(docs, key, "ord int, parent int, depth int, role string, standard string, page_idx int, mcid int, alt string", rows, errors)
 
 
 def _list(f: File, v: Any) -> list:
@@ -230,7 +230,7 @@ def _list(f: File, v: Any) -> list:
     return held if isinstance(held, list) else [] if held is None else [v]
 
 
-def signatures(docs: DataFrame, key: str = "path") -> DataFrame:
+def signatures(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, name, filter, sub_filter, covered, sha256): the digest of the bytes that a signature's ranges cover."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -242,10 +242,10 @@ def signatures(docs: DataFrame, key: str = "path") -> DataFrame:
                 held = b"".join(data[a : a + n] for a, n in zip(r[0::2], r[1::2]))
                 yield text(f.get(v.get("T"))), text(s.get("Filter")), text(s.get("SubFilter")), len(held), hashlib.sha256(held).hexdigest()
 
-    return flat(docs, key, "name string, filter string, sub_filter string, covered long, sha256 string", rows)
+    return flat(docs, key, "name string, filter string, sub_filter string, covered long, sha256 string", rows, errors)
 
 
-def packets(docs: DataFrame, key: str = "path") -> DataFrame:
+def packets(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, content): each file's own metadata packet, for ``structure.xmp``."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -254,4 +254,4 @@ def packets(docs: DataFrame, key: str = "path") -> DataFrame:
         if isinstance(s, Stream):
             yield (s.data(),)
 
-    return flat(docs, key, "content binary", rows)
+    return flat(docs, key, "content binary", rows, errors)

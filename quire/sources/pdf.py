@@ -1,8 +1,8 @@
 """PDF bytes as relations: files, objects, cross-references, pages, operators, text runs, painted things.
 
 Each relation is one pass of a Python function over batches of (id, content); a file never
-meets another one, so nothing is shuffled. A file that can't be read gives no rows but in
-``documents``, which says why.
+meets another one, so nothing is shuffled. A file that can't be read to its end gives no
+rows, or with ``errors`` one that says why.
 """
 
 from __future__ import annotations
@@ -33,9 +33,25 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def flat(docs: DataFrame, key: str, schema: str, rows: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
-    """The key of each (key, content) with the rows of its content; null content has none."""
-    out = T.StructType([docs.schema[key], *T._parse_datatype_string(schema).fields])
+class Rows:
+    """In the place of a DataFrame: takes a relation's schema and row function instead of running them."""
+
+    def __init__(self, relation: Callable[..., Any]):
+        relation(self, "path")
+
+
+def flat(docs: DataFrame, key: str, schema: str, rows: Callable[[bytes], Iterator[tuple]], errors: bool = False) -> DataFrame:
+    """The key of each (key, content) with the rows of its content; null content has none.
+
+    A file gives all of its rows or none: one that turns out to be broken on the way gives
+    none, or with ``errors`` a single row of nulls that says why in a further column
+    ``error``, which is null in all others. A file's rows are held until it is through.
+    """
+    if isinstance(docs, Rows):
+        docs.schema, docs.rows = schema, rows
+        return docs
+    kinds = T._parse_datatype_string(schema).fields
+    out = T.StructType([docs.schema[key], *kinds, *([T.StructField("error", T.StringType())] if errors else [])])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,14 +60,16 @@ def flat(docs: DataFrame, key: str, schema: str, rows: Callable[[bytes], Iterato
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if data is None:
                     continue
+                whole = len(held)
                 try:
-                    for r in rows(data):
-                        held.append((k, *r))
-                        if len(held) >= ROWS:
-                            yield _batch(held, arrow)
-                            held = []
-                except BROKEN:
-                    pass
+                    held.extend((k, *r, None) if errors else (k, *r) for r in rows(data))
+                except BROKEN as e:
+                    del held[whole:]
+                    if errors:
+                        held.append((k, *[None] * len(kinds), f"{type(e).__name__}: {e}"[:200]))
+                for at in range(0, len(held) - ROWS + 1, ROWS):
+                    yield _batch(held[at : at + ROWS], arrow)
+                del held[: len(held) // ROWS * ROWS]
         if held:
             yield _batch(held, arrow)
 
@@ -79,7 +97,7 @@ def _kind(v: Any) -> str:
     return next((n for t, n in ((Stream, "stream"), (dict, "dictionary"), (list, "array"), (Name, "name"), (bytes, "string"), (bool, "boolean"), (Word, "word"), ((int, float), "number")) if isinstance(v, t)), "null")
 
 
-def objects(docs: DataFrame, key: str = "path") -> DataFrame:
+def objects(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, num, place, at, idx, kind, type, filters, value): one row an object.
 
     ``place``: "at" an offset of the file or "in" an object stream, whose number ``at``
@@ -92,10 +110,10 @@ def objects(docs: DataFrame, key: str = "path") -> DataFrame:
             kind = head.get("Type") if isinstance(head, dict) else None
             yield n, place, at, idx, _kind(v), str(kind) if isinstance(kind, Name) else None, v.chain()[0] if isinstance(v, Stream) else [], dump(head).decode("latin-1")
 
-    return flat(docs, key, "num long, place string, at long, idx int, kind string, type string, filters array<string>, value string", rows)
+    return flat(docs, key, "num long, place string, at long, idx int, kind string, type string, filters array<string>, value string", rows, errors)
 
 
-def references(docs: DataFrame, key: str = "path") -> DataFrame:
+def references(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, src, dst, via): every reference inside an object, by the keys that lead to it."""
 
     def walk(v: Any, via: str) -> Iterator[tuple[int, str]]:
@@ -113,10 +131,10 @@ def references(docs: DataFrame, key: str = "path") -> DataFrame:
             for dst, via in walk(v, ""):
                 yield n, dst, via
 
-    return flat(docs, key, "src long, dst long, via string", rows)
+    return flat(docs, key, "src long, dst long, via string", rows, errors)
 
 
-def pages(docs: DataFrame, key: str = "path") -> DataFrame:
+def pages(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, page_idx, width, height, rotate, streams) with what a page inherits."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -126,10 +144,10 @@ def pages(docs: DataFrame, key: str = "path") -> DataFrame:
             parts = f.get(p.get("Contents"))
             yield i, abs(box[2] - box[0]), abs(box[3] - box[1]), int(f.get(p.get("Rotate")) or 0) % 360, len(parts) if isinstance(parts, list) else int(parts is not None)
 
-    return flat(docs, key, "page_idx int, width double, height double, rotate int, streams int", rows)
+    return flat(docs, key, "page_idx int, width double, height double, rotate int, streams int", rows, errors)
 
 
-def operators(docs: DataFrame, key: str = "path") -> DataFrame:
+def operators(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, page_idx, seq, op, operands) of every page's content."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -138,7 +156,7 @@ def operators(docs: DataFrame, key: str = "path") -> DataFrame:
             for seq, (op, args) in enumerate(content.tokens(f.content(p))):
                 yield i, seq, op, content.spelled(args)
 
-    return flat(docs, key, "page_idx int, seq int, op string, operands string", rows)
+    return flat(docs, key, "page_idx int, seq int, op string, operands string", rows, errors)
 
 
 def font(f: File, name: str, v: Any) -> content.Font:
@@ -208,7 +226,7 @@ def events(f: File) -> Iterator[tuple[int, content.Event]]:
             yield i, e
 
 
-def runs(docs: DataFrame, key: str = "path") -> DataFrame:
+def runs(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, page_idx, seq, text, x, y, width, font_size, font, fill, mode, tag, mcid) of every string that shows text."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -218,14 +236,14 @@ def runs(docs: DataFrame, key: str = "path") -> DataFrame:
                 x = e.facts
                 yield i, e.seq, x["text"], x["x"], x["y"], x["width"], x["font_size"], x["font"], _colour(e.state.fill), e.state.mode, tag, mcid if isinstance(mcid, int) else None
 
-    return flat(docs, key, "page_idx int, seq int, text string, x double, y double, width double, font_size double, font string, fill string, mode int, tag string, mcid int", rows)
+    return flat(docs, key, "page_idx int, seq int, text string, x double, y double, width double, font_size double, font string, fill string, mode int, tag string, mcid int", rows, errors)
 
 
 def _colour(c: tuple) -> str:
     return " ".join(x if isinstance(x, str) else f"{x:g}" for x in c)
 
 
-def painted(docs: DataFrame, key: str = "path") -> DataFrame:
+def painted(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, page_idx, seq, kind, what, rule, stroked, x0, y0, x1, y1, fill, stroke, line) of paths, images, objects and shadings."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -234,20 +252,20 @@ def painted(docs: DataFrame, key: str = "path") -> DataFrame:
                 box = e.facts.get("box") or [None] * 4
                 yield i, e.seq, e.kind, e.facts.get("segments") or e.facts.get("name") or "", e.facts.get("rule", ""), e.facts.get("stroked", False), *map(lambda v: None if v is None else float(v), box), _colour(e.state.fill), _colour(e.state.stroke), float(e.state.line)
 
-    return flat(docs, key, "page_idx int, seq int, kind string, what string, rule string, stroked boolean, x0 double, y0 double, x1 double, y1 double, fill string, stroke string, line double", rows)
+    return flat(docs, key, "page_idx int, seq int, kind string, what string, rule string, stroked boolean, x0 double, y0 double, x1 double, y1 double, fill string, stroke string, line double", rows, errors)
 
 
-def sections(docs: DataFrame, key: str = "path") -> DataFrame:
+def sections(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, ord, kind, at): the cross-reference sections from the newest on."""
 
     def rows(data: bytes) -> Iterator[tuple]:
         for k, (kind, at) in enumerate(File.open(data).sections):
             yield k, kind, at
 
-    return flat(docs, key, "ord int, kind string, at long", rows)
+    return flat(docs, key, "ord int, kind string, at long", rows, errors)
 
 
-def linearization(docs: DataFrame, key: str = "path") -> DataFrame:
+def linearization(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     """(key, version, length, first_page, pages) of the files whose first object says that they are linearized."""
 
     def rows(data: bytes) -> Iterator[tuple]:
@@ -259,7 +277,7 @@ def linearization(docs: DataFrame, key: str = "path") -> DataFrame:
             d = got[2]
             yield float(d["Linearized"]), d.get("L"), d.get("O"), d.get("N")
 
-    return flat(docs, key, "version double, length long, first_page long, pages int", rows)
+    return flat(docs, key, "version double, length long, first_page long, pages int", rows, errors)
 
 
 def sub_range(docs: DataFrame, start: int, length: int) -> DataFrame:
@@ -270,7 +288,8 @@ def sub_range(docs: DataFrame, start: int, length: int) -> DataFrame:
 
 
 def concatenated(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """(keys, content): the parts of each key, one after another in order."""
+    """(keys, content): the parts of each key, one after another in order; null parts are empty."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("content").alias("c"))))
-    whole = F.aggregate(F.transform(rows, lambda r: F.hex(r["c"])), F.lit(""), lambda a, x: F.concat(a, x))
+    # one join of all digits: a fold that appends copies what it has for every part
+    whole = F.array_join(F.transform(rows, lambda r: F.coalesce(F.hex(r["c"]), F.lit(""))), "")
     return parts.groupBy(*keys).agg(F.unhex(whole).alias("content"))

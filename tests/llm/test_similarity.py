@@ -198,9 +198,9 @@ def test_items_with_a_common_template(tail):
     rng = random.Random(tail)
     words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(900)]
     head = " ".join(rng.choices(words, k=12))
-    items = [(i, " ".join([head, *rng.choices(words, k=tail)])) for i in range(2000)]
+    items = [(i, " ".join([head, *rng.choices(words, k=tail)])) for i in range(500)]
     index = decontamination.Index(items)
-    docs = ["", f"x {head} y", f"{items[5][1]} and {head}", f"{head} {head} {items[1999][1]}", head[:40] + head[45:] + items[7][1][len(head) :]]
+    docs = ["", f"x {head} y", f"{items[5][1]} and {head}", f"{head} {head} {items[499][1]}", head[:40] + head[45:] + items[7][1][len(head) :]]
     for doc, got in zip(docs, index.search(docs), strict=True):
         want = {(i, d) for i, t in items if (d := decontamination.distance(t, doc)) <= int(decontamination.EDITS * len(t))}
         assert {x[:2] for x in got} == want

@@ -15,7 +15,7 @@ WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
 #: Bytes of an Arrow batch between the JVM and Python, about. Rows alone don't bound it: a text may be megabytes long.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Spark's default for it, which with two tasks an executor and a copy on either side is hundreds of MB.
 USUAL = "67108864b"
 

@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -74,9 +73,8 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 at = (s & np.uint64(BUCKETS - 1)).astype(np.int64)
                 total[at] += total[at] < 255
                 met += len(s)
-        at = np.flatnonzero(total >= 2 + int(6 * met / BUCKETS))
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
+        for i in range(0, BUCKETS, 1 << 20):
+            part = i + np.flatnonzero(total[i : i + (1 << 20)] >= 2 + int(6 * met / BUCKETS))
             yield pa.record_batch([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
 
     counted = docs.select("text").transform(in_batches, run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n >= 6")
@@ -204,9 +202,10 @@ def _load(docs: DataFrame, members: DataFrame, classes: DataFrame, k: int, s: Sc
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(bits.value).astype(bool)
+        packed = bits.value
         for b in batches:
-            b = b.filter(pa.array(asked[b.column(2).to_numpy(zero_copy_only=False)], pa.bool_()))
+            at = b.column(2).to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool), pa.bool_()))
             sets = list(_sets(b, 1, k))
             yield pa.record_batch([b.column(0), pa.array([_print(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "want", "shingles"])
 
@@ -318,11 +317,12 @@ def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     bits[gone.select(F.pmod(F.xxhash64("gone"), F.lit(BITS)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()] = True  # BITS at most
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
-    @F.pandas_udf("boolean")
-    def maybe(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        asked = np.unpackbits(bits.value).astype(bool)
+    @F.arrow_udf("boolean")
+    def maybe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        packed = bits.value
         for b in batches:
-            yield pd.Series(asked[b.to_numpy()])
+            at = b.fill_null(0).to_numpy()  # rows without an id are kept whatever this says
+            yield pa.array((packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool))
 
     key = F.col(f"`{id_col}`").cast("long")
     # the whole row is one column from here on, so no name of it can clash

@@ -201,3 +201,40 @@ def sampled(x: Column, domain: tuple[float, float], samples: list[float], decode
     a, b = F.element_at(table, lo + 1), F.element_at(table, F.least(lo + 2, F.lit(last + 1)))
     top = float(2**bits - 1)
     return F.lit(decode[0]) + (a + (at - lo) * (b - a)) * F.lit((decode[1] - decode[0]) / top)
+
+
+def sampled_grid(xs: list[Column], domain: list[tuple[float, float]], size: list[int], samples: list[list[float]], decode: list[tuple[float, float]], bits: int = 8, encode: list[tuple[float, float]] | None = None, limits: list[tuple[float, float]] | None = None) -> list[Column]:
+    """A sampled function of any number of inputs and outputs, as one expression an output.
+
+    ``samples`` has a list of outputs for each point of the grid, the first input running
+    fastest. An input is clipped to its domain, mapped to its encoding (all of its grid, if
+    none is given) and clipped to the grid; the value is interpolated between the 2 ** n
+    points around it, input by input, mapped from ``bits`` bits to its decoding and
+    clipped to its limits. A null input gives null.
+    """
+    points = 1
+    for n in size:
+        points *= n
+    if len(samples) != points or any(len(s) != len(decode) for s in samples) or not len(xs) == len(domain) == len(size):
+        raise ValueError("a sample for each point of the grid and output is needed")
+    places, stride = [], 1
+    for x, (lo, hi), n, code in zip(xs, domain, size, encode or [(0.0, n - 1.0) for n in size], strict=True):
+        at = F.lit(float(code[0])) if hi == lo else F.lit(float(code[0])) + (clip(x, lo, hi) - lo) * F.lit((code[1] - code[0]) / (hi - lo))
+        at = F.when(x.isNotNull(), clip(at, 0.0, n - 1.0))
+        low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        places.append((low * stride, high * stride, at - low))
+        stride *= n
+    out = []
+    for k, (d0, d1) in enumerate(decode):
+        table = F.array(*[F.lit(float(s[k])) for s in samples])
+
+        def value(i: int, index: Column) -> Column:
+            if i == len(places):
+                return F.element_at(table, index + 1)
+            low, high, part = places[i]
+            a = value(i + 1, index + low)
+            return a + part * (value(i + 1, index + high) - a)
+
+        y = F.lit(float(d0)) + value(0, F.lit(0)) * F.lit((d1 - d0) / float(2**bits - 1))
+        out.append(F.when(y.isNotNull(), clip(y, *limits[k])) if limits else y)
+    return out

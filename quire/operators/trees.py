@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name where driver and executors share files; in local mode one of this machine will do."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{at or 'file://' + tempfile.mkdtemp(prefix='quire-')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoints(frame: DataFrame) -> None:
     """Have checkpoints go to the folder that driver and executors share; in local mode a folder of this machine will do."""
     context = frame.sparkSession.sparkContext

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import calc, getters, xref
-from quire.operators import clone, fields
+from quire.operators import clone, fields, trees
 from quire.session import table
+from quire.streaming import updates
 
 
 def _graph(parts: list[DataFrame]) -> DataFrame:
@@ -124,7 +125,23 @@ def variant_getters(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (clone_merge_graph, form_repair, role_chains, xref_streams, page_hints, fn_type0_grids, variant_getters)}
+#: Between the two snapshots of the stream of versions.
+CUT = "2024-01-16"
+
+
+def version_stream(spark, sf):
+    """G18 as a stream: events as versions of objects, every fifth of them a deletion, in two runs from one checkpoint."""
+    at = trees.scratch(spark, "versions")
+    versions = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "props", (F.col("event_id") % 5 == 0).alias("gone"))
+    stream = spark.readStream.schema(versions.schema).parquet(f"{at}/in")
+    changed = updates.changes(stream, ["user_id", "event_type"], ["props"], "ts", "event_id", "gone")
+    for part in (F.col("ts") < CUT, F.col("ts") >= CUT):
+        versions.where(part).write.mode("append").parquet(f"{at}/in")
+        updates.follow(changed, f"{at}/state", f"{at}/out")
+    return spark.read.parquet(f"{at}/out").select("user_id", "event_type", F.col("ord").alias("event_id"), "change")
+
+
+QUERIES = {f.__name__: f for f in (version_stream, clone_merge_graph, form_repair, role_chains, xref_streams, page_hints, fn_type0_grids, variant_getters)}
 
 
 def _lerp(table: list[list[int]], out: int, axes: list[tuple[str, int]]) -> str:
@@ -141,8 +158,14 @@ def _lerp(table: list[list[int]], out: int, axes: list[tuple[str, int]]) -> str:
     return " + ".join(terms)
 
 
+_NEWEST = "SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id, max_by(coalesce(props, ''), (ts, event_id)) AS props, max_by(event_id % 5 = 0, (ts, event_id)) AS gone FROM events WHERE ts"
 _AXIS = lambda a: f"{a}, floor({a}) AS l{a}, ceil({a}) AS h{a}, {a} - floor({a}) AS {a}f"
 SQL = {
+    "version_stream": f"""
+WITH a AS ({_NEWEST} < TIMESTAMP '{CUT}' GROUP BY ALL), b AS ({_NEWEST} >= TIMESTAMP '{CUT}' GROUP BY ALL)
+SELECT user_id, event_type, event_id, 'added' AS change FROM a WHERE NOT gone
+UNION ALL SELECT b.user_id, b.event_type, b.event_id, CASE WHEN coalesce(a.gone, true) THEN 'added' WHEN b.gone THEN 'removed' ELSE 'modified' END
+FROM b LEFT JOIN a ON a.user_id = b.user_id AND a.event_type = b.event_type WHERE CASE WHEN coalesce(a.gone, true) THEN NOT b.gone ELSE b.gone OR a.props <> b.props END""",
     "clone_merge_graph": """
 WITH s AS (SELECT s_nationkey AS doc, s_suppkey AS id, s_name AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k FROM supplier),
 c AS (SELECT c_nationkey AS doc, c_custkey AS id, c_name AS v, c_mktsegment AS seg, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS k, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1 AS ks FROM customer),

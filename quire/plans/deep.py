@@ -133,11 +133,10 @@ def version_stream(spark, sf):
     """G18 as a stream: events as versions of objects, every fifth of them a deletion, in two runs from one checkpoint."""
     at = trees.scratch(spark, "versions")
     versions = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "props", (F.col("event_id") % 5 == 0).alias("gone"))
-    stream = spark.readStream.schema(versions.schema).parquet(f"{at}/in")
-    changed = updates.changes(stream, ["user_id", "event_type"], ["props"], "ts", "event_id", "gone")
     for part in (F.col("ts") < CUT, F.col("ts") >= CUT):
         versions.where(part).write.mode("append").parquet(f"{at}/in")
-        updates.follow(changed, f"{at}/state", f"{at}/out")
+        stream = spark.readStream.schema(versions.schema).parquet(f"{at}/in")
+        updates.follow(updates.changes(stream, ["user_id", "event_type"], ["props"], "ts", "event_id", "gone"), f"{at}/state", f"{at}/out")
     return spark.read.parquet(f"{at}/out").select("user_id", "event_type", F.col("ord").alias("event_id"), "change")
 
 

@@ -194,6 +194,23 @@ def xfdf(fields: DataFrame, keys: list[str], name: str, value: str) -> DataFrame
     return fields.groupBy(*keys).agg(F.concat(F.lit('<xfdf xmlns="http://ns.adobe.com/xfdf/"><fields>'), inner, F.lit("</fields></xfdf>")).alias("xfdf"))
 
 
+def fdf(fields: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
+    """(keys, fdf): the fields of each key as one form-data file, by name; a null value leaves the field without one.
+
+    A qualified name is a chain of partial names, each the only kid of the one before.
+    Texts are written as digits of UTF-16 behind its mark, so they may hold anything.
+    """
+    text = lambda c: F.concat(F.lit("<FEFF"), F.hex(F.encode(c, "UTF-16BE")), F.lit(">"))
+    steps = F.split(name, r"\.", -1)
+    above = F.array_join(F.transform(F.slice(steps, 1, F.size(steps) - 1), lambda n: F.concat(F.lit("<</T"), text(n), F.lit("/Kids["))), "")
+    own = F.concat(F.lit("<</T"), text(F.element_at(steps, -1)), F.coalesce(F.concat(F.lit("/V"), text(F.col(value))), F.lit("")), F.lit(">>"))
+    item = F.concat(above, own, F.repeat(F.lit("]>>"), F.size(steps) - 1))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), item.alias("x"))))
+    inner = F.array_join(F.transform(rows, lambda r: r["x"]), "")
+    whole = F.concat(F.lit("%FDF-1.2\n1 0 obj\n<</FDF<</Fields["), inner, F.lit("]>>>>\nendobj\ntrailer\n<</Root 1 0 R>>\n%%EOF\n"))
+    return fields.groupBy(*keys).agg(F.encode(whole, "UTF-8").alias("fdf"))
+
+
 # encryption -----------------------------------------------------------------------------
 
 #: What fills a short password up to 32 bytes (fixed value).

@@ -54,9 +54,12 @@ def page_text(runs: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "page_idx").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_idx)").alias("text"))
 
 
-def suppress_overlaps(runs: DataFrame) -> DataFrame:
+def suppress_overlaps(runs: DataFrame, strict: bool = False) -> DataFrame:
     """Drop a run if an earlier kept one with its text is within a third of a character of it.
 
+    ``strict``, as for marked content: the place at that very distance is outside on both
+    sides, not on one, and a run without width suppresses nothing.
+
     Greedy in the order of ``seq``, so texts that stand on their page twice or more are
     folded page by page; all others are kept and never leave the JVM. ``runs`` needs
     doc_id, page_idx, seq, text, x, y, width, font_size, none of them null.
@@ -69,12 +72,12 @@ def suppress_overlaps(runs: DataFrame) -> DataFrame:
         keep = []
         for n in sorted(range(page.num_rows), key=cols[0].__getitem__):
             _, text, x, y, width, size = (c[n] for c in cols)
-            tol = width / len(text) / 3 if width > 0 and text else max(size, 0.1) * 0.25
+            tol = width / max(1, len(text)) / 3 if strict or (width > 0 and text) else max(size, 0.1) * 0.25
             cx, cy = int(x // CELL), int(y // CELL)
             reach = int(tol // CELL) + 1
             grid = kept.setdefault(text, {})
             near = (p for i in range(cx - reach, cx + reach + 1) for j in range(cy - reach, cy + reach + 1) for p in grid.get((i, j), ()))
-            if not any(x - tol <= a < x + tol and y - tol <= b < y + tol for a, b in near):
+            if not any(abs(x - a) < tol and abs(y - b) < tol if strict else x - tol <= a < x + tol and y - tol <= b < y + tol for a, b in near):
                 grid.setdefault((cx, cy), []).append((x, y))
                 keep.append(n)
         return page.take(pa.array(sorted(keep), pa.int64()))

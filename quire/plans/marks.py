@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.operators import graphics, highlight, links
+from quire.functions import structure as S
+from quire.functions import unicode_text
+from quire.operators import graphics, highlight, layout, lines, links
 from quire.plans.pdfs import made
+from quire.session import table
 from quire.sources import pdf
 from quire.sources.runs import RUNS_SQL, runs
 
@@ -63,7 +66,53 @@ def search_highlights(spark, sf):
     return highlight.highlights(base, ["doc_id", "page_idx"], ["line_idx", "word_idx"], list(WORDS), F.col("sep"))
 
 
-QUERIES = {f.__name__: f for f in (operator_state, pdf_text_colours, link_texts, search_highlights)}
+def line_words(spark, sf):
+    """Words of a line of glyphs, of which spaces end one."""
+    items = table(spark, sf, "part").select("p_partkey", F.posexplode(F.split(F.concat(F.lit(" "), "p_name", F.when(F.col("p_size") % 2 == 0, "  ").otherwise("")), "")).alias("k", "c"))
+    return lines.normalised(items, ["p_partkey"], "k", F.col("c"), F.col("c") == " ")
+
+
+def _italic():
+    return (F.length("text") + F.col("word_idx")) % 3 == 0
+
+
+def nested_emphasis(spark, sf):
+    """Bold and italic, one inside the other, as marks before runs and behind a page's last one."""
+    got = lines.nested_emphasis(runs(spark, sf), ["doc_id", "page_idx"], ["line_idx", "word_idx"], F.col("bold"), _italic())
+    return got.where("mark <> '' OR close <> ''").select("doc_id", "page_idx", "line_idx", "word_idx", "mark", "close")
+
+
+def marked_overlaps(spark, sf):
+    """Copies at less than a third of a character go, those at just that distance stay."""
+    base = runs(spark, sf).withColumn("seq", F.col("line_idx").cast("long") * (1 << 32) + F.col("word_idx"))
+    copies = base.withColumn("x", F.col("x") + F.col("word_idx") % 3).withColumn("seq", F.col("seq") + (1 << 60))
+    both = base.unionByName(copies).select("doc_id", "page_idx", "line_idx", "word_idx", "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "font_size")], "seq")
+    return layout.suppress_overlaps(both, strict=True).select("doc_id", "page_idx", "line_idx", "word_idx", "x")
+
+
+#: A word from right to left (fixed value of the demonstration).
+WORD = "\u05e9\u05dc\u05d5\u05dd"
+
+
+def unicode_texts(spark, sf):
+    """Presentation forms, lines in both base directions, prepared names."""
+    p = table(spark, sf, "part")
+    over = lambda name, *parts: unicode_text.over_text(name, F.concat(*[x if isinstance(x, str) and x.startswith("p_") else F.lit(x) for x in parts]))
+    return p.select(
+        "p_partkey", over("presentation", "\ufb01\ufb02 ", "p_name").alias("forms"), over("logical", "p_brand", " " + WORD[::-1]).alias("left_to_right"),
+        over("logical", WORD[::-1] + " ", "p_brand").alias("right_to_left"), over("prepared", "p_name", "\u00a0\u00adx").alias("prepared"),
+    )
+
+
+def fdf_roundtrip(spark, sf):
+    """K9: fields with qualified names written as form data and read back."""
+    c = table(spark, sf, "customer")
+    held = c.select("c_nationkey", F.concat(F.lit("form."), "c_mktsegment", F.lit("."), "c_custkey").alias("name"), F.concat(F.lit("(\u00e9\\) "), "c_name").alias("value"))
+    files = S.fdf(held, ["c_nationkey"], "name", "value").withColumnRenamed("fdf", "content")
+    return S.form_data(files, "c_nationkey", False)
+
+
+QUERIES = {f.__name__: f for f in (line_words, nested_emphasis, marked_overlaps, unicode_texts, fdf_roundtrip, operator_state, pdf_text_colours, link_texts, search_highlights)}
 
 _STATE = {
     "fill_space": ("2, 3, 7", "CASE c WHEN 2 THEN 'DeviceRGB' WHEN 3 THEN 'DeviceGray' ELSE 'DeviceCMYK' END", "DeviceGray"),
@@ -76,6 +125,23 @@ _SETTERS = " UNION ALL ".join(f"SELECT doc_id, page_idx, seq, depth, '{p}' AS p,
 _TOPS = ", ".join(f"coalesce(arg_max(v, s.seq) FILTER (p = '{p}'), '{d}') AS {p}" for p, (_, _, d) in _STATE.items())
 _HITS = " UNION ALL ".join(f"SELECT doc_id, page_idx, '{w}' AS word, string_split_regex(text, '(?i){w}') AS p, regexp_extract_all(text, '(?i){w}') AS m FROM pages" for w in WORDS)
 SQL = {
+    "line_words": """
+WITH w AS (SELECT p_partkey, string_split(' ' || p_name || CASE WHEN p_size % 2 = 0 THEN '  ' ELSE '' END, ' ') AS ws FROM part WHERE p_name IS NOT NULL),
+u AS (SELECT p_partkey, len(ws) AS n, unnest(ws) AS text, unnest(range(len(ws))) AS word FROM w)
+SELECT p_partkey, CAST(word AS INT) AS word, text, length(text) AS items FROM u WHERE word < n - 1 OR text <> ''""",
+    "nested_emphasis": f"""WITH {RUNS_SQL},
+r AS (SELECT *, (length(text) + word_idx) % 3 = 0 AS i, row_number() OVER w AS n, lag(bold) OVER w AS pb, lead(n) OVER w IS NULL AS last FROM (SELECT *, 1 AS n FROM runs) WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY line_idx, word_idx)),
+q AS (SELECT doc_id, page_idx, line_idx, word_idx, bold AS b, i, last, n, coalesce(pb, false) AS pb, coalesce(lag(i) OVER w, false) AS pi FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY line_idx, word_idx) AS n FROM r) WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY n)),
+s AS (SELECT *, max(CASE WHEN b AND NOT pb THEN n END) OVER w AS sb, max(CASE WHEN i AND NOT pi THEN n END) OVER w AS si FROM q WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY n)),
+t AS (SELECT *, lag(sb) OVER w AS lb, lag(si) OVER w AS li FROM s WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY n)),
+m AS (SELECT doc_id, page_idx, line_idx, word_idx,
+  CASE WHEN b AND NOT pb THEN '**' WHEN pb AND NOT b THEN CASE WHEN pi AND lb <= li THEN '****' ELSE '**' END ELSE '' END AS x,
+  CASE WHEN i AND NOT pi THEN '*' WHEN pi AND NOT i THEN CASE WHEN b AND (NOT pb OR li < lb) THEN '*****' ELSE '*' END ELSE '' END AS y,
+  CASE WHEN NOT last THEN '' WHEN b AND i THEN '***' WHEN b THEN '**' WHEN i THEN '*' ELSE '' END AS close FROM t)
+SELECT doc_id, page_idx, line_idx, word_idx, x || y AS mark, close FROM m WHERE x || y <> '' OR close <> ''""",
+    "marked_overlaps": f"WITH {RUNS_SQL} SELECT doc_id, page_idx, line_idx, word_idx, CAST(x AS DOUBLE) AS x FROM runs UNION ALL SELECT doc_id, page_idx, line_idx, word_idx, CAST(x + 2 AS DOUBLE) FROM runs WHERE word_idx % 3 = 2",
+    "unicode_texts": f"SELECT p_partkey, 'fifl ' || p_name AS forms, p_brand || ' {WORD}' AS left_to_right, p_brand || ' {WORD}' AS right_to_left, p_name || ' x' AS prepared FROM part",
+    "fdf_roundtrip": "SELECT c_nationkey, 'form.' || c_mktsegment || '.' || c_custkey AS name, '(\u00e9\\) ' || c_name AS value FROM customer",
     # a setter holds until the first restore that goes below its level
     "operator_state": f"""WITH {RUNS_SQL},
 ops AS (SELECT doc_id, page_idx, CAST(line_idx AS BIGINT) * 1000000 + word_idx AS seq, (length(text) + word_idx) % 10 AS c, word_idx % 5 AS n FROM runs),

@@ -120,3 +120,59 @@ def test_hits_and_their_runs(spark):
     assert got == sorted(want) and len(got) > 200
     with pytest.raises(ValueError):
         highlight.hits(df, ["page"], "text", ["x*"])
+
+
+def test_words_of_lines(spark):
+    """Against a list of words that is filled glyph by glyph."""
+    from quire.operators import lines
+
+    rng = random.Random(3)
+    rows = [(i, k, rng.choice(["a", "bc", None, ""]), rng.random() < 0.35) for i in range(80) for k in range(rng.randint(0, 8))]
+    want = []
+    for i in range(80):
+        words, now = [], ""
+        for _, _, t, cut in [r for r in rows if r[0] == i]:
+            if cut:
+                words.append(now)
+                now = ""
+            else:
+                now += t or ""
+        want += [(i, n, w) for n, w in enumerate([*words, now] if now else words)]
+    df = spark.createDataFrame(rows, "line int, k int, t string, cut boolean").repartition(3)
+    got = lines.normalised(df, ["line"], "k", F.col("t"), F.col("cut"))
+    assert sorted((r.line, r.word, r.text) for r in got.collect()) == want
+
+
+def test_nested_emphasis_like_a_stack(spark):
+    from quire.operators import lines
+
+    rng = random.Random(7)
+    rows = [(p, k, rng.random() < 0.5, rng.random() < 0.5) for p in range(60) for k in range(rng.randint(1, 25))]
+    want = {}
+    for p in range(60):
+        held = []
+        mine = [r for r in rows if r[0] == p]
+        for _, k, bold, italic in mine:
+            mark = ""
+            for tag, on in (("**", bold), ("*", italic)):
+                if on and tag not in held:
+                    held.append(tag)
+                    mark += tag
+                elif not on and tag in held:
+                    at = held.index(tag)
+                    mark += "".join(reversed(held[at:]))
+                    del held[at]
+                    mark += "".join(held[at:])
+            want[p, k] = (mark, "".join(reversed(held)) if k == mine[-1][1] else "")
+    df = spark.createDataFrame(rows, "page int, k int, b boolean, i boolean").repartition(3)
+    got = lines.nested_emphasis(df, ["page"], ["k"], F.col("b"), F.col("i"))
+    assert {(r.page, r.k): (r.mark, r.close) for r in got.collect()} == want
+
+
+def test_strict_and_loose_overlaps(spark):
+    from quire.operators import layout
+
+    rows = [(0, 0, 0, "ab", 10.0, 5.0, 12.0, 10.0), (0, 0, 1, "ab", 12.0, 5.0, 12.0, 10.0), (0, 0, 2, "ab", 11.9, 5.0, 12.0, 10.0), (0, 0, 3, "z", 1.0, 1.0, 0.0, 10.0), (0, 0, 4, "z", 1.0, 1.0, 0.0, 10.0)]
+    df = spark.createDataFrame(rows, "doc_id int, page_idx int, seq long, text string, x double, y double, width double, font_size double")
+    assert sorted(r.seq for r in layout.suppress_overlaps(df, strict=True).collect()) == [0, 1, 3, 4]
+    assert sorted(r.seq for r in layout.suppress_overlaps(df).collect()) == [0, 3]

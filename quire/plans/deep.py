@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import calc, getters, xref
-from quire.operators import clone, fields, trees
+from quire.operators import actions, clone, fields, trees
 from quire.session import table
 from quire.streaming import updates
 
@@ -140,7 +140,17 @@ def version_stream(spark, sf):
     return spark.read.parquet(f"{at}/out").select("user_id", "event_type", F.col("ord").alias("event_id"), "change")
 
 
-QUERIES = {f.__name__: f for f in (version_stream, clone_merge_graph, form_repair, role_chains, xref_streams, page_hints, fn_type0_grids, variant_getters)}
+def action_chains(spark, sf):
+    """Actions with those that follow them, in the order in which they run."""
+    e = table(spark, sf, "events")
+    ident = F.col("event_id").cast("string")
+    rest = F.concat(F.lit('{"S": "GoTo", "D": "p'), ident, F.lit('", "Next": {"S": "Named", "N": "NextPage"}}, {"S": "Other", "Next": {"S": "URI", "URI": "lost"}}, {"S": "GoToR", "D": "x", "F": {"F": "f'), ident, F.lit('"}, "NewWindow": true}'))
+    first = F.when(F.col("event_type") == "click", F.concat(F.lit('"S": "URI", "URI": "http://x.org/'), ident, F.lit('"'))).otherwise(F.lit('"S": "SubmitForm", "F": "to", "Flags": 4'))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{"), first, F.lit("}"))).otherwise(F.concat(F.lit("{"), first, F.lit(', "Next": ['), rest, F.lit("]}")))
+    return actions.chain(e.select("event_id", getters.parsed(text).alias("v")), ["event_id"], "v")
+
+
+QUERIES = {f.__name__: f for f in (action_chains, version_stream, clone_merge_graph, form_repair, role_chains, xref_streams, page_hints, fn_type0_grids, variant_getters)}
 
 
 def _lerp(table: list[list[int]], out: int, axes: list[tuple[str, int]]) -> str:
@@ -160,6 +170,11 @@ def _lerp(table: list[list[int]], out: int, axes: list[tuple[str, int]]) -> str:
 _NEWEST = "SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id, max_by(coalesce(props, ''), (ts, event_id)) AS props, max_by(event_id % 5 = 0, (ts, event_id)) AS gone FROM events WHERE ts"
 _AXIS = lambda a: f"{a}, floor({a}) AS l{a}, ceil({a}) AS h{a}, {a} - floor({a}) AS {a}f"
 SQL = {
+    "action_chains": """
+SELECT event_id, 0 AS ord, 0 AS depth, CASE WHEN event_type = 'click' THEN 'URI' ELSE 'SubmitForm' END AS kind, CASE WHEN event_type = 'click' THEN 'http://x.org/' || event_id END AS uri, NULL AS dest, CASE WHEN event_type <> 'click' THEN 'to' END AS file, NULL AS script, NULL AS named, CASE WHEN event_type <> 'click' THEN 4 END AS flags, CAST(NULL AS BOOLEAN) AS new_window FROM events
+UNION ALL SELECT event_id, 1, 1, 'GoTo', NULL, 'p' || event_id, NULL, NULL, NULL, NULL, NULL FROM events WHERE event_id % 3 <> 0
+UNION ALL SELECT event_id, 2, 2, 'Named', NULL, NULL, NULL, NULL, 'NextPage', NULL, NULL FROM events WHERE event_id % 3 <> 0
+UNION ALL SELECT event_id, 3, 1, 'GoToR', NULL, 'x', 'f' || event_id, NULL, NULL, NULL, true FROM events WHERE event_id % 3 <> 0""",
     "version_stream": f"""
 WITH a AS ({_NEWEST} < TIMESTAMP '{CUT}' GROUP BY ALL), b AS ({_NEWEST} >= TIMESTAMP '{CUT}' GROUP BY ALL)
 SELECT user_id, event_type, event_id, 'added' AS change FROM a WHERE NOT gone

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import scalars
 from quire.functions import structure as S
-from quire.operators import assemble, joins
+from quire.operators import assemble, joins, trees
 from quire.session import spread, table
 from quire.sources import catalog, pdf
 from quire.sources import objects as O
@@ -90,6 +90,13 @@ def made(spark, sf) -> DataFrame:
     return spread(table(spark, sf, "documents").select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, content binary")
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The files as a written table, for queries that read each of them more than once."""
+    at = trees.scratch(docs.sparkSession, "files")
+    docs.write.parquet(at)
+    return docs.sparkSession.read.parquet(at)
+
+
 def pdf_documents(spark, sf):
     got = pdf.documents(made(spark, sf), "doc_id")
     return got.select("doc_id", "version", "pages", "recovered", F.array_join("sections", ",").alias("sections"), F.coalesce("error", F.lit("")).alias("error"))
@@ -102,7 +109,7 @@ def pdf_objects(spark, sf):
 
 def pdf_references(spark, sf):
     """References resolved to the objects that they name."""
-    docs = made(spark, sf)
+    docs = kept(made(spark, sf))
     edges, held = pdf.references(docs, "doc_id"), pdf.objects(docs, "doc_id").select("doc_id", F.col("num").alias("dst"), "type")
     return edges.where("via NOT IN ('/Root', '/Info')").join(held, ["doc_id", "dst"], "left").groupBy("doc_id", F.coalesce("type", F.lit("none")).alias("type")).agg(F.count("*").alias("n"))
 
@@ -166,7 +173,7 @@ def pdf_attachments(spark, sf):
 
 def pdf_labels(spark, sf):
     """Each page's label by the ranges in its own file."""
-    docs = made(spark, sf)
+    docs = kept(made(spark, sf))
     starts = catalog.label_ranges(docs, "doc_id")
     got = joins.as_of(pdf.pages(docs, "doc_id").select("doc_id", "page_idx"), starts, ["doc_id"], "page_idx", "start_idx", ["start_idx", "style", "prefix", "first"])
     return got.select("doc_id", "page_idx", scalars.page_label(F.col("style"), F.col("prefix"), F.col("page_idx") - F.col("start_idx") + F.col("first")).alias("label"))
@@ -174,14 +181,14 @@ def pdf_labels(spark, sf):
 
 def pdf_merged(spark, sf):
     """Files of fifty ids as one volume, by id: its pages and the words on them."""
-    whole = assemble.merge(made(spark, sf).withColumn("volume", F.expr("doc_id DIV 50")), ["volume"], "doc_id")
+    whole = kept(assemble.merge(made(spark, sf).withColumn("volume", F.expr("doc_id DIV 50")), ["volume"], "doc_id"))
     runs = pdf.runs(whole, "volume").groupBy("volume").agg(F.count("*").alias("words"), F.sum("width").cast("long").alias("width"))
     return pdf.documents(whole, "volume").select("volume", "pages").join(runs, "volume", "left").select("volume", "pages", F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("width", F.lit(0)).alias("width"))
 
 
 def pdf_split(spark, sf):
     """Files of two pages each, and the words on them."""
-    parts = assemble.split_every(made(spark, sf), "doc_id", 2).withColumn("k", F.col("doc_id") * (1 << 20) + F.col("chunk"))
+    parts = kept(assemble.split_every(made(spark, sf), "doc_id", 2).withColumn("k", F.col("doc_id") * (1 << 20) + F.col("chunk")))
     words = pdf.runs(parts, "k").groupBy("k").agg(F.count("*").alias("words"))
     got = pdf.documents(parts, "k").join(words, "k", "left")
     return got.select(F.expr(f"k DIV {1 << 20}").alias("doc_id"), (F.col("k") % (1 << 20)).cast("int").alias("chunk"), "pages", F.coalesce("words", F.lit(0)).alias("words"))
@@ -189,7 +196,7 @@ def pdf_split(spark, sf):
 
 def pdf_decoded(spark, sf):
     """Files with decoded streams: no filter is left, and the pages are the same."""
-    plain = assemble.decode_streams(made(spark, sf), "doc_id")
+    plain = kept(assemble.decode_streams(made(spark, sf), "doc_id"))
     left = pdf.objects(plain, "doc_id").groupBy("doc_id").agg(F.sum(F.size("filters")).cast("int").alias("filters"))
     return pdf.documents(plain, "doc_id").join(left, "doc_id").select("doc_id", "pages", "filters")
 

@@ -253,3 +253,32 @@ def test_variant_getters(spark):
     assert all(tuple(row[k])[1:] == (7, 7, 7, 0.5, False, "?", "?", -1, 0, 0, False) for k in (2, 3, 4))
     with pytest.raises(ValueError):
         getters.path("both ' and \"")
+
+
+def test_chains_of_actions(spark):
+    import json
+
+    from quire.operators import actions
+
+    rng = random.Random(9)
+
+    def action(depth):
+        out = {"S": rng.choice(["URI", "GoTo", "Named", "JavaScript", "Launch", "Nothing", None]), "URI": "u", "D": "d", "N": "n", "JS": "s", "F": rng.choice(["f", {"F": "g"}, {}, 7])}
+        if depth and rng.random() < 0.8:
+            out["Next"] = rng.choice([action(depth - 1), [action(depth - 1) for _ in range(rng.randint(0, 3))], None, "no"])
+        return out
+
+    def plain(a, depth=0):
+        if not isinstance(a, dict) or a.get("S") not in actions.KINDS:
+            return
+        file = a["F"] if isinstance(a["F"], str) else a["F"].get("F") if isinstance(a["F"], dict) else None
+        yield depth, a["S"], "u" if a["S"] == "URI" else None, "d" if a["S"] == "GoTo" else None, file if a["S"] == "Launch" else None, "n" if a["S"] == "Named" else None
+        for x in a.get("Next") if isinstance(a.get("Next"), list) else [a.get("Next")]:
+            yield from plain(x, depth + 1)
+
+    trees_ = [action(4) for _ in range(60)]
+    rows = [(i, json.dumps(a)) for i, a in enumerate(trees_)] + [(100, "[]"), (101, "broken"), (102, None)]
+    df = spark.createDataFrame(rows, "id int, t string").select("id", getters.parsed(F.col("t")).alias("v"))
+    got = actions.chain(df, ["id"], "v").collect()
+    want = [(i, n, *x) for i, a in enumerate(trees_) for n, x in enumerate(plain(a))]
+    assert sorted((r.id, r.ord, r.depth, r.kind, r.uri, r.dest, r.file, r.named) for r in got) == sorted(want) and len(want) > 60

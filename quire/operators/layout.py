@@ -54,6 +54,39 @@ def page_text(runs: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "page_idx").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY line_idx)").alias("text"))
 
 
+#: What stands between and around the parts of a text, by default (fixed values).
+SEPARATORS = {"word": " ", "line": "\n", "page_start": "", "page_end": "\n", "article_start": "", "article_end": "", "paragraph_start": "", "paragraph_end": ""}
+
+
+def document_text(runs: DataFrame, doc: list[str], **separators: str) -> DataFrame:
+    """(doc, text) with every mark in its place, from runs (doc, page, article, line, word, text, paragraph).
+
+    A page stands between its start and its end, and so do its articles, whose first line
+    opens a paragraph. A line whose ``paragraph`` is true opens another one behind a line
+    end: the one before is ended, and the new one started. Words, lines, articles and
+    pages come by their numbers. A null text is an empty word; a page is there if it has a
+    run. ``separators``: those of ``SEPARATORS`` that differ.
+    """
+    if unknown := set(separators) - set(SEPARATORS):
+        raise ValueError(f"no such separators: {', '.join(sorted(unknown))}")
+    sep = {k: F.lit(v) for k, v in (SEPARATORS | separators).items()}
+
+    def joined(order: str, between: str = "") -> Column:
+        held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
+        return F.array_join(F.transform(held, lambda r: r["t"]), between).alias("text")
+
+    text = F.coalesce("text", F.lit(""))
+    word = runs.select(*doc, "page", "article", "line", "word", text.alias("text"), F.coalesce("paragraph", F.lit(False)).alias("paragraph"))
+    line = word.groupBy(*doc, "page", "article", "line").agg(joined("word", (SEPARATORS | separators)["word"]), F.bool_or("paragraph").alias("paragraph"))
+    first = F.col("line") == F.min("line").over(Window.partitionBy(*doc, "page", "article"))
+    opens = F.when(first, sep["paragraph_start"]).when(F.col("paragraph"), F.concat(sep["line"], sep["paragraph_end"], sep["paragraph_start"])).otherwise(sep["line"])
+    line = line.withColumn("text", F.concat(opens, "text"))
+    article = line.groupBy(*doc, "page", "article").agg(joined("line"))
+    article = article.withColumn("text", F.concat(sep["article_start"], "text", sep["paragraph_end"], sep["article_end"]))
+    page = article.groupBy(*doc, "page").agg(joined("article")).withColumn("text", F.concat(sep["page_start"], "text", sep["page_end"]))
+    return page.groupBy(*doc).agg(joined("page"))
+
+
 def suppress_overlaps(runs: DataFrame, strict: bool = False) -> DataFrame:
     """Drop a run if an earlier kept one with its text is within a third of a character of it.
 

@@ -90,6 +90,12 @@ def marked_overlaps(spark, sf):
     return layout.suppress_overlaps(both, strict=True).select("doc_id", "page_idx", "line_idx", "word_idx", "x")
 
 
+def text_separators(spark, sf):
+    """A document's text with all marks, two articles a page and a paragraph every fourth line."""
+    r = runs(spark, sf).select("doc_id", F.col("page_idx").alias("page"), (F.col("line_idx") % 20 >= 10).cast("int").alias("article"), F.col("line_idx").alias("line"), F.col("word_idx").alias("word"), "text", (F.col("line_idx") % 4 == 0).alias("paragraph"))
+    return layout.document_text(r, ["doc_id"], page_start="<S>", page_end="<E>", article_start="[", article_end="]", paragraph_start="{", paragraph_end="}", line="/")
+
+
 #: A word from right to left (fixed value of the demonstration).
 WORD = "\u05e9\u05dc\u05d5\u05dd"
 
@@ -112,7 +118,7 @@ def fdf_roundtrip(spark, sf):
     return S.form_data(files, "c_nationkey", False)
 
 
-QUERIES = {f.__name__: f for f in (line_words, nested_emphasis, marked_overlaps, unicode_texts, fdf_roundtrip, operator_state, pdf_text_colours, link_texts, search_highlights)}
+QUERIES = {f.__name__: f for f in (text_separators, line_words, nested_emphasis, marked_overlaps, unicode_texts, fdf_roundtrip, operator_state, pdf_text_colours, link_texts, search_highlights)}
 
 _STATE = {
     "fill_space": ("2, 3, 7", "CASE c WHEN 2 THEN 'DeviceRGB' WHEN 3 THEN 'DeviceGray' ELSE 'DeviceCMYK' END", "DeviceGray"),
@@ -125,6 +131,12 @@ _SETTERS = " UNION ALL ".join(f"SELECT doc_id, page_idx, seq, depth, '{p}' AS p,
 _TOPS = ", ".join(f"coalesce(arg_max(v, s.seq) FILTER (p = '{p}'), '{d}') AS {p}" for p, (_, _, d) in _STATE.items())
 _HITS = " UNION ALL ".join(f"SELECT doc_id, page_idx, '{w}' AS word, string_split_regex(text, '(?i){w}') AS p, regexp_extract_all(text, '(?i){w}') AS m FROM pages" for w in WORDS)
 SQL = {
+    "text_separators": f"""WITH {RUNS_SQL},
+l AS (SELECT doc_id, page_idx, line_idx % 20 >= 10 AS a, line_idx, string_agg(text, ' ' ORDER BY word_idx) AS t FROM runs GROUP BY ALL),
+o AS (SELECT *, CASE WHEN line_idx = min(line_idx) OVER (PARTITION BY doc_id, page_idx, a) THEN '{{' WHEN line_idx % 4 = 0 THEN '/}}{{' ELSE '/' END || t AS x FROM l),
+p AS (SELECT doc_id, page_idx, a, '[' || string_agg(x, '' ORDER BY line_idx) || '}}]' AS t FROM o GROUP BY ALL),
+g AS (SELECT doc_id, page_idx, '<S>' || string_agg(t, '' ORDER BY a) || '<E>' AS t FROM p GROUP BY ALL)
+SELECT doc_id, string_agg(t, '' ORDER BY page_idx) AS text FROM g GROUP BY doc_id""",
     "line_words": """
 WITH w AS (SELECT p_partkey, string_split(' ' || p_name || CASE WHEN p_size % 2 = 0 THEN '  ' ELSE '' END, ' ') AS ws FROM part WHERE p_name IS NOT NULL),
 u AS (SELECT p_partkey, len(ws) AS n, unnest(ws) AS text, unnest(range(len(ws))) AS word FROM w)

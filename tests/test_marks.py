@@ -176,3 +176,18 @@ def test_strict_and_loose_overlaps(spark):
     df = spark.createDataFrame(rows, "doc_id int, page_idx int, seq long, text string, x double, y double, width double, font_size double")
     assert sorted(r.seq for r in layout.suppress_overlaps(df, strict=True).collect()) == [0, 1, 3, 4]
     assert sorted(r.seq for r in layout.suppress_overlaps(df).collect()) == [0, 3]
+
+
+def test_separators_around_and_between(spark):
+    from quire.operators import layout
+
+    rows = [(1, 0, 0, 0, 1, "b", False), (1, 0, 0, 0, 0, "a", False), (1, 0, 0, 1, 0, "c", True), (1, 0, 1, 2, 0, None, None), (1, 1, 0, 0, 0, "d", True), (2, 0, 0, 0, 0, "x", False)]
+    df = spark.createDataFrame(rows, "doc int, page int, article int, line int, word int, text string, paragraph boolean").repartition(3)
+    plain = {r.doc: r.text for r in layout.document_text(df, ["doc"]).collect()}
+    assert plain == {1: "a b\nc\nd\n", 2: "x\n"}
+    marks = {k: f"<{k}>" for k in layout.SEPARATORS}
+    got = {r.doc: r.text for r in layout.document_text(df, ["doc"], **marks).collect()}
+    assert got[2] == "<page_start><article_start><paragraph_start>x<paragraph_end><article_end><page_end>"
+    assert got[1] == "<page_start><article_start><paragraph_start>a<word>b<line><paragraph_end><paragraph_start>c<paragraph_end><article_end><article_start><paragraph_start><paragraph_end><article_end><page_end><page_start><article_start><paragraph_start>d<paragraph_end><article_end><page_end>"
+    with pytest.raises(ValueError):
+        layout.document_text(df, ["doc"], words="")

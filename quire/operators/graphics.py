@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import tokens
 from quire.operators.layout import marked_depth
 
 #: The operators that show text (fixed values).
@@ -26,18 +27,18 @@ DEVICE = {
 }
 #: Properties that an operator sets to its first number: property -> (operator, value at the start of a page); fixed values.
 NUMBERS = {"line_width": ("w", 1.0), "line_cap": ("J", 0), "line_join": ("j", 0), "miter_limit": ("M", 10.0), "flatness": ("i", 0.0), "char_space": ("Tc", 0.0), "word_space": ("Tw", 0.0), "leading": ("TL", 0.0), "rise": ("Ts", 0.0), "mode": ("Tr", 0)}
-_STRING = r"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>"
+_STRING = rf"{tokens.string()}|<[0-9A-Fa-f\s]*>"
 
 
 def numbers(operands: Column) -> Column:
     """The numbers among operands that are spelled as in a file; those in strings, arrays and names aren't."""
-    bare = F.regexp_replace(F.regexp_replace(operands, _STRING, " "), r"\[[^\]]*\]|/[^\s/\[\]<>(){}%]*", " ")
+    bare = F.regexp_replace(F.regexp_replace(tokens.masked(operands), _STRING, " "), r"\[[^\]]*\]|/[^\s/\[\]<>(){}%]*", " ")
     return F.array_compact(F.transform(F.split(F.trim(bare), r"\s+"), lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast("double"))))
 
 
 def names(operands: Column) -> Column:
     """The names among operands, without their slash."""
-    return F.regexp_extract_all(F.regexp_replace(operands, _STRING, " "), F.lit(r"/([^\s/\[\]<>(){}%]*)"), F.lit(1))
+    return F.regexp_extract_all(F.regexp_replace(tokens.masked(operands), _STRING, " "), F.lit(r"/([^\s/\[\]<>(){}%]*)"), F.lit(1))
 
 
 def setters() -> dict[str, Column]:

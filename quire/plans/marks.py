@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import structure as S
 from quire.functions import unicode_text
-from quire.operators import graphics, highlight, layout, lines, links
+from quire.operators import graphics, highlight, layout, lines, links, tokens
 from quire.plans.pdfs import made
 from quire.session import table
 from quire.sources import pdf
@@ -39,6 +39,13 @@ def operator_state(spark, sf):
     return got.select("doc_id", "page_idx", "seq", "op", "level", "fill_space", _spelled("fill"), "stroke_space", _spelled("stroke"), "line_width")
 
 
+def stream_operators(spark, sf):
+    """The same operators written as a page's content stream, and cut out of its bytes again."""
+    ops = page_operators(spark, sf).select("doc_id", "page_idx", "seq", F.concat_ws(" ", F.when(F.col("operands") != "", F.col("operands")), "op").alias("t"))
+    pages = ops.groupBy("doc_id", "page_idx").agg(F.expr("encode(listagg(t, '\n') WITHIN GROUP (ORDER BY seq), 'ISO-8859-1')").alias("content"))
+    return tokens.operators(pages, ["doc_id", "page_idx"], "content")
+
+
 def pdf_text_colours(spark, sf):
     """The same from the operators of files: what shows or paints, by its state."""
     keys = ["doc_id", "page_idx"]
@@ -118,7 +125,7 @@ def fdf_roundtrip(spark, sf):
     return S.form_data(files, "c_nationkey", False)
 
 
-QUERIES = {f.__name__: f for f in (text_separators, line_words, nested_emphasis, marked_overlaps, unicode_texts, fdf_roundtrip, operator_state, pdf_text_colours, link_texts, search_highlights)}
+QUERIES = {f.__name__: f for f in (stream_operators, text_separators, line_words, nested_emphasis, marked_overlaps, unicode_texts, fdf_roundtrip, operator_state, pdf_text_colours, link_texts, search_highlights)}
 
 _STATE = {
     "fill_space": ("2, 3, 7", "CASE c WHEN 2 THEN 'DeviceRGB' WHEN 3 THEN 'DeviceGray' ELSE 'DeviceCMYK' END", "DeviceGray"),
@@ -130,7 +137,12 @@ _STATE = {
 _SETTERS = " UNION ALL ".join(f"SELECT doc_id, page_idx, seq, depth, '{p}' AS p, {v} AS v FROM levels WHERE c IN ({c})" for p, (c, v, _) in _STATE.items())
 _TOPS = ", ".join(f"coalesce(arg_max(v, s.seq) FILTER (p = '{p}'), '{d}') AS {p}" for p, (_, _, d) in _STATE.items())
 _HITS = " UNION ALL ".join(f"SELECT doc_id, page_idx, '{w}' AS word, string_split_regex(text, '(?i){w}') AS p, regexp_extract_all(text, '(?i){w}') AS m FROM pages" for w in WORDS)
+_SHOWN = "hex(encode(text))"
 SQL = {
+    "stream_operators": f"""WITH {RUNS_SQL},
+o AS (SELECT doc_id, page_idx, CAST(row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY line_idx, word_idx) - 1 AS INT) AS seq, (length(text) + word_idx) % 10 AS c, word_idx % 5 AS n, text FROM runs)
+SELECT doc_id, page_idx, seq, {list(OPERATORS)}[c + 1] AS op, CASE c WHEN 2 THEN n || ' 0 1' WHEN 3 THEN '0.' || n WHEN 4 THEN CAST(n AS VARCHAR) WHEN 5 THEN '0 1 ' || n WHEN 6 THEN '1 ' || n || ' 0' WHEN 7 THEN '/DeviceCMYK'
+  WHEN 8 THEN '<' || {_SHOWN} || '>' WHEN 9 THEN '[ <' || {_SHOWN} || '> -2 (5 w) ]' ELSE '' END AS operands FROM o""",
     "text_separators": f"""WITH {RUNS_SQL},
 l AS (SELECT doc_id, page_idx, line_idx % 20 >= 10 AS a, line_idx, string_agg(text, ' ' ORDER BY word_idx) AS t FROM runs GROUP BY ALL),
 o AS (SELECT *, CASE WHEN line_idx = min(line_idx) OVER (PARTITION BY doc_id, page_idx, a) THEN '{{' WHEN line_idx % 4 = 0 THEN '/}}{{' ELSE '/' END || t AS x FROM l),

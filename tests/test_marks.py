@@ -191,3 +191,29 @@ def test_separators_around_and_between(spark):
     assert got[1] == "<page_start><article_start><paragraph_start>a<word>b<line><paragraph_end><paragraph_start>c<paragraph_end><article_end><article_start><paragraph_start><paragraph_end><article_end><page_end><page_start><article_start><paragraph_start>d<paragraph_end><article_end><page_end>"
     with pytest.raises(ValueError):
         layout.document_text(df, ["doc"], words="")
+
+
+def test_operators_of_streams_like_the_tokenizer(spark):
+    """The same operators as the reader's, and the same state at each; strings, comments, images and odd brackets among them."""
+    from quire.operators import tokens
+
+    rng = random.Random(21)
+    odd = [b"(a (b) \\) c) Tj", b"% a comment q Q\nq", b"<</A [1 2] /B <</C (x)>>>> /P BDC"[::1], b"] q", b">> Q", b"(\\\\) Tj", b"<48 65> Tj", b"[(x)(y)-3<41>]TJ", b"true /N gs", b"1 0 0 rg/F1 9 Tf", b"BI /W 1 /H 1 ID \x01q Q\xff EI", b"(" + b"long \\( " * 3000 + b") Tj", b"(((deep))) '"]
+    rows, want, states = [(999, b""), (998, None)], {}, {}
+    for page in range(50):
+        parts = stream(rng, rng.choice([0, 8, 40])).split(b" ") if page % 2 else []
+        data = b" ".join([*parts, *rng.choices(odd, k=rng.randint(0, 6))]) if page % 2 == 0 else b" ".join(parts)
+        rows.append((page, data))
+        want[page] = [op for op, _ in content.tokens(data)]
+        states |= {(page, e.seq): e.state for e in content.fold(data) if e.kind == "text"}
+    df = spark.createDataFrame([(p, None if d is None else bytearray(d)) for p, d in rows], "page int, content binary").repartition(3)
+    ops = tokens.operators(df, ["page"], "content")
+    got = {}
+    for r in sorted(ops.collect(), key=lambda r: (r.page, r.seq)):
+        got.setdefault(r.page, []).append(r.op)
+        assert r.seq == len(got[r.page]) - 1
+    assert got == {p: o for p, o in want.items() if o}
+    at = {(r.page, r.seq): r for r in graphics.state_at(ops, ["page"], F.col("op").isin(*SHOWN)).collect()}
+    assert set(states) <= set(at)
+    for k, s in states.items():
+        assert (at[k].fill_space, *at[k].fill, *[x for x in [at[k].fill_pattern] if x]) == s.fill and (at[k].line_width, at[k].font, at[k].font_size) == (s.line, s.font, s.size), k

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -231,14 +232,15 @@ def runs(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
 
     def rows(data: bytes) -> Iterator[tuple]:
         for i, e in events(File.open(data)):
-            if e.kind == "text" and e.facts["text"]:
+            x = e.facts
+            if e.kind == "text" and x["text"]:
                 tag, mcid, _ = e.marks[-1] if e.marks else (None, None, None)
-                x = e.facts
                 yield i, e.seq, x["text"], x["x"], x["y"], x["width"], x["font_size"], x["font"], _colour(e.state.fill), e.state.mode, tag, mcid if isinstance(mcid, int) else None
 
     return flat(docs, key, "page_idx int, seq int, text string, x double, y double, width double, font_size double, font string, fill string, mode int, tag string, mcid int", rows, errors)
 
 
+@lru_cache(1024)
 def _colour(c: tuple) -> str:
     return " ".join(x if isinstance(x, str) else f"{x:g}" for x in c)
 

@@ -27,18 +27,22 @@ DEVICE = {
 }
 #: Properties that an operator sets to its first number: property -> (operator, value at the start of a page); fixed values.
 NUMBERS = {"line_width": ("w", 1.0), "line_cap": ("J", 0), "line_join": ("j", 0), "miter_limit": ("M", 10.0), "flatness": ("i", 0.0), "char_space": ("Tc", 0.0), "word_space": ("Tw", 0.0), "leading": ("TL", 0.0), "rise": ("Ts", 0.0), "mode": ("Tr", 0)}
+#: The operators whose operands are read; those of all others, as of what shows text, are passed on unread.
+SETS = tuple(dict.fromkeys([*DEVICE, "cs", "CS", "sc", "scn", "SC", "SCN", *(o for o, _ in NUMBERS.values()), "TD", '"', "Tz", "Tf", "d", "ri"]))
 _STRING = rf"{tokens.string()}|<[0-9A-Fa-f\s]*>"
 
 
 def numbers(operands: Column) -> Column:
     """The numbers among operands that are spelled as in a file; those in strings, arrays and names aren't."""
     bare = F.regexp_replace(F.regexp_replace(tokens.masked(operands), _STRING, " "), r"\[[^\]]*\]|/[^\s/\[\]<>(){}%]*", " ")
+    bare = F.when(operands.rlike(r"[(<\[/]"), bare).otherwise(operands)
     return F.array_compact(F.transform(F.split(F.trim(bare), r"\s+"), lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast("double"))))
 
 
 def names(operands: Column) -> Column:
     """The names among operands, without their slash."""
-    return F.regexp_extract_all(F.regexp_replace(tokens.masked(operands), _STRING, " "), F.lit(r"/([^\s/\[\]<>(){}%]*)"), F.lit(1))
+    got = F.regexp_extract_all(F.regexp_replace(tokens.masked(operands), _STRING, " "), F.lit(r"/([^\s/\[\]<>(){}%]*)"), F.lit(1))
+    return F.when(operands.contains("/"), got).otherwise(F.when(operands.isNotNull(), F.array().cast("array<string>")))
 
 
 def setters() -> dict[str, Column]:
@@ -91,11 +95,13 @@ def state_at(operators: DataFrame, keys: list[str], wanted: Column, properties:
     clash = {*chosen, "level"}
     given = [c for c in operators.columns if c not in clash]
     text = F.coalesce(F.col("operands"), F.lit(""))
-    rows = operators.select(*keys, "seq", "op", text.alias("operands"), F.struct(*given).alias("_row"), F.coalesce(wanted, F.lit(False)).alias("_want"), numbers(text).alias("_num"), names(text).alias("_name"))
+    # what neither sets, saves, restores nor is wanted goes before anything is sorted
+    rows = operators.where(F.col("op").isin(*SETS, "q", "Q") | F.coalesce(wanted, F.lit(False)))
+    rows = rows.select(*keys, "seq", "op", text.alias("operands"), F.when(wanted, F.struct(*given)).alias("_row"), F.coalesce(wanted, F.lit(False)).alias("_want"), *[F.when(F.col("op").isin(*SETS), read(text)).alias(c) for c, read in (("_num", numbers), ("_name", names))])
     rows = rows.withColumns({f"_s_{p}": found[p] for p in found if p.endswith("_space")})
     rows = rows.withColumns({f"_s_{p}": found[p] for p in chosen if not p.endswith("_space")})
-    rows = marked_depth(rows, keys, "seq", F.when(F.col("op") == "q", 1).when(F.col("op") == "Q", -1).otherwise(0))
     writes = reduce(lambda a, b: a | b, [F.col(f"_s_{p}").isNotNull() for p in chosen], F.col("op") == "q")
+    rows = marked_depth(rows, keys, "seq", F.when(F.col("op") == "q", 1).when(F.col("op") == "Q", -1).otherwise(0))
     as_writer = F.when(writes, F.array(F.struct(F.lit(0).alias("side"), F.col("depth").alias("level"))))
     as_reader = F.when(F.col("_want"), F.transform(F.sequence(F.lit(0), F.col("depth")), lambda k: F.struct(F.lit(1).alias("side"), k.alias("level"))))
     empty = F.array().cast("array<struct<side:int,level:int>>")

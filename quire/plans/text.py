@@ -52,7 +52,7 @@ def paragraph_drop(spark, sf):
 
 
 def text_by_region(spark, sf):
-    held = spatial.in_regions(runs(spark, sf), _regions(spark))
+    held = spatial.in_regions(runs(spark, sf), F.broadcast(_regions(spark)))  # three literal rows
     return held.groupBy("doc_id", "page_idx", "region").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY line_idx, word_idx)").alias("text"))
 
 

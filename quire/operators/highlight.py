@@ -51,7 +51,7 @@ def highlights(runs: DataFrame, keys: list[str], order: list[str], words: list[s
     found = hits(pages, keys, "_text", words).withColumn("_last", F.col("pos") + F.col("len") - 1)
     # a run without characters touches nothing, so intervals of characters are closed ones
     parts = placed.where("stop > start").select(*keys, "start", "stop", "x", "y", "width", "font_size").withColumn("_end", F.col("stop") - 1)
-    met = overlapping(found, parts, keys, [("pos", "_last")], [("start", "_end")])
+    met = overlapping(found, parts, keys, [("pos", "_last")], [("start", "_end")], few="l")
     boxes = met.groupBy(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.word").alias("word"), F.col("l.pos").alias("pos")).agg(
         F.count("*").alias("runs"), F.min("r.start").alias("from"), F.max("r.stop").alias("to"),
         F.min("r.x").alias("x0"), F.min("r.y").alias("y0"), F.max(F.col("r.x") + F.col("r.width")).alias("x1"), F.max(F.col("r.y") + F.col("r.font_size")).alias("y1"),

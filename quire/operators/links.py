@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.spatial import in_regions
+from quire.operators.spatial import met
 
 
 def url_texts(links: DataFrame, runs: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,11 +20,14 @@ def url_texts(links: DataFrame, runs: DataFrame, pages: DataFrame, keys: list[st
     """
     links = links.where("uri IS NOT NULL AND x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL")
     turned = links.join(pages.select(*keys, "height", "rotate"), keys)
-    areas = turned.select(*keys, "ord", F.col("x0").cast("double").alias("rx"), F.when(F.col("rotate") == 0, F.col("height") - F.col("y1")).otherwise(F.col("y1")).cast("double").alias("ry"), (F.col("x1") - F.col("x0")).cast("double").alias("rw"), (F.col("y1") - F.col("y0")).cast("double").alias("rh"))
-    # the page's height is needed on its runs, too; those of pages without links go here
-    high = pages.select(*keys, "height").join(links.select(*keys).distinct(), keys)
-    down = runs.join(high, keys).select(*keys, "seq", "text", F.col("x").cast("double").alias("x"), (F.col("height") - F.col("y")).cast("double").alias("y"))
-    held = in_regions(down, areas, keys)
+    areas = turned.select(*keys, "ord", F.col("x0").cast("double").alias("rx"), F.when(F.col("rotate") == 0, F.col("height") - F.col("y1")).otherwise(F.col("y1")).cast("double").alias("ry"), (F.col("x1") - F.col("x0")).cast("double").alias("rw"), (F.col("y1") - F.col("y0")).cast("double").alias("rh"), F.col("height").cast("double").alias("height"))
+    # areas go to the runs' own coordinates, a little wider, and the height goes with them, so that runs are dealt once
+    up = areas.select("*", F.col("height").alias("_h"), (F.col("rx") - 1).alias("_x0"), (F.col("rx") + F.col("rw") + 1).alias("_x1"), (F.col("height") - F.col("ry") - F.col("rh") - 1).alias("_y0"), (F.col("height") - F.col("ry") + 1).alias("_y1"))
+    near = met(runs.select(*keys, "seq", "text", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), up, keys, [("x", "x"), ("y", "y")], [("_x0", "_x1"), ("_y0", "_y1")], few="r")
+    y = F.col("_r__h") - F.col("_l_y")
+    x, rx, ry = F.col("_l_x"), F.col("_r_rx"), F.col("_r_ry")
+    held = near.where((x >= rx) & (x < rx + F.col("_r_rw")) & (y > ry) & (y <= ry + F.col("_r_rh")))
+    held = held.select(*[F.col(f"_l_{k}").alias(k) for k in keys], F.col("_r_ord").alias("ord"), y.alias("y"), F.col("_l_x").alias("x"), F.col("_l_seq").alias("seq"), F.col("_l_text").alias("text"))
     line = held.groupBy(*keys, "ord", "y").agg(F.count("*").alias("n"), F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY x, seq)").alias("line"))
     texts = line.groupBy(*keys, "ord").agg(F.sum("n").alias("runs"), F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY y)").alias("text"))
     known = links.join(pages.select(*keys), keys, "left_semi")

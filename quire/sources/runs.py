@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import table
+from quire.session import size_of, table
 
 ROWS = 20
+#: Bytes of a table's file whose texts a task takes: its runs are some thirty times larger in memory, where they are sorted.
+DEALT = 4 << 20
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +26,13 @@ def by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The texts are dealt by document before they are cut, so that groups and windows over
     a document, its pages or its lines need no exchange of their own: one shuffle of the
-    texts in place of one or more of the much larger runs.
+    texts in place of one or more of the much larger runs. There are so many partitions
+    that a sort of one's runs fits into a task's memory.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)  # a number, so that small texts aren't put into one task
+    splits = docs.rdd.getNumPartitions()
+    most = -(-size_of(spark.conf.get("spark.sql.files.maxPartitionBytes")) // DEALT) if splits > 1 else 1
+    parts = max(splits * most, spark.sparkContext.defaultParallelism)  # a number, so that small texts aren't put into one task
     return _paged(docs.repartition(parts, "doc_id"))
 
 

@@ -20,3 +20,16 @@ def test_a_limit_is_an_error(spark):
     assert sorted(r.node for r in trees.reachable(edges, root).collect()) == list(range(7))
     with pytest.raises(RuntimeError):
         trees.reachable(edges, root, limit=3)
+
+
+def test_texts_of_a_large_table_are_dealt_finely_enough_to_be_sorted_in_memory(spark):
+    from quire.session import size_of
+    from quire.sources import runs
+
+    assert [size_of(x) for x in ("134217728b", "128MB", "16m", "1g", "7")] == [1 << 27, 1 << 27, 1 << 24, 1 << 30, 7]
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")  # so that a small table has several splits
+    try:
+        splits = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").rdd.getNumPartitions()
+        assert splits > 1 and runs.by_document(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 32 * splits
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

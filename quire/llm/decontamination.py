@@ -29,8 +29,8 @@ WALKS, FIRSTS, SECONDS = 2, 4, 3
 SIZES, STEPS, POSITIONS = (72, 48, 36, 20, 0), (64, 40, 30, 18, 9), ((7, 8), (7, 8), (7, 7), (6, 6), (4, 5))
 #: Bytes of a word beyond which windows start at each of its characters.
 LONG = 48
-#: A key that more windows of items have is a shared one; items with so many windows of their own are looked up by these alone.
-SHARED, ENOUGH = 8, 10
+#: A key that more windows of items have is a shared one, whose items are measured as a set.
+SHARED = 8
 #: Characters whose places in a set of items are remembered at a time.
 CHARACTERS = 256
 #: Windows that walk at once: few enough for their state to stay in the processor's cache.
@@ -223,10 +223,9 @@ class Index:
     """The items' windows by key; a bounded number of items, made on the driver.
 
     A key that more than ``SHARED`` windows have comes from what items share, as a common
-    template. An item with ``ENOUGH`` windows of its own beside is looked up by those
-    alone. Of the others the shared keys are kept apart, with whole sets of items for each
-    key: a text that holds what they share is measured against a set at once, equal
-    stretches of it once.
+    template. Such keys are kept apart, with whole sets of items for each key: a text that
+    holds what they share is measured against a set at once, equal stretches of it once.
+    No key is dropped: a copy may have its edits where its item differs from the others.
     """
 
     def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
@@ -260,13 +259,6 @@ class Index:
             window = np.concatenate([np.tile(np.arange(len(who))[part], len(x)) for x, part in found])
             order = np.argsort(keys, kind="stable")
             keys, window = keys[order], window[order]
-            _, count = np.unique(keys, return_counts=True)
-            common = np.repeat(count > SHARED, count)
-            # a window of its own has at least half of its keys to itself
-            mine = 2 * np.bincount(window[common], minlength=len(who)) <= np.bincount(window, minlength=len(who))
-            enough = np.bincount(who[mine], minlength=len(self.items)) >= ENOUGH
-            keep = ~(common & enough[who[window]])
-            keys, window = keys[keep], window[keep]
             values, first, count = np.unique(keys, return_index=True, return_counts=True)
             common = np.repeat(count > SHARED, count)
             seen = np.zeros(1 << LOOK, bool)

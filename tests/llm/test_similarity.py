@@ -229,3 +229,21 @@ def test_decontamination_tables(spark):
     assert sorted((r.doc_id, r.item_id) for r in decontamination.clean(docs, items).collect()) == [(1, 0), (2, 0), (4, 0)]
     assert decontamination.contained(docs, items.limit(0)).collect() == []
     assert decontamination.contained(docs.limit(0), items).collect() == []
+
+
+def test_decontamination_by_what_items_share():
+    """A copy whose edits have spoilt all windows of the item's own is found by the template that it has in common with others."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    template = words(60)
+    items = [(i, f"{template} {words(16)}") for i in range(20)]
+    own = len(template) + 1
+    docs = []
+    for _, t in items:
+        x = list(t)
+        for at in range(own + 2, len(t), 4):  # every word of its own
+            x[at] = "z"
+        docs.append("before it " + "".join(x) + " and after it")
+    for (i, t), got in zip(items, decontamination.Index(items).search(docs), strict=True):
+        assert [d for k, d, _ in got if k == i] == [decontamination.distance(t, docs[i])]
+        assert decontamination.distance(t, docs[i]) <= decontamination.EDITS * len(t)

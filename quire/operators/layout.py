@@ -93,31 +93,61 @@ def suppress_overlaps(runs: DataFrame, strict: bool = False) -> DataFrame:
     ``strict``, as for marked content: the place at that very distance is outside on both
     sides, not on one, and a run without width suppresses nothing.
 
-    Greedy in the order of ``seq``, so texts that stand on their page twice or more are
-    folded page by page; all others are kept and never leave the JVM. ``runs`` needs
+    Greedy in the order of ``seq``, a document at a time. Runs of a text that a gap of
+    twice the largest distance parts, first in y, then in x, don't touch each other. The
+    first run of such a bunch stays and those near it go, for all bunches at once; only
+    what is left of bunches that reach farther is folded run by run. ``runs`` needs
     doc_id, page_idx, seq, text, x, y, width, font_size, none of them null.
     """
+    import numpy as np
     import pyarrow as pa
-
-    def fold(page: pa.Table) -> pa.Table:
-        cols = [page.column(c).to_pylist() for c in ("seq", "text", "x", "y", "width", "font_size")]
-        kept: dict[str, dict[tuple[int, int], list[tuple[float, float]]]] = {}
+    import pyarrow.compute as pc
+
+    def near(x, y, tol, a, b):
+        return (abs(x - a) < tol) & (abs(y - b) < tol) if strict else (x - tol <= a) & (a < x + tol) & (y - tol <= b) & (b < y + tol)
+
+    def bunches(group, value, tol):
+        """A number for each run, in the group's order and parted where the value has a gap."""
+        order = np.lexsort((value, group))
+        g, v = group[order], value[order]
+        opens = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        most = np.repeat(np.maximum.reduceat(tol[order], opens), np.diff(np.append(opens, len(g))))
+        parted = np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] - v[:-1] > 2 * most[1:])))
+        out = np.empty(len(g), np.int64)
+        out[order] = np.cumsum(parted)
+        return out
+
+    def folded(n, bunch, x, y, tol) -> list[int]:
+        kept: dict[tuple[int, int, int], list[tuple[float, float]]] = {}
         keep = []
-        for n in sorted(range(page.num_rows), key=cols[0].__getitem__):
-            _, text, x, y, width, size = (c[n] for c in cols)
-            tol = width / max(1, len(text)) / 3 if strict or (width > 0 and text) else max(size, 0.1) * 0.25
-            cx, cy = int(x // CELL), int(y // CELL)
-            reach = int(tol // CELL) + 1
-            grid = kept.setdefault(text, {})
-            near = (p for i in range(cx - reach, cx + reach + 1) for j in range(cy - reach, cy + reach + 1) for p in grid.get((i, j), ()))
-            if not any(abs(x - a) < tol and abs(y - b) < tol if strict else x - tol <= a < x + tol and y - tol <= b < y + tol for a, b in near):
-                grid.setdefault((cx, cy), []).append((x, y))
-                keep.append(n)
-        return page.take(pa.array(sorted(keep), pa.int64()))
-
-    counted = runs.withColumn("_same", F.count("*").over(Window.partitionBy(*LINE, "text")))
-    once, more = counted.where("_same = 1").drop("_same"), counted.where("_same > 1").drop("_same")
-    return once.unionByName(more.groupBy(*LINE).applyInArrow(fold, runs.schema))
+        for i, k, u, v, t in zip(*(c.tolist() for c in (n, bunch, x, y, tol)), strict=True):
+            cx, cy = int(u // CELL), int(v // CELL)
+            reach = int(t // CELL) + 1
+            around = (p for i in range(cx - reach, cx + reach + 1) for j in range(cy - reach, cy + reach + 1) for p in kept.get((k, i, j), ()))
+            if not any(near(u, v, t, a, b) for a, b in around):
+                kept.setdefault((k, cx, cy), []).append((u, v))
+                keep.append(i)
+        return keep
+
+    def fold(doc: pa.Table) -> pa.Table:
+        page, seq, x, y, width, size = (doc.column(c).to_numpy() for c in ("page_idx", "seq", "x", "y", "width", "font_size"))
+        text = doc.column("text").combine_chunks().dictionary_encode()
+        code, chars = text.indices.to_numpy(), pc.utf8_length(text.dictionary).to_numpy()[text.indices.to_numpy()]
+        by_char = width / np.maximum(chars, 1) / 3
+        tol = by_char if strict else np.where((width > 0) & (chars > 0), by_char, np.maximum(size, 0.1) * 0.25)
+        group = page.astype(np.int64) * len(text.dictionary) + code
+        bunch = bunches(bunches(group, y, tol), x, tol)
+        order = np.lexsort((seq, bunch))
+        opens = np.flatnonzero(np.concatenate(([True], np.diff(bunch[order]) != 0)))
+        first = np.repeat(order[opens], np.diff(np.append(opens, len(order))))
+        keep = order[opens]
+        left = order[(order != first) & ~near(x[order], y[order], tol[order], x[first], y[first])]
+        if len(left):
+            left = left[np.argsort(seq[left], kind="stable")]
+            keep = np.concatenate((keep, np.array(folded(left, bunch[left], x[left], y[left], tol[left]), np.int64)))
+        return doc.take(pa.array(np.sort(keep)))
+
+    return runs.groupBy("doc_id").applyInArrow(fold, runs.schema)
 
 
 def marked_depth(rows: DataFrame, keys: list[str], seq: str, step: Column) -> DataFrame:

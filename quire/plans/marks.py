@@ -92,8 +92,9 @@ def nested_emphasis(spark, sf):
 def marked_overlaps(spark, sf):
     """Copies at less than a third of a character go, those at just that distance stay."""
     base = runs(spark, sf).withColumn("seq", F.col("line_idx").cast("long") * (1 << 32) + F.col("word_idx"))
-    copies = base.withColumn("x", F.col("x") + F.col("word_idx") % 3).withColumn("seq", F.col("seq") + (1 << 60))
-    both = base.unionByName(copies).select("doc_id", "page_idx", "line_idx", "word_idx", "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "font_size")], "seq")
+    both = base.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = both.withColumns({"x": F.col("x") + F.col("copy") * (F.col("word_idx") % 3), "seq": F.col("seq") + F.col("copy") * F.lit(1 << 60)})
+    both = both.select("doc_id", "page_idx", "line_idx", "word_idx", "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "font_size")], "seq")
     return layout.suppress_overlaps(both, strict=True).select("doc_id", "page_idx", "line_idx", "word_idx", "x")
 
 

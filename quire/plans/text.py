@@ -62,8 +62,9 @@ def emphasis_transitions(spark, sf):
 
 def dup_overlap_suppress(spark, sf):
     base = runs(spark, sf).withColumn("seq", F.col("line_idx").cast("long") * (1 << 32) + F.col("word_idx"))
-    copies = base.withColumn("x", F.col("x") + 1).withColumn("seq", F.col("seq") + (1 << 60))  # behind every original
-    both = base.unionByName(copies).select(*RUN, "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "font_size")], "seq")
+    both = base.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))  # behind every original
+    both = both.withColumns({"x": F.col("x") + F.col("copy"), "seq": F.col("seq") + F.col("copy") * F.lit(1 << 60)})
+    both = both.select(*RUN, "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "font_size")], "seq")
     return layout.suppress_overlaps(both).select(*RUN, "text", "x", "y")
 
 

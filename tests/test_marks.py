@@ -237,3 +237,28 @@ def test_regions_and_few_boxes_copy_no_run(spark):
     assert pairs.count() == many.where("(k = 1 AND x BETWEEN 10 AND 50) OR k = 2").count()
     cells = spatial._cells(many, [("x", "x")], spatial.WIDTHS, "l", [0])
     assert cells.count() == 2000  # and not one for each of four levels
+
+
+def test_overlaps_like_brute_force(spark):
+    """Against every kept run in turn; the query reads its documents once."""
+    from quire.operators import layout
+    from quire.plans import catalog
+
+    rng = random.Random(3)
+    rows = []
+    for n in range(600):
+        text, width = rng.choice(["", "a", "ab", "abc"]), rng.choice([0.0, 6.0, 12.0, 30.0])
+        rows.append((rng.randint(1, 3), rng.randint(0, 1), text, n, rng.randint(0, 120) / 2, rng.choice([0.0, 1.0, 3.0, 40.0]), width, rng.choice([0.0, 12.0])))
+    df = spark.createDataFrame(rows, "doc_id int, page_idx int, text string, seq int, x double, y double, width double, font_size double")
+    for strict in (False, True):
+        kept = []
+        for r in sorted(rows, key=lambda r: r[3]):
+            d, p, t, _, x, y, w, size = r
+            tol = w / max(1, len(t)) / 3 if strict or (w > 0 and t) else max(size, 0.1) * 0.25
+            inside = lambda a, b: abs(x - a) < tol and abs(y - b) < tol if strict else x - tol <= a < x + tol and y - tol <= b < y + tol  # noqa: B023, E731
+            if not any(k[:3] == (d, p, t) and inside(k[4], k[5]) for k in kept):
+                kept.append(r)
+        assert sorted(r.seq for r in layout.suppress_overlaps(df, strict).collect()) == [k[3] for k in kept]
+    for query in ("dup_overlap_suppress", "marked_overlaps"):
+        plan = catalog.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1

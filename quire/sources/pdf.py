@@ -148,23 +148,23 @@ def pages(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame
     return flat(docs, key, "page_idx int, width double, height double, rotate int, streams int", rows, errors)
 
 
-def operators(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
-    """(key, page_idx, seq, op, operands) of every page's content."""
+def operators(docs: DataFrame, key: str = "path", errors: bool = False, operands: bool = True) -> DataFrame:
+    """(key, page_idx, seq, op, operands) of every page's content; without ``operands`` these aren't read."""
 
     def rows(data: bytes) -> Iterator[tuple]:
         f = File.open(data)
         for i, p in enumerate(f.pages()):
-            for seq, (op, args) in enumerate(content.tokens(f.content(p))):
-                yield i, seq, op, content.spelled(args)
+            for seq, (op, args) in enumerate(content.tokens(f.content(p), None if operands else lambda: True)):
+                yield (i, seq, op, content.spelled(args)) if operands else (i, seq, op)
 
-    return flat(docs, key, "page_idx int, seq int, op string, operands string", rows, errors)
+    return flat(docs, key, "page_idx int, seq int, op string" + ", operands string" * operands, rows, errors)
 
 
 def font(f: File, name: str, v: Any) -> content.Font:
     """Codes, text and widths of a font dictionary: composite with an identity or own CMap, or simple by its encoding."""
     head = f.get(v)
     if not isinstance(head, dict):
-        return content.Font(name)
+        return content.Font(name, total=True)
     unicode = f.get(head.get("ToUnicode"))
     cmap = cmaps.parse(unicode.data()) if isinstance(unicode, Stream) else None
     if head.get("Subtype") == "Type0":
@@ -187,7 +187,7 @@ def font(f: File, name: str, v: Any) -> content.Font:
             return own.cid(code) if own else int.from_bytes(code, "big")
 
         cut = own.codes if own and own.spaces else lambda data: [data[i : i + 2] for i in range(0, len(data), 2)]
-        return content.Font(name, cut, (cmap.text if cmap else lambda c: c.decode("utf-16-be", "replace")), lambda c: widths.get(cid(c), usual))
+        return content.Font(name, cut, (cmap.text if cmap else lambda c: c.decode("utf-16-be", "replace")), lambda c: widths.get(cid(c), usual), own is None)
     enc = f.get(head.get("Encoding"))
     base = enc if isinstance(enc, Name) else enc.get("BaseEncoding", "StandardEncoding") if isinstance(enc, dict) else "StandardEncoding"
     table = dict(cmaps.encoding(base)) if base in ("WinAnsiEncoding", "MacRomanEncoding", "StandardEncoding") else dict(cmaps.encoding("StandardEncoding"))
@@ -211,7 +211,7 @@ def font(f: File, name: str, v: Any) -> content.Font:
     return content.Font(name, lambda data: [data[i : i + 1] for i in range(len(data))], text, width)
 
 
-def events(f: File) -> Iterator[tuple[int, content.Event]]:
+def events(f: File, shows: str = "placed") -> Iterator[tuple[int, content.Event]]:
     """(page, event) of every page, with its fonts and property lists; a font is read once for the file."""
     known: dict[Any, content.Font] = {}
     for i, p in enumerate(f.pages()):
@@ -223,7 +223,7 @@ def events(f: File) -> Iterator[tuple[int, content.Event]]:
                 known[at] = font(f, name, v)
             fonts[name] = known[at]
         lists = {k: f.get(v) for k, v in (f.get(res.get("Properties")) or {}).items()}
-        for e in content.fold(f.content(p), fonts, {k: v for k, v in lists.items() if isinstance(v, dict)}):
+        for e in content.fold(f.content(p), fonts, {k: v for k, v in lists.items() if isinstance(v, dict)}, shows):
             yield i, e
 
 
@@ -240,6 +240,26 @@ def runs(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
     return flat(docs, key, "page_idx int, seq int, text string, x double, y double, width double, font_size double, font string, fill string, mode int, tag string, mcid int", rows, errors)
 
 
+def marked(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
+    """(key, page_idx, seq, text, tag, mcid): the strings that follow each other in the same marked content, joined by a space."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        at, first, texts = None, 0, []
+        for i, e in events(File.open(data), "said"):
+            if e.kind == "text" and e.facts["text"]:
+                tag, mcid, _ = e.marks[-1] if e.marks else (None, None, None)
+                here = i, tag, mcid if isinstance(mcid, int) else None
+                if here != at:
+                    if texts:
+                        yield at[0], first, " ".join(texts), at[1], at[2]
+                    at, first, texts = here, e.seq, []
+                texts.append(e.facts["text"])
+        if texts:
+            yield at[0], first, " ".join(texts), at[1], at[2]
+
+    return flat(docs, key, "page_idx int, seq int, text string, tag string, mcid int", rows, errors)
+
+
 @lru_cache(1024)
 def _colour(c: tuple) -> str:
     return " ".join(x if isinstance(x, str) else f"{x:g}" for x in c)
@@ -249,7 +269,7 @@ def painted(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFra
     """(key, page_idx, seq, kind, what, rule, stroked, x0, y0, x1, y1, fill, stroke, line) of paths, images, objects and shadings."""
 
     def rows(data: bytes) -> Iterator[tuple]:
-        for i, e in events(File.open(data)):
+        for i, e in events(File.open(data), ""):
             if e.kind in ("path", "image", "object", "shading"):
                 box = e.facts.get("box") or [None] * 4
                 yield i, e.seq, e.kind, e.facts.get("segments") or e.facts.get("name") or "", e.facts.get("rule", ""), e.facts.get("stroked", False), *map(lambda v: None if v is None else float(v), box), _colour(e.state.fill), _colour(e.state.stroke), float(e.state.line)

@@ -122,7 +122,7 @@ def pdf_pages(spark, sf):
 
 
 def pdf_operators(spark, sf):
-    return pdf.operators(made(spark, sf), "doc_id").groupBy("doc_id", "op").agg(F.count("*").alias("n"))
+    return pdf.operators(made(spark, sf), "doc_id", operands=False).groupBy("doc_id", "op").agg(F.count("*").alias("n"))
 
 
 def pdf_runs(spark, sf):

@@ -132,7 +132,7 @@ def pdf_runs(spark, sf):
 
 def pdf_marked_text(spark, sf):
     """A5: the text of each marked-content sequence, by position."""
-    got = pdf.runs(made(spark, sf), "doc_id").where("tag = 'P'")
+    got = pdf.marked(made(spark, sf), "doc_id").where("tag = 'P'")
     return got.groupBy("doc_id", "page_idx", "mcid").agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY seq)").alias("text"))
 
 

@@ -33,3 +33,22 @@ def test_texts_of_a_large_table_are_dealt_finely_enough_to_be_sorted_in_memory(s
         assert splits > 1 and runs.by_document(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 32 * splits
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_reachable_never_broadcasts_edges(spark):
+    """Few nodes go to the edges, many are shuffled with them; a small table of edges isn't sent around either."""
+    from quire.operators import trees
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    new = spark.createDataFrame([(0,), (3,)], "node long")
+    for n, join in ((2, "BroadcastHashJoin"), (trees.FEW + 1, "SortMergeJoin")):
+        got = trees._met(new, n, edges)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert join in plan and "BuildRight" not in plan
+        assert sorted(r.node for r in got.collect()) == [1, 4]
+    was, trees.FEW = trees.FEW, 1
+    try:
+        wide = spark.createDataFrame([(0, i) for i in range(1, 6)] + [(i, i % 7 + 1) for i in range(1, 8)], "src long, dst long")
+        assert sorted(r.node for r in trees.reachable(wide, spark.range(1)).collect()) == list(range(8))
+    finally:
+        trees.FEW = was

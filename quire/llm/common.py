@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,37 @@ def give_back() -> None:
         pass
 
 
-def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` over batches that are bounded by their bytes, too (a setting that the session gives wins)."""
+#: What this process keeps for the tasks to come, by name.
+_KEPT: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """An object that is made once in a Python process; workers are reused, so it outlives a task."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget(but: str | None = None) -> None:
+    """Let go of all objects of ``held`` but one."""
+    for name in [n for n in _KEPT if n != but]:
+        del _KEPT[name]
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` over batches that are bounded by their bytes, too (a setting that the session gives wins).
+
+    ``keeps`` names the object of ``held`` that the tasks use. A worker lets go of all others, as
+    it may have run another operator's tasks before, whose object would add to these tasks' own peak
+    (``*``: of none, for tasks that need little memory themselves).
+    """
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == USUAL:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if keeps != "*":
+            forget(keeps)
         try:
             yield from run(batches)
         finally:

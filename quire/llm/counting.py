@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import tokens
-from quire.llm.common import in_batches, table
+from quire.llm.common import held, in_batches, table
 
 #: Words whose counts a worker remembers before it starts afresh.
 CACHE_WORDS = 300_000
@@ -110,9 +110,6 @@ class Counter:
         return out
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def count(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """(doc_id, n_tokens) of every row; null and empty texts have none.
 
@@ -121,12 +118,11 @@ def count(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _COUNTERS:
-            _COUNTERS[path] = Counter(vocabulary(path))
+        counter = held(path, lambda: Counter(vocabulary(path)))
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array(_COUNTERS[path].many(b.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
+            yield pa.record_batch([b.column(0), pa.array(counter.many(b.column(1).to_pylist()), pa.int64())], names=["doc_id", "n_tokens"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_batches, run, "doc_id long, n_tokens long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).transform(in_batches, run, "doc_id long, n_tokens long", path)
 
 
 def op8(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

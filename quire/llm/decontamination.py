@@ -383,12 +383,12 @@ def blocks(items: DataFrame, id_col: str, text_col: str, size: int = ITEMS) -> I
 
 
 def _chunks(b: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch with a few MB of text each."""
+    """Parts of a batch with about a MB of text each: a search takes some thirty times as much."""
     texts = b.column(column).to_pylist()
     at = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size > 1 << 21 or i + 1 == len(texts):
+        if size > 1 << 20 or i + 1 == len(texts):
             yield b.slice(at, i + 1 - at), texts[at : i + 1]
             at, size = i + 1, 0
 

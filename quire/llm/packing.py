@@ -134,7 +134,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: i
             yield from place(held, enc.width, first)
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.transform(in_batches, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return source.transform(in_batches, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long", path)
 
 
 def op3(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

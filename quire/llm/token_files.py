@@ -141,7 +141,7 @@ def write(df: DataFrame, id_col: str, text_col: str, uri: str, vocabulary: str,
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "docs", "tokens"), (shard, *out.close()), strict=True))])
 
     ordered = df.select(F.col(id_col).cast("long"), text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col)
-    made = ordered.transform(in_batches, run, "shard long, docs long, tokens long").collect()  # a row for each shard file
+    made = ordered.transform(in_batches, run, "shard long, docs long, tokens long", path).collect()  # a row for each shard file
     return df.sparkSession.createDataFrame([tuple(r) for r in sorted(made)], "shard long, docs long, tokens long")
 
 
@@ -169,7 +169,7 @@ def read(spark: SparkSession, shards: DataFrame, uri: str) -> DataFrame:
                     yield _rows(held)
 
     todo = spark.createDataFrame(rows, "shard long, first long")
-    return (todo.repartition(len(rows)) if rows else todo).transform(in_batches, run, "doc_id long, start long, n_tokens long, ids binary")
+    return (todo.repartition(len(rows)) if rows else todo).transform(in_batches, run, "doc_id long, start long, n_tokens long, ids binary", "*")
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:

@@ -1,5 +1,6 @@
 """Token ids, token files and packing against the tokenizers library, text by text."""
 
+import gc
 import random
 import zlib
 from collections import defaultdict
@@ -170,3 +171,22 @@ def test_queries_match_the_library(spark):
     for r in packing.op3(spark, sf).collect():
         e = want[r.doc_id][3]
         assert r.doc_tokens == len(e) and r.ids_crc32 == crc(e[r.start : r.start + r.length])
+
+
+def test_workers_let_go_of_another_operators_words(spark):
+    """Packing's tokenizer and words aren't in memory while the tasks of another stage run in the same worker."""
+    from quire.llm import common
+
+    docs = spark.createDataFrame([(1, "some words to remember")], "doc_id long, text string").coalesce(1)
+
+    def names(batches):
+        from quire.llm import tokens
+
+        for b in batches:
+            found = sum(isinstance(x, tokens.Encoder) for x in gc.get_objects())
+            yield pa.record_batch([pa.array([found] * b.num_rows, pa.int64())], names=["n"])
+
+    assert packing.pack(docs, "doc_id", "text", VOCAB).count() == 1
+    assert [r.n for r in docs.transform(common.in_batches, names, "n long", VOCAB).collect()] == [1]
+    assert [r.n for r in docs.transform(common.in_batches, names, "n long").collect()] == [0]
+    assert packing.pack(docs, "doc_id", "text", VOCAB).count() == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cmp_to_key
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -35,11 +36,13 @@ def compare(a: Run, b: Run) -> int:
     lies in the height of the other. That relation isn't transitive, so the order of a
     page is that of a stable merge sort, not of a key.
     """
-    if a.dir != b.dir:
-        return -1 if a.dir < b.dir else 1
-    if abs(a.y - b.y) < SAME_LINE or a.y <= b.y <= a.y + a.height or b.y <= a.y <= b.y + b.height:
-        return (a.x > b.x) - (a.x < b.x)
-    return (a.y < b.y) - (a.y > b.y)
+    _, ax, ay, _, ah, _, _, ad, _ = a
+    _, bx, by, _, bh, _, _, bd, _ = b
+    if ad != bd:
+        return -1 if ad < bd else 1
+    if abs(ay - by) < SAME_LINE or ay <= by <= ay + ah or by <= ay <= by + bh:
+        return (ax > bx) - (ax < bx)
+    return (ay < by) - (ay > by)
 
 
 def reading_order(runs: list[Run]) -> list[Run]:
@@ -55,11 +58,12 @@ def lines(runs: list[Run]) -> Iterator[list[Run]]:
     line: list[Run] = []
     top, height = float("-inf"), float("-inf")
     for r in runs:
-        if line and not overlap(r.y, r.height, top, height):
+        y, h = r.y, r.height
+        if line and not (abs(y - top) < SAME_LINE or overlap(y, h, top, height)):
             yield line
             line, top, height = [], float("-inf"), float("-inf")
         line.append(r)
-        top, height = max(top, r.y), max(height, r.height)
+        top, height = y if y > top else top, h if h > height else height
     if line:
         yield line
 
@@ -121,20 +125,28 @@ def reconstruct(runs: DataFrame, factor: float = WORD_GAP, drop: float = DROP, i
     has = set(runs.columns)
 
     def fold(page: pa.Table) -> pa.Table:
-        rows = page.to_pylist()
+        n = page.num_rows
+        cols = {c: [float(v or 0) for v in page[c].to_pylist()] if c in has else [0.0] * n for c in ("x", "y", "width", "height", "font_size", "space", "dir")}
+        if "height" not in has:
+            cols["height"] = [v * 0.7 for v in cols["font_size"]]
+        made = map(Run, [t or "" for t in page["text"].to_pylist()], *cols.values(), page["seq"].to_pylist())
         groups: dict = {}
-        for r in rows:
-            run = Run(r["text"] or "", *(float(r[c] or 0) if c in has else 0.0 for c in ("x", "y", "width", "height", "font_size", "space", "dir")), r["seq"])
-            groups.setdefault(r[bead] if bead else 0, []).append(run if "height" in has else run._replace(height=run.font_size * 0.7))
-        out, ord_, number = [], 0, 0
+        if bead:
+            for key, run in zip(page[bead].to_pylist(), made):
+                groups.setdefault(key, []).append(run)
+        else:
+            groups[0] = list(made)
+        doc, idx = page["doc_id"][0].as_py(), page["page_idx"][0].as_py()
+        seqs, numbers, gaps, kinds, number = [], [], [], [], 0
         for key in sorted(groups, key=lambda k: (k is None, k or 0)):
-            found = list(lines(reading_order(sorted(groups[key], key=lambda r: r.seq))))
+            found = list(lines(reading_order(sorted(groups[key], key=itemgetter(-1)))))
             marks = paragraphs([x[0] for x in found], drop, indent)
             for line, mark in zip(found, marks):
                 number += 1
-                for run, gap in zip(line, breaks(line, factor)):
-                    ord_ += 1
-                    out.append((rows[0]["doc_id"], rows[0]["page_idx"], run.seq, ord_, number, gap, mark if run is line[0] else None))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))], names=["doc_id", "page_idx", "seq", "ord", "line_no", "word_break", "paragraph"])
+                seqs += [run.seq for run in line]
+                numbers += [number] * len(line)
+                gaps += breaks(line, factor)
+                kinds += [mark] + [None] * (len(line) - 1)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(([doc] * n, [idx] * n, seqs, range(1, n + 1), numbers, gaps, kinds), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))], names=["doc_id", "page_idx", "seq", "ord", "line_no", "word_break", "paragraph"])
 
     return runs.groupBy("doc_id", "page_idx").applyInArrow(fold, "doc_id long, page_idx int, seq long, ord int, line_no int, word_break boolean, paragraph string")

@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from quire.functions import cmaps, unicode_text
@@ -343,3 +344,30 @@ def test_marked_like_runs(spark):
     got = pdf.marked(docs, "doc_id").groupBy(*at).agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY seq)").alias("text"))
     assert got.exceptAll(whole).isEmpty() and whole.exceptAll(got).isEmpty()
     docs.unpersist()
+
+
+def test_a_page_is_folded_by_columns():
+    """No row of a page becomes a dictionary, and the numbers are those of whole rows."""
+
+    class Columns:
+        def __init__(self, t):
+            self.t, self.num_rows = t, t.num_rows
+
+        def __getitem__(self, name):
+            return self.t[name]
+
+    class Runs:
+        columns = ["doc_id", "page_idx", "seq", "text", "x", "y", "width", "font_size", "space", "bead"]
+
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, fold, _):
+            return fold
+
+    rows = [(7, 1, 3, "b", 90, 100.03, 6, 12, 3.0, 1), (7, 1, 1, "a", 72, 100.0, 6, 12, 3.0, 1), (7, 1, 9, None, 72, 80.0, None, 12, None, 1), (7, 1, 2, "first", 72, 50.0, 30, 12, 3.0, 0)]
+    page = pa.table(dict(zip(Runs.columns, map(list, zip(*rows)))))
+    got = paragraphs.reconstruct(Runs(), factor=0.4, drop=1.0)(Columns(page)).to_pylist()
+    assert [(r["seq"], r["ord"], r["line_no"], r["word_break"], r["paragraph"]) for r in got] == [(1, 1, 1, False, "start"), (3, 2, 1, True, None), (9, 3, 2, False, "start"), (2, 4, 3, False, "start")]
+    got = paragraphs.reconstruct(Runs(), factor=0.4, drop=1.0, bead="bead")(Columns(page)).to_pylist()
+    assert [(r["doc_id"], r["page_idx"], r["seq"], r["ord"], r["line_no"]) for r in got] == [(7, 1, 2, 1, 1), (7, 1, 1, 2, 2), (7, 1, 3, 3, 2), (7, 1, 9, 4, 3)]

@@ -227,17 +227,20 @@ def events(f: File, shows: str = "placed") -> Iterator[tuple[int, content.Event]
             yield i, e
 
 
-def runs(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
-    """(key, page_idx, seq, text, x, y, width, font_size, font, fill, mode, tag, mcid) of every string that shows text."""
+def runs(docs: DataFrame, key: str = "path", errors: bool = False, placed: bool = True) -> DataFrame:
+    """(key, page_idx, seq, text, x, y, width, font_size, font, fill, mode, tag, mcid) of every string that shows text; without ``placed`` only up to the text."""
 
     def rows(data: bytes) -> Iterator[tuple]:
-        for i, e in events(File.open(data)):
+        for i, e in events(File.open(data), "placed" if placed else "said"):
             x = e.facts
             if e.kind == "text" and x["text"]:
+                if not placed:
+                    yield i, e.seq, x["text"]
+                    continue
                 tag, mcid, _ = e.marks[-1] if e.marks else (None, None, None)
                 yield i, e.seq, x["text"], x["x"], x["y"], x["width"], x["font_size"], x["font"], _colour(e.state.fill), e.state.mode, tag, mcid if isinstance(mcid, int) else None
 
-    return flat(docs, key, "page_idx int, seq int, text string, x double, y double, width double, font_size double, font string, fill string, mode int, tag string, mcid int", rows, errors)
+    return flat(docs, key, "page_idx int, seq int, text string" + ", x double, y double, width double, font_size double, font string, fill string, mode int, tag string, mcid int" * placed, rows, errors)
 
 
 def marked(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:

@@ -371,3 +371,19 @@ def test_a_page_is_folded_by_columns():
     assert [(r["seq"], r["ord"], r["line_no"], r["word_break"], r["paragraph"]) for r in got] == [(1, 1, 1, False, "start"), (3, 2, 1, True, None), (9, 3, 2, False, "start"), (2, 4, 3, False, "start")]
     got = paragraphs.reconstruct(Runs(), factor=0.4, drop=1.0, bead="bead")(Columns(page)).to_pylist()
     assert [(r["doc_id"], r["page_idx"], r["seq"], r["ord"], r["line_no"]) for r in got] == [(7, 1, 2, 1, 1), (7, 1, 1, 2, 2), (7, 1, 3, 3, 2), (7, 1, 9, 4, 3)]
+
+
+def test_runs_without_their_place():
+    """The same strings, and the same files are broken."""
+    files = [pdfs.build(n, "Some text\n  and more\n" * 30) for n in range(4)]
+    files += [files[0].replace(b"/DescendantFonts [4 0 R]", b"/DescendantFonts  555555"), b"", b"%PDF-1.5"]
+
+    def rows(data, **more):
+        try:
+            return [r[:3] for r in pdf.Rows(lambda d, k: pdf.runs(d, k, **more)).rows(data)]
+        except pdf.BROKEN as e:
+            return repr(e)
+
+    for data in files:
+        assert rows(data, placed=False) == rows(data)
+    assert rows(files[4]).startswith("TypeError") and len(rows(files[1])) == 120

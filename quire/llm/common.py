@@ -12,14 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.session import small_batches
+
 #: The characters that separate words, fixed by the contracts: space and \x09-\x0D.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
-#: Bytes of an Arrow batch between the JVM and Python, about. Rows alone don't bound it: a text may be megabytes long.
-BATCH_BYTES = 4 << 20
-#: Spark's default for it, which with two tasks an executor and a copy on either side is hundreds of MB.
-USUAL = "67108864b"
+#: Batches after which a task returns what it has freed.
+TRIM = 16
 
 
 def give_back() -> None:
@@ -31,6 +31,14 @@ def give_back() -> None:
         pass
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; every so many the memory that they have freed is returned."""
+    for n, b in enumerate(batches):
+        if n % TRIM == TRIM - 1:
+            give_back()
+        yield b
+
+
 #: What this process keeps for the tasks to come, by name.
 _KEPT: dict[str, Any] = {}
 
@@ -55,15 +63,13 @@ def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     it may have run another operator's tasks before, whose object would add to these tasks' own peak
     (``*``: of none, for tasks that need little memory themselves).
     """
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == USUAL:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    small_batches(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keeps != "*":
             forget(keeps)
         try:
-            yield from run(batches)
+            yield from run(trimmed(batches))
         finally:
             give_back()
 

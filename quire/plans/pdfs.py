@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import scalars
 from quire.functions import structure as S
 from quire.operators import assemble, joins, trees
-from quire.session import spread, table
+from quire.session import small_batches, spread, table
 from quire.sources import catalog, pdf
 from quire.sources import objects as O
 from quire.sources.objects import Name, Ref, Stream
@@ -90,6 +90,7 @@ def made(spark, sf) -> DataFrame:
                 ids, texts = (c.to_pylist() for c in b.slice(at, 64).columns)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([build(d or 0, t or "") for d, t in zip(ids, texts)], pa.binary())], names=["doc_id", "content"])
 
+    small_batches(spark)
     return spread(table(spark, sf, "documents").select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, content binary")
 
 

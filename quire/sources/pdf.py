@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions import cmaps
+from quire.session import small_batches
 from quire.sources import content
 from quire.sources.objects import File, Name, Ref, Stream, Word, dump
 
@@ -58,7 +59,8 @@ def flat(docs: DataFrame, key: str, schema: str, rows: Callable[[bytes], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, data in zip(b.column(0), b.column(1)):  # a file at a time: a batch may hold all that a task reads
+                k, data = k.as_py(), data.as_py()
                 if data is None:
                     continue
                 whole = len(held)
@@ -74,6 +76,7 @@ def flat(docs: DataFrame, key: str, schema: str, rows: Callable[[bytes], Iterato
         if held:
             yield _batch(held, arrow)
 
+    small_batches(docs.sparkSession)
     return docs.select(key, "content").mapInArrow(run, out)
 
 

@@ -2,6 +2,8 @@
 
 import gc
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -44,6 +46,45 @@ def test_cache_overflow_changes_nothing(monkeypatch):
         assert np.frombuffer(enc.ids(t), enc.dtype).tolist() + [0] == e
 
 
+def test_words_start_where_the_pattern_cuts():
+    pattern = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{tokens._L}]+| ?[{tokens._N}]+| ?[^ \t\r\n{tokens._L}{tokens._N}]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]+")
+    rng = random.Random(7)
+    alphabet = [*"aestmdlrv'''  \n\t\r.1é²ß×", "ſ", "'ll", "'re", "  "]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 25))) for _ in range(5000)]
+    data = "\0".join([*texts, ""]).encode()
+    at = [*tokens.word_starts(np.frombuffer(data, np.uint8)).tolist(), len(data)]
+    assert [data[a:b].decode() for a, b in zip(at, at[1:])] == [w for t in texts for w in [*pattern.findall(t), "\0"]]
+
+
+def test_files_with_other_steps_are_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tok = Tokenizer.from_file(VOCAB)
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    tok.save(f"{tmp_path}/prefix.json")
+    enc = tokens.Encoder(f"{tmp_path}/prefix.json")
+    texts = ["one two\nthree", "x  y", "中 文"]
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.many(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_words_take_less_time_than_all_steps_of_the_library():
+    """The whole way of texts whose words are all new, against the library's own calls for these words."""
+    rng = random.Random(5)
+    words = list({"".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 14))) for _ in range(40_000)})
+    texts = [" ".join(["", *words[i : i + 400]]) for i in range(0, len(words), 400)]
+
+    def least(work):
+        took = []
+        for _ in range(3):
+            enc, start = tokens.Encoder(VOCAB), time.process_time()
+            work(enc)
+            took.append(time.process_time() - start)
+        return min(took)
+
+    library = least(lambda enc: [e.ids for e in enc.tok.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)])
+    assert least(lambda enc: enc.many(texts)) < 0.95 * library
+
+
 def frame(spark, texts, parts=3):
     return spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, start long").repartition(parts)
 

@@ -186,7 +186,7 @@ def pdf_labels(spark, sf):
 def pdf_merged(spark, sf):
     """Files of fifty ids as one volume, by id: its pages and the words on them."""
     whole = kept(assemble.merge(made(spark, sf).withColumn("volume", F.expr("doc_id DIV 50")), ["volume"], "doc_id"))
-    runs = pdf.runs(whole, "volume").groupBy("volume").agg(F.count("*").alias("words"), F.sum("width").cast("long").alias("width"))
+    runs = pdf.runs(whole, "volume", only=("width",)).groupBy("volume").agg(F.count("*").alias("words"), F.sum("width").cast("long").alias("width"))
     return pdf.documents(whole, "volume").select("volume", "pages").join(runs, "volume", "left").select("volume", "pages", F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("width", F.lit(0)).alias("width"))
 
 

@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 from typing import Any
 
 import pyarrow as pa
@@ -42,20 +43,47 @@ class Rows:
         relation(self, "path")
 
 
-def flat(docs: DataFrame, key: str, schema: str, rows: Callable[[bytes], Iterator[tuple]], errors: bool = False) -> DataFrame:
+def flat(docs: DataFrame, key: str, schema: str, rows: Callable[[bytes], Iterator[tuple]], errors: bool = False, blocks: bool = False) -> DataFrame:
     """The key of each (key, content) with the rows of its content; null content has none.
 
     A file gives all of its rows or none: one that turns out to be broken on the way gives
     none, or with ``errors`` a single row of nulls that says why in a further column
     ``error``, which is null in all others. A file's rows are held until it is through.
+    ``blocks``: the function gives several rows at a time, as their number and a list or
+    a value common to all for each column.
     """
     if isinstance(docs, Rows):
-        docs.schema, docs.rows = schema, rows
+        docs.schema, docs.rows = schema, _each(rows) if blocks else rows
         return docs
     kinds = T._parse_datatype_string(schema).fields
     out = T.StructType([docs.schema[key], *kinds, *([T.StructField("error", T.StringType())] if errors else [])])
     arrow = to_arrow_schema(out)
 
+    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in arrow]
+        for b in batches:
+            for k, data in zip(b.column(0), b.column(1)):
+                k, data = k.as_py(), data.as_py()
+                if data is None:
+                    continue
+                whole = len(held[0])
+                try:
+                    for n, block in rows(data):
+                        for column, v in zip(held, (k, *block, None)):
+                            column.extend(v if type(v) is list else repeat(v, n))
+                except BROKEN as e:
+                    for column in held:
+                        del column[whole:]
+                    if errors:
+                        for column, v in zip(held, (k, *[None] * len(kinds), f"{type(e).__name__}: {e}"[:200])):
+                            column.append(v)
+                if len(held[0]) >= ROWS:
+                    for at in range(0, len(held[0]), ROWS):
+                        yield _columns([c[at : at + ROWS] for c in held], arrow)
+                    held = [[] for _ in arrow]
+        if held[0]:
+            yield _columns(held, arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in batches:
@@ -77,11 +105,25 @@ def flat(docs: DataFrame, key: str, schema: str, rows: Callable[[bytes], Iterato
             yield _batch(held, arrow)
 
     small_batches(docs.sparkSession)
-    return docs.select(key, "content").mapInArrow(run, out)
+    return docs.select(key, "content").mapInArrow(run_blocks if blocks else run, out)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    return _columns(list(zip(*rows)), schema)
+
+
+def _columns(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _each(blocks: Callable[[bytes], Iterator[tuple[int, tuple]]]) -> Callable[[bytes], Iterator[tuple]]:
+    """The rows of blocks, one by one."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        for n, block in blocks(data):
+            yield from zip(*[v if type(v) is list else repeat(v, n) for v in block])
+
+    return rows
 
 
 def documents(docs: DataFrame, key: str = "path") -> DataFrame:
@@ -189,8 +231,9 @@ def font(f: File, name: str, v: Any) -> content.Font:
         def cid(code: bytes) -> int:
             return own.cid(code) if own else int.from_bytes(code, "big")
 
-        cut = own.codes if own and own.spaces else lambda data: [data[i : i + 2] for i in range(0, len(data), 2)]
-        return content.Font(name, cut, (cmap.text if cmap else lambda c: c.decode("utf-16-be", "replace")), lambda c: widths.get(cid(c), usual), own is None)
+        apart = own is not None and bool(own.spaces)
+        cut = own.codes if apart else lambda data: [data[i : i + 2] for i in range(0, len(data), 2)]
+        return content.Font(name, cut, (cmap.text if cmap else lambda c: c.decode("utf-16-be", "replace")), lambda c: widths.get(cid(c), usual), own is None, step=0 if apart else 2)
     enc = f.get(head.get("Encoding"))
     base = enc if isinstance(enc, Name) else enc.get("BaseEncoding", "StandardEncoding") if isinstance(enc, dict) else "StandardEncoding"
     table = dict(cmaps.encoding(base)) if base in ("WinAnsiEncoding", "MacRomanEncoding", "StandardEncoding") else dict(cmaps.encoding("StandardEncoding"))
@@ -214,7 +257,7 @@ def font(f: File, name: str, v: Any) -> content.Font:
     return content.Font(name, lambda data: [data[i : i + 1] for i in range(len(data))], text, width)
 
 
-def events(f: File, shows: str = "placed") -> Iterator[tuple[int, content.Event]]:
+def events(f: File, shows: str = "placed", many: bool = False) -> Iterator[tuple[int, content.Event]]:
     """(page, event) of every page, with its fonts and property lists; a font is read once for the file."""
     known: dict[Any, content.Font] = {}
     for i, p in enumerate(f.pages()):
@@ -226,24 +269,31 @@ def events(f: File, shows: str = "placed") -> Iterator[tuple[int, content.Event]
                 known[at] = font(f, name, v)
             fonts[name] = known[at]
         lists = {k: f.get(v) for k, v in (f.get(res.get("Properties")) or {}).items()}
-        for e in content.fold(f.content(p), fonts, {k: v for k, v in lists.items() if isinstance(v, dict)}, shows):
+        for e in content.fold(f.content(p), fonts, {k: v for k, v in lists.items() if isinstance(v, dict)}, shows, many):
             yield i, e
 
 
-def runs(docs: DataFrame, key: str = "path", errors: bool = False, placed: bool = True) -> DataFrame:
-    """(key, page_idx, seq, text, x, y, width, font_size, font, fill, mode, tag, mcid) of every string that shows text; without ``placed`` only up to the text."""
+#: The columns of ``runs`` behind the key.
+RUN = {"page_idx": "int", "seq": "int", "text": "string", "x": "double", "y": "double", "width": "double", "font_size": "double", "font": "string", "fill": "string", "mode": "int", "tag": "string", "mcid": "int"}
 
-    def rows(data: bytes) -> Iterator[tuple]:
-        for i, e in events(File.open(data), "placed" if placed else "said"):
+
+def runs(docs: DataFrame, key: str = "path", errors: bool = False, placed: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, page_idx, seq, text, x, y, width, font_size, font, fill, mode, tag, mcid) of every string that shows text.
+
+    Without ``placed`` only up to the text, or the columns in ``only``. Strings shown one
+    after another go through together, as columns.
+    """
+    chosen = only or (tuple(RUN) if placed else tuple(RUN)[:3])
+
+    def blocks(data: bytes) -> Iterator[tuple[int, tuple]]:
+        for i, e in events(File.open(data), "placed" if placed else "said", True):
             x = e.facts
-            if e.kind == "text" and x["text"]:
-                if not placed:
-                    yield i, e.seq, x["text"]
-                    continue
+            if e.kind == "texts" or e.kind == "text" and x["text"]:
                 tag, mcid, _ = e.marks[-1] if e.marks else (None, None, None)
-                yield i, e.seq, x["text"], x["x"], x["y"], x["width"], x["font_size"], x["font"], _colour(e.state.fill), e.state.mode, tag, mcid if isinstance(mcid, int) else None
+                have = {"page_idx": i, "seq": e.seq, "fill": _colour(e.state.fill), "mode": e.state.mode, "tag": tag, "mcid": mcid if isinstance(mcid, int) else None, **x}
+                yield len(x["text"]) if e.kind == "texts" else 1, tuple([have[c] for c in chosen])
 
-    return flat(docs, key, "page_idx int, seq int, text string" + ", x double, y double, width double, font_size double, font string, fill string, mode int, tag string, mcid int" * placed, rows, errors)
+    return flat(docs, key, ", ".join(f"{c} {RUN[c]}" for c in chosen), blocks, errors, True)
 
 
 def marked(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
@@ -251,15 +301,16 @@ def marked(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFram
 
     def rows(data: bytes) -> Iterator[tuple]:
         at, first, texts = None, 0, []
-        for i, e in events(File.open(data), "said"):
-            if e.kind == "text" and e.facts["text"]:
+        for i, e in events(File.open(data), "said", True):
+            if e.kind == "texts" or e.kind == "text" and e.facts["text"]:
                 tag, mcid, _ = e.marks[-1] if e.marks else (None, None, None)
                 here = i, tag, mcid if isinstance(mcid, int) else None
+                several = e.kind == "texts"
                 if here != at:
                     if texts:
                         yield at[0], first, " ".join(texts), at[1], at[2]
-                    at, first, texts = here, e.seq, []
-                texts.append(e.facts["text"])
+                    at, first, texts = here, e.facts["seq"][0] if several else e.seq, []
+                texts += e.facts["text"] if several else [e.facts["text"]]
         if texts:
             yield at[0], first, " ".join(texts), at[1], at[2]
 

@@ -127,7 +127,7 @@ def pdf_operators(spark, sf):
 
 
 def pdf_runs(spark, sf):
-    got = pdf.runs(made(spark, sf), "doc_id")
+    got = pdf.runs(made(spark, sf), "doc_id", only=("page_idx", "mcid", "text", "x", "y", "width", "font_size"))
     return got.select("doc_id", "page_idx", F.col("mcid").alias("line"), "text", *[F.round(c).cast("int").alias(c) for c in ("x", "y", "width", "font_size")])
 
 

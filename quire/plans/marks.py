@@ -49,8 +49,9 @@ def stream_operators(spark, sf):
 def pdf_text_colours(spark, sf):
     """The same from the operators of files: what shows or paints, by its state."""
     keys = ["doc_id", "page_idx"]
-    got = graphics.state_at(pdf.operators(made(spark, sf), "doc_id"), keys, F.col("op").isin(*graphics.SHOWS, "f", "s"))
-    return got.groupBy(*keys, "op", "level", "fill_space", _spelled("fill"), _spelled("stroke"), "font", "font_size", "mode", "line_width").agg(F.count("*").alias("n"))
+    used = ["fill_space", "fill", "stroke", "font", "font_size", "mode", "line_width"]
+    got = graphics.state_at(pdf.stretches(made(spark, sf), "doc_id"), keys, F.col("op").isin(*graphics.SHOWS, "f", "s"), used)
+    return got.groupBy(*keys, "op", "level", "fill_space", _spelled("fill"), _spelled("stroke"), "font", "font_size", "mode", "line_width").agg(F.sum("n").alias("n"))
 
 
 def link_texts(spark, sf):

@@ -193,6 +193,21 @@ def pages(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame
     return flat(docs, key, "page_idx int, width double, height double, rotate int, streams int", rows, errors)
 
 
+def stretches(docs: DataFrame, key: str = "path", errors: bool = False) -> DataFrame:
+    """``operators``, with ``n``: those ``TJ`` that follow each other may be one row, at the first one's place, that counts them. Their operands aren't read (null)."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        f = File.open(data)
+        for i, p in enumerate(f.pages()):
+            seq = 0
+            for op, args in content.tokens(f.content(p), lambda: True, True):
+                n = 1 if op else len(args)
+                yield i, seq, op or "TJ", content.spelled(args) if op and op != "TJ" else None, n
+                seq += n
+
+    return flat(docs, key, "page_idx int, seq int, op string, operands string, n int", rows, errors)
+
+
 def operators(docs: DataFrame, key: str = "path", errors: bool = False, operands: bool = True) -> DataFrame:
     """(key, page_idx, seq, op, operands) of every page's content; without ``operands`` these aren't read."""
 

@@ -60,7 +60,7 @@ def link_texts(spark, sf):
     here = base.where("line_idx % 3 = 1 AND word_idx BETWEEN 1 AND 3").groupBy("doc_id", "page_idx", F.col("line_idx").alias("ord"))
     areas = here.agg(F.min("x").alias("x0"), (F.min("y") - 1).alias("y0"), F.max(F.col("x") + F.col("width")).alias("x1"), (F.min("y") + 15).alias("y1"))
     areas = areas.withColumn("uri", F.concat(F.lit("http://x.org/"), "doc_id", F.lit("/"), "ord"))
-    pages = base.select("doc_id", "page_idx").distinct().select("*", F.lit(842).alias("height"), F.lit(0).alias("rotate"))
+    pages = areas.select("doc_id", "page_idx").distinct().select("*", F.lit(842).alias("height"), F.lit(0).alias("rotate"))
     seq = (F.col("line_idx").cast("long") * 1_000_000 + F.col("word_idx")).alias("seq")
     got = links.url_texts(areas, base.select("doc_id", "page_idx", seq, "x", "y", "text"), pages, ["doc_id", "page_idx"])
     return got.select("doc_id", "page_idx", "ord", "uri", "runs", "text")

@@ -292,6 +292,12 @@ def test_hits_and_link_texts_join_and_shuffle_no_runs(spark):
 
     plan = marks.search_highlights(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        plan = marks.link_texts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" not in plan and plan.count("Exchange") == plan.count("FileScan") == plan.count("REPARTITION_BY_NUM")
     # a null among the keys: the hit is there, and no run is touched
     rows = spark.createDataFrame([(None, 0, "the", 1, 2, 3, 4), (1, 0, "the", 1, 2, 3, 4), (1, 1, "x", None, 2, None, 4), (1, 2, "the", None, 2, 3, 4)], "page int, seq int, text string, x int, y int, width int, font_size int")
     got = highlight.highlights(rows, ["page"], ["seq"], ["the"], F.lit(" "))
